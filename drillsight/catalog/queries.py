@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from drillsight.functions import agents, messages, network, people, rates, text
 from drillsight.operators import aggregates, filters, joins, merge, ordering, ranking, sets
-from drillsight.session import shared_dir
+from drillsight.plans.clicks import last_agent_per_link
+from drillsight.session import shared_dir, stage
 from drillsight.sources import articles as news
 from drillsight.sources import click_log, export, roster
 from drillsight.streaming import clicks as streams
@@ -63,7 +64,8 @@ def _uploaded(v: Views) -> DataFrame:
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    return roster.read_roster_csv(v.spark, path)
+    # Read once and kept as a table: the import looks at the rows several times.
+    return stage(roster.read_roster_csv(v.spark, path), "upload-rows")
 
 
 @query
@@ -386,8 +388,6 @@ def source_priority(v: Views) -> DataFrame:
 
 @query
 def last_agent(v: Views) -> DataFrame:
-    from drillsight.plans.clicks import last_agent_per_link
-
     return last_agent_per_link(v.link_events)
 
 
@@ -585,8 +585,7 @@ def department_options(v: Views) -> DataFrame:
 
 @query
 def union_sources(v: Views) -> DataFrame:
-    db = joins.links_with_events(v.links, v.link_events).filter(F.col("event_id").isNotNull())
-    db = db.withColumnRenamed("tracking_id", "link_key")
+    db = joins.events_with_links(v.link_events, v.links).withColumnRenamed("tracking_id", "link_key")
     return sets.union_sources(_hashed(v), db)
 
 
@@ -620,8 +619,7 @@ def normalize_email(v: Views) -> DataFrame:
 
 @query
 def message_headers(v: Views) -> DataFrame:
-    fields = messages.message_headers(F.col("message"), "desk@example.com")
-    return v.messages.select("doc_id", fields.alias("m")).select("doc_id", "m.*")
+    return messages.split_messages(v.messages, "message", "desk@example.com").select("doc_id", "from", "subject", "body")
 
 
 @query

@@ -1,8 +1,8 @@
-"""Sender, subject and body of a message held in one text column."""
+"""Sender, subject and body of messages held in one text column."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drillsight.functions.text import empty_to_null, neutralize_links, or_else, web_trim
@@ -13,44 +13,62 @@ SUBJECT_LINE = r"(?im)^\s*Subject:\s*(.+)$"
 LABEL_LINE = r"(?i)\ASIMULATION[^\n]*\n*"
 NO_SUBJECT = "(No Subject)"
 
-_JSON_FORM = "from string, subject string, body string"
+JSON_FORM = "from string, subject string, body string"
 
 
 def _cut_first(text: Column, piece: Column) -> Column:
-    """Remove the first occurrence of ``piece`` and trim; unchanged where it is absent."""
+    """Remove the first occurrence of ``piece`` and trim; unchanged where it is empty."""
     at = F.instr(text, piece)
-    left = F.substr(text, F.lit(1), at - 1)
-    right = F.substr(text, at + F.length(piece))
-    return F.when(F.coalesce(piece, F.lit("")) == "", text).otherwise(web_trim(F.concat(left, right)))
-
-
-def header_fields(text: Column, default_from: str | None = None) -> Column:
-    """Struct ``(from, subject, body)`` of a text with optional header lines."""
-    from_hit = F.regexp_extract(text, FROM_LINE, 0)
-    subject_hit = F.regexp_extract(text, SUBJECT_LINE, 0)
-    body = _cut_first(_cut_first(text, from_hit), subject_hit)
-    return F.struct(
-        or_else(web_trim(F.regexp_extract(text, FROM_LINE, 1)), F.lit(default_from).cast("string")).alias("from"),
-        or_else(web_trim(F.regexp_extract(text, SUBJECT_LINE, 1)), F.lit(NO_SUBJECT)).alias("subject"),
-        or_else(body, text).alias("body"),
+    rest = F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(piece)))
+    return F.when(piece == "", text).otherwise(web_trim(rest))
+
+
+def split_headers(df: DataFrame, text: str, default_from: str | None = None) -> DataFrame:
+    """Add ``from``, ``subject`` and ``body`` of a text with optional header lines.
+
+    Done in steps, each a projection, so that no pattern is searched twice.
+    """
+    found = df.withColumns(
+        {
+            "_from": F.regexp_extract(text, FROM_LINE, 0),
+            "_subject": F.regexp_extract(text, SUBJECT_LINE, 0),
+        }
     )
+    cut = found.withColumn("_body", _cut_first(F.col(text), F.col("_from")))
+    cut = cut.withColumn("_body", _cut_first(F.col("_body"), F.col("_subject")))
+    no_sender = F.lit(default_from).cast("string")
+    return cut.withColumns(
+        {
+            "from": or_else(web_trim(F.regexp_extract("_from", FROM_LINE, 1)), no_sender),
+            "subject": or_else(web_trim(F.regexp_extract("_subject", SUBJECT_LINE, 1)), F.lit(NO_SUBJECT)),
+            "body": or_else(F.col("_body"), F.col(text)),
+        }
+    ).drop("_from", "_subject", "_body")
 
 
-def message_headers(message: Column, default_from: str | None = None) -> Column:
-    """Struct ``(from, subject, body)`` of a message in JSON form or as plain text.
+def split_messages(df: DataFrame, message: str, default_from: str | None = None) -> DataFrame:
+    """Add ``from``, ``subject`` and ``body`` of a message in JSON form or as plain text.
 
-    Plain texts lose their label line, and their links are replaced by a marker.
+    A JSON message counts as such if it has a subject or a body.  Plain texts lose their
+    label line, and their links are replaced by a marker.
     """
-    raw = F.coalesce(message, F.lit(""))
+    raw = F.coalesce(F.col(message), F.lit(""))
     is_object = F.startswith(web_trim(raw), F.lit("{"))
-    obj = F.when(is_object, F.from_json(raw, _JSON_FORM, {"allowSingleQuotes": "false"}))
-    has_json = F.coalesce(empty_to_null(obj["subject"]), empty_to_null(obj["body"])).isNotNull()
-    text = web_trim(F.replace(raw, F.lit("\r\n"), F.lit("\n")))
-    fields = header_fields(web_trim(F.regexp_replace(text, LABEL_LINE, "")), default_from)
-    return F.struct(
-        F.when(has_json, or_else(obj["from"], F.lit(default_from).cast("string"))).otherwise(fields["from"]).alias("from"),
-        F.when(has_json, or_else(obj["subject"], F.lit(NO_SUBJECT))).otherwise(fields["subject"]).alias("subject"),
-        F.when(has_json, F.coalesce(obj["body"], F.lit("")))
-        .otherwise(neutralize_links(fields["body"]))
-        .alias("body"),
+    form = F.when(is_object, F.from_json(raw, JSON_FORM, {"allowSingleQuotes": "false"}))
+    has_form = F.coalesce(empty_to_null(F.col("_form.subject")), empty_to_null(F.col("_form.body")))
+    unix = web_trim(F.replace(raw, F.lit("\r\n"), F.lit("\n")))
+    text = F.when(F.col("_has_form"), F.lit("")).otherwise(web_trim(F.regexp_replace(unix, LABEL_LINE, "")))
+    split = split_headers(
+        df.withColumn("_form", form).withColumn("_has_form", has_form.isNotNull()).withColumn("_text", text),
+        "_text",
+        default_from,
     )
+    by_form = {
+        "from": or_else(F.col("_form.from"), F.lit(default_from).cast("string")),
+        "subject": or_else(F.col("_form.subject"), F.lit(NO_SUBJECT)),
+        "body": F.coalesce(F.col("_form.body"), F.lit("")),
+    }
+    by_text = {"from": F.col("from"), "subject": F.col("subject"), "body": neutralize_links(F.col("body"))}
+    return split.withColumns(
+        {c: F.when(F.col("_has_form"), by_form[c]).otherwise(by_text[c]) for c in by_form}
+    ).drop("_form", "_has_form", "_text")

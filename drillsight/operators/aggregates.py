@@ -11,7 +11,7 @@ from drillsight.functions.people import department_or_unknown
 from drillsight.functions.rates import percent_tenth, percent_whole
 from drillsight.functions.text import nonblank, or_else
 from drillsight.plans.clicks import links_with_clicks
-from drillsight.plans.skew import lookup_join
+from drillsight.plans.skew import dimension_join, lookup_join
 
 # How an empty list and a missing date are shown.
 NO_NAMES = "None"
@@ -34,7 +34,7 @@ def joined_names(name: Column) -> Column:
 def _named_links(links: DataFrame, events: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Links with clicks and the name of their campaign (null if there is none)."""
     names = campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign_name"))
-    return lookup_join(links_with_clicks(links, events), names, ["campaign_id"], "left", ["id"])
+    return links_with_clicks(dimension_join(links, names, "campaign_id", "left"), events)
 
 
 def recipient_totals(
@@ -86,7 +86,7 @@ def names_by_recipient(links: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Per recipient the distinct names of its campaigns as one text."""
     names = campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign_name"))
     return (
-        lookup_join(links.select("id", "campaign_id", "recipient_id"), names, ["campaign_id"], "inner", ["id"])
+        dimension_join(links.select("campaign_id", "recipient_id"), names, "campaign_id")
         .groupBy("recipient_id")
         .agg(joined_names(F.col("campaign_name")).alias("campaigns"))
     )
@@ -133,18 +133,18 @@ def campaign_recipients(
     if campaign_id is not None:
         links = links.filter(F.col("campaign_id") == campaign_id)
         wanted = links.select(F.col("id").alias("link_id"))
-        events = lookup_join(events, wanted, ["link_id"], "left_semi", ["id"])
+        events = lookup_join(events, wanted, "link_id", "left_semi", ["id"])
     per_link = events.groupBy(F.col("link_id")).agg(
         F.count("*").alias("click_count"),
         F.max("created_at").alias("last_clicked_at"),
         F.max_by("user_agent", F.struct("created_at", "id")).alias("last_user_agent"),
     )
     sent = links.select(F.col("id").alias("link_id"), "campaign_id", "recipient_id")
-    clicked = sent.join(per_link, "link_id", "left")
     people = recipients.select(
         F.col("id").alias("recipient_id"), "first_name", "last_name", "email", "department", "job_title", "high_risk"
     )
-    return lookup_join(clicked, people, ["recipient_id"], "inner", ["link_id"]).select(
+    owned = lookup_join(sent, people, "recipient_id", "inner", ["link_id"])
+    return owned.join(per_link, "link_id", "left").select(
         "campaign_id",
         "link_id",
         F.col("recipient_id").alias("id"),

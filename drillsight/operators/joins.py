@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drillsight.plans.skew import fanout_join, lookup_join
+from drillsight.plans.skew import dimension_join, fanout_join, lookup_join
 
 # Fixed value: where a campaign without a setting sends its visitors.
 DEFAULT_REDIRECT = "google"
 
 
-def _prefixed(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
-    """Columns of ``df`` with a prefix, so that two tables may be joined by name."""
-    return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
-
-
 def _links(links: DataFrame) -> DataFrame:
     return links.select(
         F.col("id").alias("link_id"),
@@ -50,27 +45,46 @@ def _campaigns(campaigns: DataFrame) -> DataFrame:
 
 def links_with_recipients(links: DataFrame, recipients: DataFrame) -> DataFrame:
     """Links with the columns of their recipient; links of unknown recipients are left out."""
-    return lookup_join(_links(links), _recipients(recipients), ["recipient_id"], "inner", ["link_id"])
+    return lookup_join(_links(links), _recipients(recipients), "recipient_id", "inner", ["link_id"])
 
 
 def links_with_events(links: DataFrame, events: DataFrame) -> DataFrame:
     """One row per click of a link, and one with nulls for a link without clicks."""
-    return fanout_join(_links(links), _events(events), ["link_id"], ["event_id"])
+    return fanout_join(_links(links), _events(events), "link_id", ["event_id"])
+
+
+def events_with_links(events: DataFrame, links: DataFrame) -> DataFrame:
+    """Clicks with the columns of their link; clicks of unknown links are left out."""
+    return lookup_join(_events(events), _links(links), "link_id", "inner", ["event_id"])
+
+
+def _and_parents_without(rows: DataFrame, parents: DataFrame, links: DataFrame, on: str) -> DataFrame:
+    """``rows``, and the parents that no link refers to, with nulls in the other columns."""
+    childless = parents.join(links.select(on).distinct(), on, "left_anti")
+    return rows.unionByName(childless, allowMissingColumns=True)
 
 
 def recipients_to_events(
     recipients: DataFrame, links: DataFrame, campaigns: DataFrame, events: DataFrame
 ) -> DataFrame:
-    """Recipients, left joined to links, campaigns and events in turn."""
-    named = lookup_join(_links(links), _campaigns(campaigns), ["campaign_id"], "left", ["link_id"])
-    clicked = fanout_join(named, _events(events), ["link_id"], ["event_id"])
-    return fanout_join(_recipients(recipients), clicked, ["recipient_id"], ["link_id", "event_id"])
+    """Recipients, left joined to links, campaigns and events in turn.
+
+    Recipients and campaigns are attached to the links, which are far fewer than the
+    events, and only then do the links meet the events.
+    """
+    people = _recipients(recipients)
+    owned = lookup_join(_links(links), people, "recipient_id", "inner", ["link_id"])
+    named = dimension_join(owned, _campaigns(campaigns), "campaign_id", "left")
+    clicked = fanout_join(named, _events(events), "link_id", ["event_id"])
+    return _and_parents_without(clicked, people, links, "recipient_id")
 
 
 def campaigns_to_events(campaigns: DataFrame, links: DataFrame, events: DataFrame) -> DataFrame:
     """Campaigns, left joined to links and events in turn."""
-    clicked = links_with_events(links, events)
-    return fanout_join(_campaigns(campaigns), clicked, ["campaign_id"], ["link_id", "event_id"])
+    heads = _campaigns(campaigns)
+    named = dimension_join(_links(links), heads, "campaign_id", "inner")
+    clicked = fanout_join(named, _events(events), "link_id", ["event_id"])
+    return _and_parents_without(clicked, heads, links, "campaign_id")
 
 
 def resolve_tracking(requests: DataFrame, links: DataFrame, campaigns: DataFrame) -> DataFrame:
@@ -80,8 +94,7 @@ def resolve_tracking(requests: DataFrame, links: DataFrame, campaigns: DataFrame
         F.coalesce("redirect_to", F.lit(DEFAULT_REDIRECT)).alias("redirect_to"),
     )
     found = links.select("tracking_id", F.col("id").alias("link_id"), "campaign_id")
-    known = lookup_join(requests, found, ["tracking_id"])
-    return lookup_join(known, targets, ["campaign_id"], "inner", requests.columns)
+    return lookup_join(requests, dimension_join(found, targets, "campaign_id"), "tracking_id")
 
 
 def by_source_priority(clicks: DataFrame, link_map: DataFrame, db_links: DataFrame) -> DataFrame:
@@ -101,23 +114,18 @@ def by_source_priority(clicks: DataFrame, link_map: DataFrame, db_links: DataFra
         F.when(F.col("_file").isNull(), F.col("link_id")).alias("link_id"),
         F.when(F.col("_file"), "file").otherwise("db").alias("source"),
     )
-    return lookup_join(clicks, chosen, ["link_key"], "left")
+    return lookup_join(clicks, chosen, "link_key", "left")
 
 
 def link_detail(links: DataFrame, campaigns: DataFrame, recipients: DataFrame) -> DataFrame:
     """Links with the campaign's name and the employee's full name."""
-    named = lookup_join(
-        _links(links),
-        campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign_name")),
-        ["campaign_id"],
-        "inner",
-        ["link_id"],
-    )
     people = recipients.select(
         F.col("id").alias("recipient_id"),
         F.concat_ws(" ", "first_name", "last_name").alias("employee"),
     )
-    return lookup_join(named, people, ["recipient_id"], "inner", ["link_id"]).select(
+    names = campaigns.select(F.col("id").alias("campaign_id"), F.col("name").alias("campaign_name"))
+    owned = lookup_join(_links(links), people, "recipient_id", "inner", ["link_id"])
+    return dimension_join(owned, names, "campaign_id").select(
         "link_id", "tracking_id", "campaign_name", "employee"
     )
 

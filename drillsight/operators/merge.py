@@ -123,10 +123,10 @@ def delete_recipients(tables: Tables, ids: DataFrame) -> Tables:
     """Remove recipients, then their links, then the events of those links."""
     gone = ids.select("id").distinct()
     owner = gone.select(F.col("id").alias("recipient_id"))
-    links = lookup_join(tables.links, owner, ["recipient_id"], "left_anti", ["id"])
-    removed = lookup_join(tables.links, owner, ["recipient_id"], "left_semi", ["id"])
+    links = lookup_join(tables.links, owner, "recipient_id", "left_anti", ["id"])
+    removed = lookup_join(tables.links, owner, "recipient_id", "left_semi", ["id"])
     removed_ids = removed.select(F.col("id").alias("link_id"))
-    events = lookup_join(tables.events, removed_ids, ["link_id"], "left_anti", ["id"])
+    events = lookup_join(tables.events, removed_ids, "link_id", "left_anti", ["id"])
     return Tables(
         tables.recipients.join(gone, "id", "left_anti"),
         links.select(*tables.links.columns),
@@ -182,7 +182,7 @@ def orphans(events: DataFrame, links: DataFrame, campaigns: DataFrame, recipient
 
     def without(df: DataFrame, column: str, parent: DataFrame, table: str) -> DataFrame:
         parents = parent.select(F.col("id").alias(column))
-        return lookup_join(df.select("id", column), parents, [column], "left_anti", ["id"]).select(
+        return lookup_join(df.select("id", column), parents, column, "left_anti", ["id"]).select(
             F.lit(table).alias("table_name"),
             F.col("id").cast("string").alias("row_id"),
             F.lit(column).alias("missing"),

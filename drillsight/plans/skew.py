@@ -1,41 +1,40 @@
-"""Equi-joins of a large table to one with unique keys, safe against hot keys.
+"""Equi-joins that hold up when one key has a third of all rows.
 
-Clicks crowd: one link, campaign or address may hold a third of all rows.  A plain
-shuffle join sends those rows to one task.  :func:`lookup_join` finds the crowded keys
-in one pass (a mergeable sketch of fixed size, no shuffle), spreads their rows over
-``SALTS`` sub-keys, and repeats only the few matching rows of the other side.  The
-sketch decides nothing but the route a row takes: every row is joined whichever it is.
+Clicks crowd: one link, campaign or address may be in most rows, and a plain shuffle
+join sends all of those to one task.  :func:`lookup_join` and :func:`fanout_join` find
+the crowded keys in one pass over the key column (a mergeable sketch of fixed size, no
+shuffle of rows), spread their rows over ``SALTS`` sub-keys, and repeat only the few
+matching rows of the other side.  The sketch decides nothing but the route a row takes:
+every row is joined, whichever it is.
+
+:func:`dimension_join` is for the small tables: it broadcasts them after counting them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hot keys are at most this many, so the broadcast list of them stays tiny.
 MAX_HOT = 256
-#: Counters of the sketch.  A key with more than about 1/1000 of all rows cannot be missed.
+#: Counters of the sketch: a key with more than about 1/1000 of all rows is not missed.
 SKETCH_COUNTERS = 4096
-#: Keys with fewer rows than this are never worth splitting.
+#: Keys with fewer rows than this are not worth splitting.
 MIN_HOT_ROWS = 100_000
 #: Sub-keys per hot key.
 SALTS = 64
+#: Tables up to this many rows are broadcast by :func:`dimension_join`.
+MAX_BROADCAST_ROWS = 50_000
 
 
-def _key_hash(columns: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(c) for c in columns])
-
-
-def hot_keys(df: DataFrame, columns: Sequence[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Hashes of the most frequent keys of ``df``: at most ``MAX_HOT`` rows."""
-    args = ", ".join(f"`{c}`" for c in columns)
-    top = F.expr(f"approx_top_k(xxhash64({args}), {MAX_HOT}, {SKETCH_COUNTERS})")
+def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """The most frequent keys of ``df`` as ``_hot``: at most ``MAX_HOT`` rows."""
+    top = F.expr(f"approx_top_k(`{key}`, {MAX_HOT}, {SKETCH_COUNTERS})")
     return (
-        df.select(*columns)
+        df.select(key)
+        .filter(F.col(key).isNotNull())
         .agg(top.alias("top"))
         .select(F.explode("top").alias("top"))
         .filter(F.col("top.count") >= min_rows)
@@ -43,66 +42,80 @@ def hot_keys(df: DataFrame, columns: Sequence[str], min_rows: int = MIN_HOT_ROWS
     )
 
 
+def _salted(df: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:
+    """Rows with a hot key, or none, get one of the sub-keys; the others get 0."""
+    crowded = F.col("_hot").isNotNull() | F.col(key).isNull()
+    salt = F.when(crowded, F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(0)
+    return df.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+
+
+def _repeated(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Rows with a hot key once for each sub-key; ``_is_hot`` tells them apart."""
+    all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    is_hot = F.col("_hot").isNotNull()
+    return (
+        df.join(hot, F.col(key) == F.col("_hot"), "left")
+        .withColumn("_is_hot", is_hot)
+        .withColumn("_salt", F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0)))))
+        .drop("_hot")
+    )
+
+
+def _spread(df: DataFrame, columns: Sequence[str] | None) -> Column:
+    # A hash and not a random number: a task that runs again salts its rows the same way.
+    return F.xxhash64(*[F.col(c) for c in (columns or df.columns)])
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
-    on: Sequence[str],
+    on: str,
     how: str = "inner",
     spread_by: Sequence[str] | None = None,
     min_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
-    """Join ``big`` to ``small``, whose ``on`` columns are unique.
+    """Join ``big`` to ``small``, which has few rows per key.
 
-    ``how`` is ``inner``, ``left``, ``left_anti`` or ``left_semi``.  ``spread_by`` names columns of ``big``
-    that tell rows of one key apart (all columns by default); the salt is their hash,
-    so a task that runs again salts its rows the same way.
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.  ``spread_by`` names columns of
+    ``big`` that tell rows of one key apart (all columns by default).  ``big`` is read
+    twice, the first time for its keys only, so it should be a table rather than the
+    result of other joins.
     """
-    if how not in ("inner", "left", "left_anti", "left_semi"):
+    if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot do a {how} join")
-    on = list(on)
     hot = F.broadcast(hot_keys(big, on, min_rows))
-    no_key = reduce(or_, [F.col(c).isNull() for c in on])
-    spread = _key_hash(spread_by or big.columns)
-    salted = (
-        big.withColumn("_k", _key_hash(on))
-        .join(hot, F.col("_k") == F.col("_hot"), "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot").isNotNull() | no_key, F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(0),
-        )
-        .drop("_k", "_hot")
-    )
-    spread_out = (
-        small.withColumn("_k", _key_hash(on))
-        .join(hot, F.col("_k") == F.col("_hot"), "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("_k", "_hot")
-    )
-    return salted.join(spread_out, [*on, "_salt"], how).drop("_salt")
+    left = _salted(big, on, hot, _spread(big, spread_by))
+    right = _repeated(small, on, hot).drop("_is_hot")
+    return left.join(right, [on, "_salt"], how).drop("_salt")
 
 
 def fanout_join(
     one: DataFrame,
     many: DataFrame,
-    on: Sequence[str],
+    on: str,
     spread_by: Sequence[str] | None = None,
     min_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
-    """``one`` left join ``many``, where the ``on`` columns are unique in ``one``.
+    """``one`` left join ``many``, where keys may crowd in ``many``.
+
+    A hot key has rows in ``many``, so a repeated row of ``one`` that met none of them
+    is a repetition in vain and goes; rows of all other keys are kept with nulls.
+    """
+    hot = F.broadcast(hot_keys(many, on, min_rows))
+    left = _repeated(one, on, hot)
+    right = _salted(many, on, hot, _spread(many, spread_by)).withColumn("_met", F.lit(True))
+    joined = left.join(right, [on, "_salt"], "left")
+    return joined.filter(F.col("_met").isNotNull() | ~F.col("_is_hot")).drop("_salt", "_is_hot", "_met")
+
+
+def dimension_join(
+    big: DataFrame, dimension: DataFrame, on: str, how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """Join ``big`` to a table that is expected to be small.
 
-    A left join cannot split the side it may have to fill with nulls, so a key crowded
-    in ``many`` would stay in one task.  Matches and rows without a match are made
-    separately instead: the first by :func:`lookup_join`, the second against the
-    distinct keys only.
+    It is counted up to ``max_rows`` (which runs a job) and broadcast if it has no more;
+    beyond that this is a :func:`lookup_join`.
     """
-    on = list(on)
-    hits = lookup_join(many, one, on, "inner", spread_by, min_rows)
-    misses = one.join(many.select(*on).distinct(), on, "left_anti")
-    return hits.unionByName(misses, allowMissingColumns=True)
+    if dimension.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(dimension), on, how)
+    return lookup_join(big, dimension, on, how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results or plans depend on.  The session zone fixes the day of a click;
 #: the rest lets Spark re-plan joins by measured size and keep stream state on disk.
@@ -50,3 +50,14 @@ def shared_root(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below :func:`shared_root`; nothing is created yet."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to a fresh table in the shared folder and read it back.
+
+    For results that are used several times: the table outlives lost executors, and the
+    plans that use it start from it.
+    """
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -113,7 +113,7 @@ def import_roster(rows: DataFrame, recipients: DataFrame) -> RosterImport:
     created = number_rows(winners, "seq", next_id(recipients)).select("id", *HEADERS)
     first_rows = winners.select("email", F.col("seq").alias("_first_seq"))
     repeated = (
-        lookup_join(with_email, first_rows, ["email"], "left", ["seq"])
+        lookup_join(with_email, first_rows, "email", "left", ["seq"])
         .filter(F.coalesce(F.col("seq") != F.col("_first_seq"), F.lit(True)))
         .select(*HEADERS, F.lit(EMAIL_EXISTS).alias("error"))
     )
