@@ -284,6 +284,12 @@ _SQL = {
     "campaign_summary": _SUMMARY,
     "campaign_recipients": _DETAIL,
     "campaign_recipients_one": f"select * from ({_DETAIL}) d where campaign_id = 199803",
+    "campaign_detail": f"""select campaign_id, link_id, id,
+        coalesce(nullif(concat_ws(' ', nullif("firstName", ''), nullif("lastName", '')), ''), '—') as name, "highRisk", email,
+        coalesce(nullif(department, ''), '—') as department, coalesce(nullif("jobTitle", ''), '—') as job_title,
+        case when click_count > 0 then 'Yes' else 'No' end as clicked, click_count, last_clicked_at,
+        case when coalesce(last_user_agent, '') = '' then '—' else {_BROWSER} || ' / ' || {_SYSTEM} end as agent
+        from (select *, last_user_agent as user_agent from ({_DETAIL}) d) x""",
     "at_risk": _AT_RISK,
     "department_risk": _DEPARTMENT_RISK,
     "link_daily_clicks": """select link_key, strftime(clicked_at, '%Y-%m-%d') as day, count(*) as clicks
@@ -297,6 +303,12 @@ _SQL = {
     "link_breakdown": """select link_key, 'day' as kind, strftime(clicked_at, '%Y-%m-%d') as item, count(*) as clicks
         from {click_log} group by 1, 3
       union all select link_key, 'agent', coalesce(nullif(ua, ''), 'unknown'), count(*) from {click_log} group by 1, 3""",
+    "link_summary_db": """select link_id as link_key, count(*) as total_clicks, count(distinct ip_address) as unique_users,
+        count(distinct cast(created_at as date)) as days, strftime(min(created_at), '%Y-%m-%d') as first_day,
+        strftime(max(created_at), '%Y-%m-%d') as last_day from {link_events} group by 1""",
+    "link_breakdown_db": """select link_id as link_key, 'day' as kind, strftime(created_at, '%Y-%m-%d') as item, count(*) as clicks
+        from {link_events} group by 1, 3
+      union all select link_id, 'agent', coalesce(nullif(user_agent, ''), 'unknown'), count(*) from {link_events} group by 1, 3""",
     "overall_totals": f"""select total_campaigns, total_sent, total_clicks,
         cast(floor(cast(total_clicks as double) / total_sent * 100.0 + 0.5) as bigint) as overall_rate
         from (select count(*) as total_campaigns, cast(sum(emails_sent) as bigint) as total_sent,
@@ -326,6 +338,7 @@ _SQL = {
     "days_since_last": "select date_diff('day', cast(max(created_at) as date), date '2006-01-01') as days from {campaigns}",
     "risk_rank": f"""select row_number() over (order by total_clicks desc, id) as rank, id,
         coalesce(nullif(concat_ws(' ', nullif(first_name, ''), nullif(last_name, '')), ''), email) as name,
+        coalesce(nullif(department, ''), 'No dept') as department,
         campaigns_targeted, total_clicks from ({_AT_RISK}) a""",
     # sort, limit, top-k
     "order_by_name": "select id, first_name, last_name from {recipients} order by last_name, first_name",
@@ -360,8 +373,8 @@ _SQL = {
     "ensure_prefix": """select doc_id, case when starts_with(message, 'SIMULATION') then message
         else 'SIMULATION - TRAINING PURPOSES ONLY - THIS IS JUST FOR EDUCATIONAL/PRACTICING PURPOSES' || chr(10) || chr(10) || message end as message
         from {messages}""",
-    "strip_prefixes": f"""select doc_id, case when starts_with(message, 'SIMULATION - sample')
-          then ltrim(substr(message, length('SIMULATION - sample') + 1), {_WS})
+    "strip_prefixes": f"""select doc_id, case when starts_with(message, 'SIMULATION - TRAINING PURPOSES ONLY - sample')
+          then ltrim(substr(message, length('SIMULATION - TRAINING PURPOSES ONLY - sample') + 1), {_WS})
         when starts_with(message, 'subject:') then ltrim(substr(message, length('subject:') + 1), {_WS})
         else message end as message from {{messages}}""",
     "csv_escape": """select page_id, '"' || replace(html, '"', '""') || '"' as html from pages""",

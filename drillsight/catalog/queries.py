@@ -24,7 +24,7 @@ AS_OF = dt.date(2006, 1, 1)
 CREATED_AT = dt.datetime(2006, 1, 1)
 SALT = "sample"
 #: Leading templates of texts that are removed.
-TEMPLATES = ("SIMULATION - sample", "subject:")
+TEMPLATES = ("SIMULATION - TRAINING PURPOSES ONLY - sample", "subject:")
 
 _QUERIES: dict[str, Query] = {}
 
@@ -429,6 +429,11 @@ def campaign_recipients_one(v: Views) -> DataFrame:
     return aggregates.campaign_recipients(v.links, v.recipients, v.link_events, campaign_id=199803)
 
 
+@query
+def campaign_detail(v: Views) -> DataFrame:
+    return aggregates.campaign_detail(v.links, v.recipients, v.link_events)
+
+
 @query
 def at_risk(v: Views) -> DataFrame:
     return aggregates.at_risk(v.recipients, v.links, v.link_events)
@@ -468,6 +473,22 @@ def link_breakdown(v: Views) -> DataFrame:
     return aggregates.link_breakdown(v.click_log)
 
 
+@query
+def link_summary_db(v: Views) -> DataFrame:
+    clicks = v.link_events.select(
+        F.col("link_id").alias("link_key"), F.col("created_at").alias("clicked_at"), F.col("ip_address").alias("ip_hash")
+    )
+    return aggregates.link_summary(clicks)
+
+
+@query
+def link_breakdown_db(v: Views) -> DataFrame:
+    clicks = v.link_events.select(
+        F.col("link_id").alias("link_key"), F.col("created_at").alias("clicked_at"), F.col("user_agent").alias("ua")
+    )
+    return aggregates.link_breakdown(clicks)
+
+
 @query
 def overall_totals(v: Views) -> DataFrame:
     return aggregates.overall_totals(v.campaigns, v.links, v.link_events)
@@ -638,7 +659,7 @@ def neutralize_page_urls(v: Views) -> DataFrame:
 
 @query
 def ensure_prefix(v: Views) -> DataFrame:
-    return v.messages.select("doc_id", text.ensure_prefix(F.col("message"), known_by="SIMULATION").alias("message"))
+    return v.messages.select("doc_id", text.ensure_prefix(F.col("message")).alias("message"))
 
 
 @query

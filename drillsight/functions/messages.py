@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drillsight.functions.text import empty_to_null, neutralize_links, or_else, web_trim
+from drillsight.functions.text import (
+    WEB_SPACE_CLASS,
+    empty_to_null,
+    neutralize_links,
+    or_else,
+    web_trim,
+)
 
-# Header patterns, the label line, and the subject of a message without one.
-FROM_LINE = r"(?im)^\s*From:\s*(.+)$"
-SUBJECT_LINE = r"(?im)^\s*Subject:\s*(.+)$"
+# The ends of a line, header lines, the label line, and the subject of a
+# message without one.  A header may stand after white space, and its value may follow on
+# a later line; white space is that of web clients.
+_ENDS = "\n\r" + chr(0x2028) + chr(0x2029)
+
+
+def _header(name: str) -> str:
+    return f"(?i)(?<![^{_ENDS}]){WEB_SPACE_CLASS}*{name}:{WEB_SPACE_CLASS}*([^{_ENDS}]+)"
+
+
+FROM_LINE = _header("From")
+SUBJECT_LINE = _header("Subject")
 LABEL_LINE = r"(?i)\ASIMULATION[^\n]*\n*"
 NO_SUBJECT = "(No Subject)"
 
@@ -39,8 +54,8 @@ def split_headers(df: DataFrame, text: str, default_from: str | None = None) ->
     no_sender = F.lit(default_from).cast("string")
     return cut.withColumns(
         {
-            "from": or_else(web_trim(F.regexp_extract("_from", FROM_LINE, 1)), no_sender),
-            "subject": or_else(web_trim(F.regexp_extract("_subject", SUBJECT_LINE, 1)), F.lit(NO_SUBJECT)),
+            "from": F.when(F.col("_from") == "", no_sender).otherwise(web_trim(F.regexp_extract("_from", FROM_LINE, 1))),
+            "subject": F.when(F.col("_subject") == "", NO_SUBJECT).otherwise(web_trim(F.regexp_extract("_subject", SUBJECT_LINE, 1))),
             "body": or_else(F.col("_body"), F.col(text)),
         }
     ).drop("_from", "_subject", "_body")

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 WEB_SPACE = "\t\n\x0b\x0c\r " + "".join(
     map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
 )
+WEB_SPACE_CLASS = f"[{WEB_SPACE}]"
 # The pattern of a web link and the marker that stands for one.
-LINK_PATTERN = r"(?i)https?://\S+"
+LINK_PATTERN = f"(?i)https?://[^{WEB_SPACE}]+"
 LINK_MARKER = "[SIMULATED LINK]"
 # The training label and the start by which it is recognised.
 TRAINING_LABEL = (

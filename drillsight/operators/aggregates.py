@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drillsight.functions.agents import agent_or_unknown
+from drillsight.functions.agents import agent_or_unknown, parse_user_agent
 from drillsight.functions.network import day_of
-from drillsight.functions.people import department_or_unknown
-from drillsight.functions.rates import percent_tenth, percent_whole
+from drillsight.functions.people import department_or_unknown, display_name
+from drillsight.functions.rates import clicked_flag, percent_tenth, percent_whole
 from drillsight.functions.text import nonblank, or_else
 from drillsight.plans.clicks import links_with_clicks
 from drillsight.plans.skew import dimension_join, lookup_join
 
-# How an empty list and a missing date are shown.
+# How an empty list, a missing date and other gaps are shown.
 NO_NAMES = "None"
 NO_DATE = "N/A"
+DASH = "—"
 NAME_SEPARATOR = "; "
 #: Fixed value: length of the at-risk list.
 AT_RISK = 5
@@ -160,6 +161,28 @@ def campaign_recipients(
     )
 
 
+def campaign_detail(
+    links: DataFrame, recipients: DataFrame, events: DataFrame, campaign_id: int | None = None
+) -> DataFrame:
+    """:func:`campaign_recipients` as it is shown: names, dashes for gaps, readable agents."""
+    rows = campaign_recipients(links, recipients, events, campaign_id)
+    dash = F.lit(DASH)
+    return rows.select(
+        "campaign_id",
+        "link_id",
+        "id",
+        display_name(F.col("firstName"), F.col("lastName"), dash).alias("name"),
+        "highRisk",
+        "email",
+        or_else(F.col("department"), dash).alias("department"),
+        or_else(F.col("jobTitle"), dash).alias("job_title"),
+        clicked_flag(F.col("click_count")).alias("clicked"),
+        "click_count",
+        "last_clicked_at",
+        parse_user_agent(F.col("last_user_agent")).alias("agent"),
+    )
+
+
 def recipient_clicks(links: DataFrame, events: DataFrame) -> DataFrame:
     """Per recipient: distinct campaigns targeted, links sent, clicks."""
     return (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from drillsight.functions.people import as_flag
 from drillsight.functions.text import empty_to_null
+from drillsight.plans.skew import dimension_join
 
 #: Columns a roster search looks into.
 SEARCH_FIELDS = ("first_name", "last_name", "email", "department", "job_title")
@@ -27,7 +28,7 @@ def in_departments(recipients: DataFrame, departments: Sequence[str] | DataFrame
     """
     if isinstance(departments, DataFrame):
         wanted = departments.select(F.col("name").alias("department")).distinct()
-        recipients = recipients.join(wanted, "department", "left_semi")
+        recipients = dimension_join(recipients, wanted, "department", "left_semi")
     elif departments:
         recipients = recipients.filter(F.col("department").isin(list(departments)))
     return _has_email(recipients)

@@ -17,7 +17,7 @@ from drillsight.functions.network import tracking_key
 from drillsight.functions.people import as_flag
 from drillsight.functions.text import empty_to_null, normalize_email, or_else, web_trim
 from drillsight.plans.ids import next_id, number_rows
-from drillsight.plans.skew import lookup_join
+from drillsight.plans.skew import dimension_join, lookup_join
 from drillsight.schemas import CAMPAIGNS, RECIPIENTS
 
 # Levels and redirect targets a campaign may have, and the defaults.
@@ -171,7 +171,7 @@ def assign_links(
         "campaign_id",
         "recipient_id",
         tracking_key(F.col("campaign_id"), F.col("recipient_id"), salt).alias("tracking_id"),
-        F.lit(created_at).cast("timestamp_ntz").alias("created_at"),
+        F.lit(created_at.isoformat()).cast("timestamp_ntz").alias("created_at"),
         F.lit(True).alias("is_new"),
     )
     return links.withColumn("is_new", F.lit(False)).unionByName(new)
@@ -180,18 +180,25 @@ def assign_links(
 def orphans(events: DataFrame, links: DataFrame, campaigns: DataFrame, recipients: DataFrame) -> DataFrame:
     """Rows whose parent is missing, as ``(table_name, row_id, missing)``."""
 
-    def without(df: DataFrame, column: str, parent: DataFrame, table: str) -> DataFrame:
-        parents = parent.select(F.col("id").alias(column))
-        return lookup_join(df.select("id", column), parents, column, "left_anti", ["id"]).select(
+    def keys(parent: DataFrame, column: str) -> DataFrame:
+        return parent.select(F.col("id").alias(column))
+
+    def report(rows: DataFrame, table: str, column: str) -> DataFrame:
+        return rows.select(
             F.lit(table).alias("table_name"),
             F.col("id").cast("string").alias("row_id"),
             F.lit(column).alias("missing"),
         )
 
+    linkless = lookup_join(events.select("id", "link_id"), keys(links, "link_id"), "link_id", "left_anti", ["id"])
+    headless = dimension_join(links.select("id", "campaign_id"), keys(campaigns, "campaign_id"), "campaign_id", "left_anti")
+    ownerless = lookup_join(
+        links.select("id", "recipient_id"), keys(recipients, "recipient_id"), "recipient_id", "left_anti", ["id"]
+    )
     return (
-        without(events, "link_id", links, "link_events")
-        .unionByName(without(links, "campaign_id", campaigns, "links"))
-        .unionByName(without(links, "recipient_id", recipients, "links"))
+        report(linkless, "link_events", "link_id")
+        .unionByName(report(headless, "links", "campaign_id"))
+        .unionByName(report(ownerless, "links", "recipient_id"))
     )
 
 

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from drillsight.functions.people import display_name
 from drillsight.functions.rates import percent, percent_whole, trend_label, trend_points
-from drillsight.functions.text import short_label
+from drillsight.functions.text import or_else, short_label
 from drillsight.operators.aggregates import at_risk, campaign_summary
 from drillsight.operators.ordering import newest_first
 
 # Campaigns shown in the chart, and campaigns compared for the trend.
 CHART_LENGTH = 6
 TREND_LENGTH = 3
+# Fixed value: shown for a recipient without a department.
+NO_DEPARTMENT = "No dept"
 
 
 def _newest_with_counts(campaigns: DataFrame, links: DataFrame, events: DataFrame, n: int) -> DataFrame:
@@ -76,6 +78,7 @@ def ranked_at_risk(recipients: DataFrame, links: DataFrame, events: DataFrame) -
         rank.cast("long").alias("rank"),
         "id",
         display_name(F.col("first_name"), F.col("last_name"), F.col("email")).alias("name"),
+        or_else(F.col("department"), F.lit(NO_DEPARTMENT)).alias("department"),
         "campaigns_targeted",
         "total_clicks",
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from drillsight.functions.network import day_of
 from drillsight.operators.joins import by_source_priority
 from drillsight.schemas import STREAM_EVENTS
 
@@ -63,12 +64,12 @@ def daily_counts(clicks: DataFrame, delay: str = "1 day") -> DataFrame:
     matter use :func:`store_daily_deltas`.
     """
     timed = clicks.withColumn("ts", F.col("clicked_at").cast("timestamp"))
-    counts = (
+    return (
         timed.withWatermark("ts", delay)
-        .groupBy("link_key", F.window("ts", "1 day").alias("w"))
+        .groupBy("link_key", day_of(F.col("clicked_at")).alias("day"), F.window("ts", "1 day").alias("w"))
         .agg(F.count("*").alias("clicks"))
+        .select("link_key", "day", F.col("w.start").alias("window_start"), "clicks")
     )
-    return counts.select("link_key", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "clicks")
 
 
 def store_daily_counts(clicks: DataFrame, out: str, checkpoint: str, delay: str = "1 day", **trigger) -> StreamingQuery:
@@ -88,8 +89,12 @@ def store_daily_counts(clicks: DataFrame, out: str, checkpoint: str, delay: str
 
 
 def latest_counts(changes: DataFrame) -> DataFrame:
-    """Current counts: those of the last batch that changed a group; counts only grow."""
-    return changes.groupBy("link_key", "day").agg(F.max("clicks").alias("clicks"))
+    """Current counts: those of the last batch that changed a group; counts only grow.
+
+    A day has two windows where the session zone is not UTC, so these are summed.
+    """
+    last = changes.groupBy("link_key", "day", "window_start").agg(F.max("clicks").alias("clicks"))
+    return last.groupBy("link_key", "day").agg(F.sum("clicks").alias("clicks"))
 
 
 def store_daily_deltas(clicks: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -97,7 +102,7 @@ def store_daily_deltas(clicks: DataFrame, out: str, checkpoint: str, **trigger)
     every row, however late, and the stream keeps no state."""
 
     def count(batch: DataFrame, batch_id: int) -> None:
-        day = F.date_format("clicked_at", "yyyy-MM-dd").alias("day")
+        day = day_of(F.col("clicked_at")).alias("day")
         _write_batch(batch.groupBy("link_key", day).agg(F.count("*").alias("clicks")), out, batch_id)
 
     return (

@@ -167,7 +167,7 @@ from {orders}
 MESSAGES = """
 select doc_id,
   case lang
-  when 'en' then 'SIMULATION - sample' || chr(13) || chr(10) || chr(10) || 'From: desk' || cast(doc_id as varchar(20)) || '@example.com' || chr(10) ||
+  when 'en' then 'SIMULATION - TRAINING PURPOSES ONLY - sample' || chr(13) || chr(10) || chr(10) || 'From: desk' || cast(doc_id as varchar(20)) || '@example.com' || chr(10) ||
     'Subject: Notice ' || cast(doc_id as varchar(20)) || chr(10) || chr(10) || text || chr(10) || 'see HTTPS://a.example.com/' || cast(doc_id as varchar(20)) || '?x=1 now'
   when 'fr' then 'subject:  lower case ' || cast(doc_id as varchar(20)) || chr(10) || text || ' http://b.example.com'
   when 'de' then '{"from":"","subject":"Json ' || cast(doc_id as varchar(20)) || '","body":"' ||

@@ -22,14 +22,14 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def cell(x):
-    """One form for values both engines may type differently."""
-    if isinstance(x, bool) or x is None:
+    """A value with its kind, so that 1 and 1.0 differ."""
+    if x is None:
         return x
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else round(x, 9)
+        return ("float", "nan" if math.isnan(x) else round(x, 9))
     if isinstance(x, dt.datetime):
         return x.replace(tzinfo=None)
-    return x
+    return (type(x).__name__, x)
 
 
 def table(columns, rows):
