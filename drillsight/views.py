@@ -196,6 +196,27 @@ select page_id, 'Page ' || cast(page_id as varchar(20)) as title, url as link,
 from {pages}
 """
 
+#: Columns of the sample tables; with them Spark need not open files to plan a query.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
+
 #: Name and text of each view.
 TEXTS = {
     "recipients": RECIPIENTS,
@@ -226,15 +247,6 @@ def sources_of(name: str) -> list[str]:
     return list(dict.fromkeys(_PLACE.findall(TEXTS[name])))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view (or a sample table) of the data in ``sf_dir``."""
-    if name not in TEXTS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = TEXTS[name].replace("[key]", "substring(sha2(cast(id as varchar(20)), 256), 1, 48)")
-    inputs = {s: view(spark, sf_dir, s) for s in sources_of(name)}
-    return spark.sql(_format_safe(text), **inputs)
-
-
 def _format_safe(text: str) -> str:
     """Double the braces of JSON literals, which are no placeholders."""
     parts = _PLACE.split(text)
@@ -244,14 +256,24 @@ def _format_safe(text: str) -> str:
 
 
 class Views:
-    """The views of one directory as attributes, for example ``Views(spark, d).links``."""
+    """Tables and views of one directory as attributes, for example ``Views(spark, d).links``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        # Asked once per name: the DataFrame becomes a plain attribute.
+        if name in TABLES:
+            df = self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+        elif name in TEXTS:
+            text = TEXTS[name].replace("[key]", "substring(sha2(cast(id as varchar(20)), 256), 1, 48)")
+            inputs = {s: getattr(self, s) for s in sources_of(name)}
+            df = self.spark.sql(_format_safe(text), **inputs)
+        else:
+            raise AttributeError(name)
+        setattr(self, name, df)
+        return df
 
 
 def as_sql(query: str) -> str:
