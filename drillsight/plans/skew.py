@@ -2,10 +2,10 @@
 
 Clicks crowd: one link, campaign or address may be in most rows, and a plain shuffle
 join sends all of those to one task.  :func:`lookup_join` and :func:`fanout_join` find
-the crowded keys in one pass over the key column (a mergeable sketch of fixed size, no
-shuffle of rows), spread their rows over ``SALTS`` sub-keys, and repeat only the few
-matching rows of the other side.  The sketch decides nothing but the route a row takes:
-every row is joined, whichever it is.
+the crowded keys first, in one pass over the key column (:func:`hot_keys`, which runs a
+job).  Where there are none, the join is a plain one.  Else rows with a hot key are spread
+over ``SALTS`` sub-keys, and only the few matching rows of the other side are repeated.
+What is found decides the route a row takes and nothing else: every row is joined.
 
 :func:`dimension_join` is for the small tables: it broadcasts them after counting them.
 """
@@ -17,10 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hot keys are at most this many, so the broadcast list of them stays tiny.
+#: Hot keys are at most this many, the most frequent ones.
 MAX_HOT = 256
-#: Counters of the sketch: a key with more than about 1/1000 of all rows is not missed.
+#: Counters of a sketch: a key with more than about 1/1000 of its rows is not missed.
 SKETCH_COUNTERS = 4096
+#: Sketches are merged in so many groups before all meet.
+SLICES = 512
 #: Keys with fewer rows than this are not worth splitting.
 MIN_HOT_ROWS = 100_000
 #: Sub-keys per hot key.
@@ -29,41 +31,42 @@ SALTS = 64
 MAX_BROADCAST_ROWS = 50_000
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """The most frequent keys of ``df`` as ``_hot``: at most ``MAX_HOT`` rows."""
+def hot_keys(df: DataFrame, key: str, min_rows: int | None = None) -> list:
+    """The most frequent keys of ``df``, null among them, each with ``min_rows`` rows or more.
+
+    Counted with sketches of fixed size: one per task, merged by slices of the tasks, and
+    the top of each slice added up.  Rows are not shuffled, and the driver gets no more
+    than ``MAX_HOT`` keys.
+    """
     top = F.expr(f"approx_top_k(`{key}`, {MAX_HOT}, {SKETCH_COUNTERS})")
-    return (
-        df.select(key)
-        .filter(F.col(key).isNotNull())
+    counted = (
+        df.select(key, (F.spark_partition_id() % SLICES).alias("_slice"))
+        .groupBy("_slice")
         .agg(top.alias("top"))
         .select(F.explode("top").alias("top"))
-        .filter(F.col("top.count") >= min_rows)
-        .select(F.col("top.item").alias("_hot"))
+        .groupBy(F.col("top.item").alias("item"))
+        .agg(F.sum("top.count").alias("n"))
     )
+    frequent = counted.filter(F.col("n") >= (MIN_HOT_ROWS if min_rows is None else min_rows))
+    return [row["item"] for row in frequent.orderBy(F.desc("n")).limit(MAX_HOT).collect()]
 
 
-def _salted(df: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:
-    """Rows with a hot key, or none, get one of the sub-keys; the others get 0."""
-    crowded = F.col("_hot").isNotNull() | F.col(key).isNull()
-    salt = F.when(crowded, F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(0)
-    return df.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
-
-
-def _repeated(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Rows with a hot key once for each sub-key; ``_is_hot`` tells them apart."""
-    all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    is_hot = F.col("_hot").isNotNull()
-    return (
-        df.join(hot, F.col(key) == F.col("_hot"), "left")
-        .withColumn("_is_hot", is_hot)
-        .withColumn("_salt", F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
+def _is_hot(key: str, hot: Sequence) -> Column:
+    return F.coalesce(F.col(key).isin([k for k in hot if k is not None]), F.lit(False))
 
 
-def _spread(df: DataFrame, columns: Sequence[str] | None) -> Column:
+def _salted(df: DataFrame, key: str, hot: Sequence, spread_by: Sequence[str] | None) -> DataFrame:
+    """Rows with a hot key, or none, get one of the sub-keys; the others get 0."""
     # A hash and not a random number: a task that runs again salts its rows the same way.
-    return F.xxhash64(*[F.col(c) for c in (columns or df.columns)])
+    spread = F.xxhash64(*[F.col(c) for c in (spread_by or df.columns)])
+    crowded = F.col(key).isNull() | _is_hot(key, hot)
+    return df.withColumn("_salt", F.when(crowded, F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(0))
+
+
+def _repeated(df: DataFrame, key: str, hot: Sequence) -> DataFrame:
+    """Rows with a hot key once for each sub-key, the others once."""
+    salts = F.when(_is_hot(key, hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return df.withColumn("_salt", F.explode(salts))
 
 
 def lookup_join(
@@ -72,7 +75,6 @@ def lookup_join(
     on: str,
     how: str = "inner",
     spread_by: Sequence[str] | None = None,
-    min_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
     """Join ``big`` to ``small``, which has few rows per key.
 
@@ -83,39 +85,35 @@ def lookup_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot do a {how} join")
-    hot = F.broadcast(hot_keys(big, on, min_rows))
-    left = _salted(big, on, hot, _spread(big, spread_by))
-    right = _repeated(small, on, hot).drop("_is_hot")
-    return left.join(right, [on, "_salt"], how).drop("_salt")
+    hot = hot_keys(big, on)
+    if not hot:
+        return big.join(small, on, how)
+    return _salted(big, on, hot, spread_by).join(_repeated(small, on, hot), [on, "_salt"], how).drop("_salt")
 
 
-def fanout_join(
-    one: DataFrame,
-    many: DataFrame,
-    on: str,
-    spread_by: Sequence[str] | None = None,
-    min_rows: int = MIN_HOT_ROWS,
-) -> DataFrame:
+def fanout_join(one: DataFrame, many: DataFrame, on: str, spread_by: Sequence[str] | None = None) -> DataFrame:
     """``one`` left join ``many``, where keys may crowd in ``many``.
 
     A hot key has rows in ``many``, so a repeated row of ``one`` that met none of them
     is a repetition in vain and goes; rows of all other keys are kept with nulls.
     """
-    hot = F.broadcast(hot_keys(many, on, min_rows))
-    left = _repeated(one, on, hot)
-    right = _salted(many, on, hot, _spread(many, spread_by)).withColumn("_met", F.lit(True))
-    joined = left.join(right, [on, "_salt"], "left")
-    return joined.filter(F.col("_met").isNotNull() | ~F.col("_is_hot")).drop("_salt", "_is_hot", "_met")
+    hot = hot_keys(many, on)
+    if not hot:
+        return one.join(many, on, "left")
+    right = _salted(many, on, hot, spread_by).withColumn("_met", F.lit(True))
+    joined = _repeated(one, on, hot).join(right, [on, "_salt"], "left")
+    return joined.filter(F.col("_met").isNotNull() | ~_is_hot(on, hot)).drop("_salt", "_met")
 
 
 def dimension_join(
-    big: DataFrame, dimension: DataFrame, on: str, how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS
+    big: DataFrame, dimension: DataFrame, on: str, how: str = "inner", max_rows: int | None = None
 ) -> DataFrame:
     """Join ``big`` to a table that is expected to be small.
 
     It is counted up to ``max_rows`` (which runs a job) and broadcast if it has no more;
     beyond that this is a :func:`lookup_join`.
     """
-    if dimension.limit(max_rows + 1).count() <= max_rows:
+    limit = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    if dimension.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(dimension), on, how)
     return lookup_join(big, dimension, on, how)

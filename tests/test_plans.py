@@ -37,39 +37,54 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+@pytest.fixture(params=[1000, 10**9], ids=["salted", "plain"])
+def threshold(request, monkeypatch):
+    monkeypatch.setattr(skew, "MIN_HOT_ROWS", request.param)
+    return request.param
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("min_rows", [1000, 10**9])
-def test_lookup_join_is_the_join(big, small, how, min_rows):
+def test_lookup_join_is_the_join(big, small, how, threshold):
     columns = ["k", "row"] + (["v"] if how in ("inner", "left") else [])
-    got = skew.lookup_join(big, small, "k", how, ["row"], min_rows).select(columns)
-    assert rows(got) == rows(big.join(small, "k", how).select(columns))
+    got = skew.lookup_join(big, small, "k", how, ["row"])
+    assert ("_salt" in explain(got)) == (threshold == 1000)
+    assert rows(got.select(columns)) == rows(big.join(small, "k", how).select(columns))
 
 
-def test_lookup_join_keeps_repeated_keys_of_the_small_side(big, small):
+def test_lookup_join_keeps_repeated_keys_of_the_small_side(big, small, threshold):
     twice = small.unionByName(small.withColumn("v", -F.col("v")))
-    got = skew.lookup_join(big, twice, "k", "inner", ["row"], 1000)
+    got = skew.lookup_join(big, twice, "k", "inner", ["row"])
     assert rows(got.select("k", "row", "v")) == rows(big.join(twice, "k").select("k", "row", "v"))
 
 
-@pytest.mark.parametrize("min_rows", [1000, 10**9])
-def test_fanout_join_is_the_left_join(big, small, min_rows):
-    got = skew.fanout_join(small, big, "k", ["row"], min_rows).select("k", "v", "row")
+def test_fanout_join_is_the_left_join(big, small, threshold):
+    got = skew.fanout_join(small, big, "k", ["row"]).select("k", "v", "row")
     want = small.join(big, "k", "left").select("k", "v", "row")
     assert rows(got) == rows(want)
 
 
-def test_texts_as_keys(big, small):
+def test_fanout_join_with_few_rows_per_salt(spark, monkeypatch):
+    """Fewer rows than salts: most repetitions are in vain, and none of them shows."""
+    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 3)
+    many = spark.createDataFrame([(1, n) for n in range(5)] + [(2, 9)], "k long, row long")
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d"), (1, "e")], "k long, v string")
+    got = skew.fanout_join(one, many, "k", ["row"]).select("k", "v", "row")
+    assert rows(got) == rows(one.join(many, "k", "left").select("k", "v", "row"))
+
+
+def test_texts_as_keys(big, small, threshold):
     def texts(df):
-        return df.withColumn("k", F.concat(F.lit("key "), "k"))
+        return df.withColumn("k", F.concat(F.lit("key '"), "k"))
 
-    got = skew.lookup_join(texts(big), texts(small), "k", "left", ["row"], 1000)
+    got = skew.lookup_join(texts(big), texts(small), "k", "left", ["row"])
     assert rows(got.select("k", "row", "v")) == rows(texts(big).join(texts(small), "k", "left").select("k", "row", "v"))
 
 
-def test_hot_keys_are_found_and_spread(big, small):
-    hot = [r["_hot"] for r in skew.hot_keys(big, "k", 1000).collect()]
-    assert hot == [7]
-    salted = skew._salted(big, "k", F.broadcast(skew.hot_keys(big, "k", 1000)), F.xxhash64("row"))
+def test_hot_keys_are_found_and_spread(big):
+    assert skew.hot_keys(big, "k", 1000) == [7]
+    assert skew.hot_keys(big, "k", 400) == [7, None]
+    assert skew.hot_keys(big.limit(0), "k", 1) == []
+    salted = skew._salted(big, "k", [7], ["row"])
     share = salted.filter("k = 7").groupBy("_salt").count().agg(F.max("count"), F.count("*")).first()
     assert share[1] == skew.SALTS
     assert share[0] < SKEWED / 3 / skew.SALTS * 2
@@ -77,12 +92,20 @@ def test_hot_keys_are_found_and_spread(big, small):
     assert salted.filter("k <> 7 and _salt > 0").count() == 0
 
 
+def test_a_key_crowded_in_one_file_is_found(spark):
+    """All rows of the key are in one of many partitions."""
+    spread = spark.range(0, 20_000, 1, 20).select((F.col("id") + 100).alias("k"))
+    lump = spark.range(0, 8_000, 1, 1).select(F.lit(7).cast("long").alias("k"))
+    assert skew.hot_keys(spread.union(lump), "k", 5000) == [7]
+
+
 def test_number_of_hot_keys_is_bounded(spark):
     many = spark.range(100_000).select((F.col("id") % 1000).alias("k"))
-    assert skew.hot_keys(many, "k", 1).count() <= skew.MAX_HOT
+    assert len(skew.hot_keys(many, "k", 1)) == skew.MAX_HOT
 
 
-def test_dimension_join_beyond_its_limit(big, small):
+def test_dimension_join_beyond_its_limit(big, small, monkeypatch):
+    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 1000)
     got = skew.dimension_join(big, small, "k", "left", max_rows=10)
     assert "_salt" in explain(got)
     assert rows(got.select("k", "row", "v")) == rows(big.join(small, "k", "left").select("k", "row", "v"))
@@ -155,11 +178,7 @@ def test_same_results_without_broadcast_and_with_salts(spark, monkeypatch):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     monkeypatch.setattr(skew, "MAX_BROADCAST_ROWS", 0)
-    for f in (skew.lookup_join, skew.fanout_join):
-        monkeypatch.setattr(f, "__defaults__", tuple(2 if d == skew.MIN_HOT_ROWS else d for d in f.__defaults__))
-    monkeypatch.setattr(
-        skew.dimension_join, "__defaults__", tuple(0 if d == 50_000 else d for d in skew.dimension_join.__defaults__)
-    )
+    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 2)
     try:
         for n in names:
             df = queries()[n](spark, SMALL)
