@@ -269,6 +269,14 @@ _SQL = {
           on q.link_id = e.link_id
         join {links} l on l.tracking_id = q.tracking_id join {campaigns} c on c.id = l.campaign_id""",
     "source_priority": f"select event_id, link_key, url, name, link_id, source from ({_RESOLVED}) x",
+    "event_rows": """select cast(event_id as varchar) as id, s.link_id, 'click' as event_type,
+        case when coalesce(forwarded, '') <> '' then forwarded else remote end as ip_address,
+        coalesce(ua, '') as user_agent, clicked_at as created_at
+        from {requests} q join {short_links} s on s.link_key = q.link_key
+        where event_type = 'click' and not exists (select 1 from {link_map} m where m.link_key = q.link_key)""",
+    "log_rows": """select q.link_key, clicked_at, coalesce(ua, '') as ua,
+        sha256(case when coalesce(forwarded, '') <> '' then trim(split_part(forwarded, ',', 1)) else remote end) as ip_hash
+        from {requests} q join {link_map} m on m.link_key = q.link_key where event_type = 'click'""",
     "last_agent": """select link_id, user_agent as last_user_agent from (
         select link_id, user_agent, row_number() over (partition by link_id order by created_at desc, id desc) as n
         from {link_events}) x where n = 1""",
@@ -342,6 +350,8 @@ _SQL = {
         campaigns_targeted, total_clicks from ({_AT_RISK}) a""",
     # sort, limit, top-k
     "order_by_name": "select id, first_name, last_name from {recipients} order by last_name, first_name",
+    "order_detail_by_name": f"""select link_id, "lastName", "firstName" from ({_DETAIL}) d
+        order by "lastName", "firstName", link_id""",
     "order_newest": "select id, created_at from {links} order by created_at desc",
     "top_k": """select l.recipient_id as id, count(distinct l.campaign_id) as campaigns_targeted, count(e.id) as total_clicks
         from {links} l left join {link_events} e on e.link_id = l.id

@@ -386,6 +386,21 @@ def source_priority(v: Views) -> DataFrame:
     return joins.by_source_priority(clicks, v.link_map, v.short_links)
 
 
+def _resolved(v: Views) -> DataFrame:
+    clicks = v.requests.filter(F.col("event_type") == "click").drop("event_type")
+    return joins.by_source_priority(clicks, v.link_map, v.short_links)
+
+
+@query
+def event_rows(v: Views) -> DataFrame:
+    return click_log.event_rows(_resolved(v))
+
+
+@query
+def log_rows(v: Views) -> DataFrame:
+    return click_log.log_rows(_resolved(v))
+
+
 @query
 def last_agent(v: Views) -> DataFrame:
     return last_agent_per_link(v.link_events)
@@ -565,6 +580,12 @@ def order_by_name(v: Views) -> DataFrame:
     return ordering.by_name(v.recipients.select("id", "first_name", "last_name"))
 
 
+@query
+def order_detail_by_name(v: Views) -> DataFrame:
+    detail = aggregates.campaign_recipients(v.links, v.recipients, v.link_events)
+    return ordering.by_name(detail.select("link_id", "lastName", "firstName"), "lastName", "firstName", "link_id")
+
+
 @query
 def order_newest(v: Views) -> DataFrame:
     return ordering.newest_first(v.links.select("id", "created_at"))
@@ -696,7 +717,8 @@ def pp_text(v: Views) -> DataFrame:
 
 def _stream(v: Views) -> DataFrame:
     """The click requests of the event table, as a stream with the columns of a request."""
-    events = streams.read_event_stream(v.spark, v.sf_dir).filter(F.col("event_type") == "click")
+    # A pattern, which finds the table as one file and as a folder of files.
+    events = streams.read_event_stream(v.spark, f"{v.sf_dir}/events.parquet*").filter(F.col("event_type") == "click")
     return events.select(
         "event_id",
         F.concat(F.lit("L"), "user_id").alias("link_key"),

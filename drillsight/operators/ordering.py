@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 SORTABLE = ("first_name", "last_name", "email", "department", "job_title")
 
 
-def by_name(recipients: DataFrame) -> DataFrame:
-    """By last and first name; nulls come first."""
-    return recipients.orderBy("last_name", "first_name", "id")
+def by_name(recipients: DataFrame, last: str = "last_name", first: str = "first_name", tie: str = "id") -> DataFrame:
+    """By last and first name; nulls come first.  Reports name these columns otherwise."""
+    return recipients.orderBy(last, first, tie)
 
 
 def newest_first(df: DataFrame) -> DataFrame:

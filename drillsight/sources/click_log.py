@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drillsight.functions.network import client_ip, hash_ip
+from drillsight.functions.text import or_else
 from drillsight.schemas import CLICK_LINE, LINK_MAP
 
 _AT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -46,6 +47,28 @@ def append_click_log(clicks: DataFrame, path: str) -> None:
     log_lines(clicks).write.mode("append").json(path)
 
 
+def event_rows(resolved: DataFrame) -> DataFrame:
+    """Rows of the event table for requests whose link is in the database.
+
+    ``resolved`` are raw requests with the link attached (see ``by_source_priority``).
+    The forwarding header is kept as it came.
+    """
+    return resolved.filter(F.col("source") == "db").select(
+        F.col("event_id").cast("string").alias("id"),
+        "link_id",
+        F.lit("click").alias("event_type"),
+        or_else(F.col("forwarded"), F.coalesce("remote", F.lit(""))).alias("ip_address"),
+        F.coalesce("ua", F.lit("")).alias("user_agent"),
+        F.col("clicked_at").alias("created_at"),
+    )
+
+
+def log_rows(resolved: DataFrame) -> DataFrame:
+    """Rows of the click log for requests whose link is in the link file."""
+    clicks = clicks_from_requests(resolved.filter(F.col("source") == "file"))
+    return clicks.select("link_key", "clicked_at", F.coalesce("ua", F.lit("")).alias("ua"), "ip_hash")
+
+
 def clicks_from_requests(requests: DataFrame) -> DataFrame:
     """Click rows of raw requests: address from header or socket, stored as a hash."""
     ip = client_ip(F.col("forwarded"), F.col("remote"))

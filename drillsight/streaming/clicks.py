@@ -18,14 +18,9 @@ from drillsight.schemas import STREAM_EVENTS
 _BATCH = "batch"
 
 
-def read_event_stream(spark: SparkSession, folder: str, files: str = "events.parquet", per_batch: int = 100) -> DataFrame:
-    """The event files of ``folder`` as a stream, ``per_batch`` files at a time."""
-    return (
-        spark.readStream.schema(STREAM_EVENTS)
-        .option("pathGlobFilter", files)
-        .option("maxFilesPerTrigger", per_batch)
-        .parquet(folder)
-    )
+def read_event_stream(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
+    """The event files at ``path``, which is a pattern, as a stream of ``per_batch`` files at a time."""
+    return spark.readStream.schema(STREAM_EVENTS).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 def _write_batch(rows: DataFrame, out: str, batch_id: int, *partitions: str) -> None:

@@ -81,7 +81,8 @@ REQUESTS = """
 select event_id, 'L' || cast(user_id as varchar(20)) as link_key, ts as clicked_at, event_type,
   case event_id % 3 when 0 then ' 203.0.113.' || cast(event_id % 251 as varchar(9)) || ' , 10.9.9.9'
        when 1 then '' end as forwarded,
-  '10.1.0.' || cast(event_id % 97 as varchar(9)) as remote
+  '10.1.0.' || cast(event_id % 97 as varchar(9)) as remote,
+  case event_id % 4 when 0 then null when 1 then '' else 'Mozilla/5.0 (X11; Linux) Firefox/121' end as ua
 from {events}
 """
 

@@ -32,7 +32,7 @@ def arriving(spark, tmp_path):
         shutil.copy(parts[n], folder / f"events-{n}.parquet")
 
     def stream():
-        source = streams.read_event_stream(spark, str(folder), "events-*.parquet", per_batch=1)
+        source = streams.read_event_stream(spark, f"{folder}/events-*.parquet", per_batch=1)
         return source.filter("event_type = 'click'").select(
             "event_id", F.concat(F.lit("L"), "user_id").alias("link_key"), F.col("ts").alias("clicked_at"),
             network.hash_ip(F.concat(F.lit("10.1.0."), F.col("event_id") % 97)).alias("ip_hash"),
