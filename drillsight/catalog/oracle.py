@@ -300,6 +300,11 @@ _SQL = {
         from (select *, last_user_agent as user_agent from ({_DETAIL}) d) x""",
     "at_risk": _AT_RISK,
     "department_risk": _DEPARTMENT_RISK,
+    "department_risk_any_case": f"""select min(department) as department, cast(sum(emails_sent) as bigint) as emails_sent,
+        cast(sum(total_clicks) as bigint) as total_clicks,
+        cast((2000 * sum(total_clicks) + sum(emails_sent)) // (2 * sum(emails_sent)) as bigint) / 10.0 as click_rate
+        from ({_DEPARTMENT_RISK.replace("trim(department)", "trim(case when high_risk then lower(department) else department end)")}) d
+        group by lower(department)""",
     "link_daily_clicks": """select link_key, strftime(clicked_at, '%Y-%m-%d') as day, count(*) as clicks
         from {click_log} group by 1, 2""",
     "link_agent_counts": """select link_key, coalesce(nullif(ua, ''), 'unknown') as agent, count(*) as clicks

@@ -459,6 +459,13 @@ def department_risk(v: Views) -> DataFrame:
     return aggregates.department_risk(v.recipients, v.links, v.link_events)
 
 
+@query
+def department_risk_any_case(v: Views) -> DataFrame:
+    spelled = F.when(F.col("high_risk"), F.lower("department")).otherwise(F.col("department"))
+    recipients = v.recipients.withColumn("department", spelled)
+    return aggregates.department_risk(recipients, v.links, v.link_events, collation="UTF8_LCASE")
+
+
 def _hashed(v: Views) -> DataFrame:
     return v.click_log.withColumn("ip_hash", network.hash_ip(F.col("ip")))
 

@@ -47,6 +47,11 @@ def or_else(*choices: Column) -> Column:
     return F.coalesce(*[empty_to_null(c) for c in tried], last)
 
 
+def collated(c: Column, collation: str | None) -> Column:
+    """``c`` compared by a collation, for example ``UTF8_LCASE`` to ignore case; None compares exactly."""
+    return c if collation is None else F.collate(c, collation)
+
+
 def nonblank(c: Column) -> Column:
     """True where something is left after trimming spaces (false for null)."""
     return F.coalesce(F.trim(c) != "", F.lit(False))

@@ -9,7 +9,7 @@ from drillsight.functions.agents import agent_or_unknown, parse_user_agent
 from drillsight.functions.network import day_of
 from drillsight.functions.people import department_or_unknown, display_name
 from drillsight.functions.rates import clicked_flag, percent_tenth, percent_whole
-from drillsight.functions.text import nonblank, or_else
+from drillsight.functions.text import collated, nonblank, or_else
 from drillsight.plans.clicks import links_with_clicks
 from drillsight.plans.skew import dimension_join, lookup_join
 
@@ -205,8 +205,26 @@ def at_risk(recipients: DataFrame, links: DataFrame, events: DataFrame, top: int
     return people.join(clicked, "id").orderBy(F.desc("total_clicks"), "id").limit(top)
 
 
-def department_risk(recipients: DataFrame, links: DataFrame, events: DataFrame) -> DataFrame:
-    """Per department: links sent, clicks, and the click rate with one decimal."""
+def _merge_spellings(by_department: DataFrame, collation: str) -> DataFrame:
+    return (
+        by_department.groupBy(collated(F.col("department"), collation).alias("_key"))
+        .agg(
+            F.min("department").alias("department"),
+            F.sum("emails_sent").alias("emails_sent"),
+            F.sum("total_clicks").alias("total_clicks"),
+        )
+        .drop("_key")
+    )
+
+
+def department_risk(
+    recipients: DataFrame, links: DataFrame, events: DataFrame, collation: str | None = None
+) -> DataFrame:
+    """Per department: links sent, clicks, and the click rate with one decimal.
+
+    With a ``collation``, spellings it holds equal are one department, shown by the
+    first of them in binary order.
+    """
     per_recipient = (
         links_with_clicks(links, events)
         .groupBy(F.col("recipient_id").alias("id"))
@@ -217,6 +235,7 @@ def department_risk(recipients: DataFrame, links: DataFrame, events: DataFrame)
         .join(per_recipient, "id")
         .groupBy("department")
         .agg(F.sum("sent").alias("emails_sent"), F.sum("clicks").alias("total_clicks"))
+        .transform(lambda df: df if collation is None else _merge_spellings(df, collation))
         .withColumn("click_rate", percent_tenth(F.col("total_clicks"), F.col("emails_sent")))
         .filter(F.col("emails_sent") > 0)
         .orderBy(F.desc("click_rate"), "department")
@@ -297,6 +316,15 @@ def delivery_failures(deliveries: DataFrame) -> DataFrame:
     return deliveries.filter(~F.col("success")).select("run_id", "link_id", "email", "error")
 
 
-def distinct_departments(recipients: DataFrame) -> DataFrame:
+def distinct_names(names: DataFrame, collation: str | None = None) -> DataFrame:
+    """Each ``name`` once; of spellings a collation holds equal, the first in binary order."""
+    once = names.select("name").distinct()
+    if collation is None:
+        return once
+    return once.groupBy(collated(F.col("name"), collation).alias("_key")).agg(F.min("name").alias("name")).drop("_key")
+
+
+def distinct_departments(recipients: DataFrame, collation: str | None = None) -> DataFrame:
     """Departments in use as they are written; blank ones are left out."""
-    return recipients.filter(nonblank(F.col("department"))).select(F.col("department").alias("name")).distinct()
+    used = recipients.filter(nonblank(F.col("department"))).select(F.col("department").alias("name"))
+    return distinct_names(used, collation)

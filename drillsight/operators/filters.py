@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drillsight.functions.people import as_flag
-from drillsight.functions.text import empty_to_null
+from drillsight.functions.text import collated, empty_to_null
 from drillsight.plans.skew import dimension_join
 
 #: Columns a roster search looks into.
@@ -21,16 +21,18 @@ def _has_email(df: DataFrame) -> DataFrame:
     return df.filter(empty_to_null(F.col("email")).isNotNull())
 
 
-def in_departments(recipients: DataFrame, departments: Sequence[str] | DataFrame | None) -> DataFrame:
+def in_departments(
+    recipients: DataFrame, departments: Sequence[str] | DataFrame | None, collation: str | None = None
+) -> DataFrame:
     """Recipients of the given departments (all for an empty list) that have an email.
 
-    A long list may be passed as a table with a ``name`` column.
+    A long list may be passed as a table with a ``name`` column, which is compared exactly.
     """
     if isinstance(departments, DataFrame):
         wanted = departments.select(F.col("name").alias("department")).distinct()
         recipients = dimension_join(recipients, wanted, "department", "left_semi")
     elif departments:
-        recipients = recipients.filter(F.col("department").isin(list(departments)))
+        recipients = recipients.filter(collated(F.col("department"), collation).isin(list(departments)))
     return _has_email(recipients)
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drillsight.functions.text import empty_to_null
-from drillsight.operators.aggregates import distinct_departments
+from drillsight.operators.aggregates import distinct_departments, distinct_names
 
 
-def department_union(departments: DataFrame, recipients: DataFrame) -> DataFrame:
+def department_union(departments: DataFrame, recipients: DataFrame, collation: str | None = None) -> DataFrame:
     """Managed departments and those in use, each once, in order."""
-    return departments.select("name").union(distinct_departments(recipients)).distinct().orderBy("name")
+    both = departments.select("name").union(distinct_departments(recipients))
+    return distinct_names(both, collation).orderBy("name")
 
 
 def department_options(departments: DataFrame, recipients: DataFrame) -> DataFrame:

@@ -102,6 +102,16 @@ def test_departments(star):
     assert names(sets.department_options(star.departments, star.recipients)) == ["  ", " Sales ", "HR", "IT", "Sales"]
 
 
+def test_departments_in_any_case(spark, star):
+    people = star.recipients.withColumn("department", F.when(F.col("id") == 2, "sALES").otherwise(F.col("department")))
+    risk = aggregates.department_risk(people, star.links, star.events, "UTF8_LCASE").collect()
+    assert {tuple(r) for r in risk} == {("Sales", 3, 5, 166.7), ("Unknown", 3, 2, 66.7)}
+    more = star.departments.unionByName(spark.createDataFrame([("it",)], "name string"))
+    assert names(sets.department_union(more, people, "UTF8_LCASE")) == [" Sales ", "HR", "IT", "sALES"]
+    assert sorted(by_id(filters.in_departments(people, ["SALES"], "UTF8_LCASE"))) == [2]
+    assert sorted(by_id(filters.in_departments(people, ["SALES"]))) == []
+
+
 def test_joins(star):
     every = joins.recipients_to_events(star.recipients, star.links, star.campaigns, star.events)
     got = sorted((r["recipient_id"], r["link_id"] or 0, r["event_id"] or "") for r in every.collect())
