@@ -10,6 +10,7 @@ from drillsight.functions.text import (
     empty_to_null,
     neutralize_links,
     or_else,
+    web_ltrim,
     web_trim,
 )
 
@@ -32,11 +33,13 @@ NO_SUBJECT = "(No Subject)"
 JSON_FORM = "from string, subject string, body string"
 
 
-def _cut_first(text: Column, piece: Column) -> Column:
-    """Remove the first occurrence of ``piece`` and trim; unchanged where it is empty."""
-    at = F.instr(text, piece)
-    rest = F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(piece)))
-    return F.when(piece == "", text).otherwise(web_trim(rest))
+def _cut_first(df: DataFrame, text: str, piece: str) -> DataFrame:
+    """Remove the first occurrence of ``piece`` in ``text`` and trim; unchanged where it is empty."""
+    whole, part = F.col(text), F.col(piece)
+    at = F.instr(whole, part)
+    rest = F.concat(F.substr(whole, F.lit(1), at - 1), F.substr(whole, at + F.length(part)))
+    cut = df.withColumn("_rest", F.when(part != "", rest))
+    return cut.withColumn(text, F.when(part == "", whole).otherwise(web_trim(F.col("_rest")))).drop("_rest")
 
 
 def _find(text: Column, name: str, pattern: str) -> Column:
@@ -55,8 +58,8 @@ def split_headers(df: DataFrame, text: str, default_from: str | None = None) ->
             "_subject": _find(F.col(text), "Subject", SUBJECT_LINE),
         }
     )
-    cut = found.withColumn("_body", _cut_first(F.col(text), F.col("_from")))
-    cut = cut.withColumn("_body", _cut_first(F.col("_body"), F.col("_subject")))
+    cut = _cut_first(found.withColumn("_body", F.col(text)), "_body", "_from")
+    cut = _cut_first(cut, "_body", "_subject")
     no_sender = F.lit(default_from).cast("string")
     return cut.withColumns(
         {
@@ -74,16 +77,14 @@ def split_messages(df: DataFrame, message: str, default_from: str | None = None)
     label line, and their links are replaced by a marker.
     """
     raw = F.coalesce(F.col(message), F.lit(""))
-    is_object = F.startswith(web_trim(raw), F.lit("{"))
+    is_object = F.startswith(web_ltrim(raw), F.lit("{"))
     form = F.when(is_object, F.from_json(raw, JSON_FORM, {"allowSingleQuotes": "false"}))
     has_form = F.coalesce(empty_to_null(F.col("_form.subject")), empty_to_null(F.col("_form.body")))
-    unix = web_trim(F.replace(raw, F.lit("\r\n"), F.lit("\n")))
-    text = F.when(F.col("_has_form"), F.lit("")).otherwise(web_trim(F.regexp_replace(unix, LABEL_LINE, "")))
-    split = split_headers(
-        df.withColumn("_form", form).withColumn("_has_form", has_form.isNotNull()).withColumn("_text", text),
-        "_text",
-        default_from,
-    )
+    unix = F.replace(raw, F.lit("\r\n"), F.lit("\n"))
+    plain = df.withColumn("_form", form).withColumn("_has_form", has_form.isNotNull())
+    plain = plain.withColumn("_text", F.when(F.col("_has_form"), "").otherwise(web_ltrim(unix)))
+    plain = plain.withColumn("_text", F.regexp_replace("_text", LABEL_LINE, ""))
+    split = split_headers(plain.withColumn("_text", web_trim(F.col("_text"))), "_text", default_from)
     by_form = {
         "from": or_else(F.col("_form.from"), F.lit(default_from).cast("string")),
         "subject": or_else(F.col("_form.subject"), F.lit(NO_SUBJECT)),
