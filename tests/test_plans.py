@@ -92,6 +92,35 @@ def test_hot_keys_are_found_and_spread(big):
     assert salted.filter("k <> 7 and _salt > 0").count() == 0
 
 
+@pytest.mark.parametrize("join", ["lookup", "fanout"])
+def test_no_task_gets_the_hot_key_alone(spark, monkeypatch, join):
+    """Rows per task behind the join, with a third of all rows on one key."""
+    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 1000)
+    n = F.col("id")
+    many = spark.range(300_000).select(n.alias("row"), F.when(n % 3 == 0, 7).otherwise(n % 50_000).cast("long").alias("k"))
+    one = spark.range(50_000).select(n.alias("k"), (n * 2).alias("v"))
+    settings = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, value in settings.items():
+        spark.conf.set(k, value)
+    try:
+        salted = skew.lookup_join(many, one, "k") if join == "lookup" else skew.fanout_join(one, many, "k")
+        tasks = {}
+        for name, df in {"plain": many.join(one, "k"), "salted": salted}.items():
+            counts = df.groupBy(F.spark_partition_id().alias("task")).count()
+            tasks[name] = counts.agg(F.max("count"), F.sum("count")).first()
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    assert tasks["plain"][1] == tasks["salted"][1] == 300_000
+    assert tasks["plain"][0] > 100_000
+    assert tasks["salted"][0] < 25_000
+
+
 def test_a_key_crowded_in_one_file_is_found(spark):
     """All rows of the key are in one of many partitions."""
     spread = spark.range(0, 20_000, 1, 20).select((F.col("id") + 100).alias("k"))
