@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from drillsight.llm import bpe, packing
+from drillsight.llm import bpe, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.query(spark, folder, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.query(spark, folder)
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.query(spark, folder, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -24,6 +28,7 @@ def all_queries() -> dict[str, Query]:
     """Every query of this folder by name."""
     return {
         "op1_bpe": op1_bpe,
+        "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
     }
 
