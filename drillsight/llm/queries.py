@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from drillsight.llm import bpe, packing, simhash
+from drillsight.llm import bpe, packing, simhash, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.query(spark, folder, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.query(spark, folder)
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.query(spark, folder)
 
@@ -28,6 +32,7 @@ def all_queries() -> dict[str, Query]:
     """Every query of this folder by name."""
     return {
         "op1_bpe": op1_bpe,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
     }
