@@ -226,9 +226,13 @@ def pack(
         still_open, parts = after.filter("open"), groups
 
 
-def query(spark: SparkSession, folder: str, path: str) -> DataFrame:
-    """Every piece of all documents, with the checksum of its ids."""
-    pieces = pack(table(spark, folder, "documents"), path)
-    return pieces.select(
+def pieces(docs: DataFrame, path: str) -> DataFrame:
+    """Every piece of all documents, with the checksum of its ids instead of them."""
+    return pack(docs, path).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+def query(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """The pieces of all documents."""
+    return pieces(table(spark, folder, "documents"), path)

@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from drillsight.llm import bpe, packing, simhash, suffix_dedup
+from drillsight.llm import (
+    ann,
+    bpe,
+    chat_format,
+    language_id,
+    packing,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,14 +27,6 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.query(spark, folder, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix_dedup.query(spark, folder)
-
-
-def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash.query(spark, folder)
-
-
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.query(spark, folder, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,8 +35,14 @@ def all_queries() -> dict[str, Query]:
     """Every query of this folder by name."""
     return {
         "op1_bpe": op1_bpe,
-        "op2_suffix_dedup": op2_suffix_dedup,
-        "op9_simhash": op9_simhash,
+        "op2_suffix_dedup": suffix_dedup.query,
+        "op3_ann": ann.query,
+        "op4_quality_rules": quality_rules.query,
+        "op5_chat_format": chat_format.query,
+        "op6_quality_classifier": quality_classifier.query,
+        "op7_toxicity": toxicity.query,
+        "op8_language_id": language_id.query,
+        "op9_simhash": simhash.query,
         "op10_packing": op10_packing,
     }
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drillsight.llm.common import steps, table
@@ -56,17 +56,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes())
 
 
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: the fingerprint's 64 bits as a long."""
+    """``doc_id, mark, fp``: a hash of the text, and the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            found = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], np.uint64)
+        for batch in steps(batches, 2):
+            found = np.array([fingerprint(x, shingle) for x in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"]
+                [batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "mark", "fp"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    plain = docs.select(F.col("doc_id").cast("long"), _mark().alias("mark"), "text")
+    return plain.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 class Trie:
@@ -236,17 +241,30 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """``doc_id, fp, component_id, root``: ``root`` is the component's smallest ``fp``."""
+    """``doc_id, mark, fp, component_id, root``: ``root`` is the component's smallest ``fp``,
+    ``mark`` a hash of the text by which a row can be found again."""
     own = stage(fingerprints(docs, shingle), "fingerprints")
     nodes = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprints-distinct")
     roots = components(links(nodes, bits)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return own.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select(
-        "doc_id", "fp", "component_id", "root"
+        "doc_id", "mark", "fp", "component_id", "root"
     )
 
 
+def representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest ``doc_id``.
+
+    Several texts of that id are ordered by a hash; a component without ids keeps one row.
+    """
+    found = near_duplicates(docs, shingle, bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = found.groupBy("root").agg(F.first("doc_id").alias("_id"), F.min("mark").alias("_mark"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_mark() == F.col("_mark"))
+    # Rows of one id and one text are the same document twice.
+    return docs.join(chosen, same).dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, folder, "documents")).select(

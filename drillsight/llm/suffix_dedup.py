@@ -108,15 +108,15 @@ def _segments(raw: np.ndarray, hashes: Hashes, span: int, gram: int) -> tuple[np
     return start, count, anchor - start, own[anchor], content
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, others: list[str]) -> DataFrame:
     """The texts as bytes, with the two parts of the key by which a text is found again,
-    and the id as it is (null stays null)."""
+    and the ``others`` of its columns as they are."""
     text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
     return docs.select(
         F.coalesce(doc_id, F.lit(0)).alias("id"),
         F.xxhash64(text, doc_id).alias("mark"),
         text.cast("binary").alias("raw"),
-        doc_id.alias("doc_id"),
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"),
     )
 
 
@@ -128,9 +128,10 @@ def _zipped(keyed: DataFrame) -> DataFrame:
         for batch in steps(batches, 2):
             zipped = pa.array([zipper.compress(x) for x in batch.column(2).to_pylist()], pa.binary())
             columns = [batch.column(0), batch.column(1), zipped, batch.column(3)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "zipped", "doc_id"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "zipped", "rest"])
 
-    return keyed.mapInArrow(run, "id long, mark long, zipped binary, doc_id long")
+    rest = keyed.schema["rest"].dataType.simpleString()
+    return keyed.mapInArrow(run, f"id long, mark long, zipped binary, rest {rest}")
 
 
 def segments(keyed: DataFrame, span: int, gram: int, seed: int) -> DataFrame:
@@ -384,11 +385,10 @@ def _counted_runs(cut: DataFrame, span: int, seed: int) -> DataFrame:
     return windows.join(often, ["h1", "h2"]).select("id", "mark", "place")
 
 
-_OUT = "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
-
-
-def _removed(texts: DataFrame, marks: DataFrame, span: int) -> DataFrame:
+def _removed(texts: DataFrame, marks: DataFrame, span: int, as_text: bool) -> DataFrame:
     """Apply the marks: ``kind`` 0 repeats, 1 is taken back, 2 repeats as the sort found."""
+    rest = texts.schema["rest"].dataType.simpleString()
+    out = f"rest {rest}, n_bytes long, spans array<struct<start:long,length:long>>, kept "
     by_text = marks.groupBy("id", "mark").agg(F.collect_set(F.struct("kind", "place")).alias("marks"))
 
     def spans(kind: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -404,7 +404,7 @@ def _removed(texts: DataFrame, marks: DataFrame, span: int) -> DataFrame:
         return start[head], end[np.r_[head[1:], True]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "spans", "kept"]
+        names = ["rest", "n_bytes", "spans", "kept"]
         for batch in steps(batches, 1):
             raws, marks, sizes, kept, counts, starts, lengths = batch.column(1).to_pylist(), batch.column(2), [], [], [], [], []
             unzip = zstandard.ZstdDecompressor()
@@ -429,22 +429,29 @@ def _removed(texts: DataFrame, marks: DataFrame, span: int) -> DataFrame:
                     batch.column(0),
                     pa.array(sizes, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), cut),
-                    pa.array(kept, pa.binary()),
+                    pa.array([x.decode("utf-8", "ignore") for x in kept] if as_text else kept, kind),
                 ],
                 names,
             )
 
-    joined = texts.join(by_text, ["id", "mark"], "left").select("doc_id", "zipped", "marks")
-    return joined.mapInArrow(run, _OUT)
+    kind = pa.string() if as_text else pa.binary()
+    joined = texts.join(by_text, ["id", "mark"], "left").select("rest", "zipped", "marks")
+    return joined.mapInArrow(run, out + ("string" if as_text else "binary"))
 
 
-def remove_repeats(
-    docs: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD, seed: int = 2026
+def _repeats(
+    docs: DataFrame,
+    others: list[str],
+    as_text: bool,
+    span: int = SPAN,
+    gram: int = GRAM,
+    crowd: int = CROWD,
+    seed: int = 2026,
 ) -> DataFrame:
-    """``doc_id, n_bytes, spans, kept``: the runs of bytes removed, and the bytes that stay."""
+    """``rest, n_bytes, spans, kept``, with the ``others`` in ``rest``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = _keyed(docs)
-    rows = segments(keyed.drop("doc_id"), span, gram, seed)
+    keyed = _keyed(docs, others)
+    rows = segments(keyed.drop("rest"), span, gram, seed)
     shared = (
         rows.groupBy("anchor")
         .agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
@@ -473,7 +480,25 @@ def remove_repeats(
     if wanted.filter("crowded").limit(1).count():
         more = _counted_runs(_cut_out(texts, wanted.filter("crowded"), span), span, seed)
         marks = marks.unionByName(more.select("id", "mark", F.lit(2).alias("kind"), "place"))
-    return _removed(texts, marks, span)
+    return _removed(texts, marks, span, as_text)
+
+
+def remove_repeats(docs: DataFrame, **rules: int) -> DataFrame:
+    """``doc_id, n_bytes, spans, kept``: the runs of bytes removed, and the bytes that stay.
+
+    ``rules``: ``span``, ``gram``, ``crowd`` and ``seed``, see the constants above.
+    """
+    return _repeats(docs, ["doc_id"], False, **rules).select("rest.doc_id", "n_bytes", "spans", "kept")
+
+
+def cleaned(docs: DataFrame, **rules: int) -> DataFrame:
+    """All rows and columns, with the repeats taken out of ``text`` and ``n_chars`` to match.
+
+    Bytes of a letter that was cut apart are left out.
+    """
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    done = _repeats(docs, others, True, **rules).select("rest.*", F.col("kept").alias("text"))
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
