@@ -458,7 +458,8 @@ def _repeats(
         .filter("n > 1")
         .select("anchor", (F.col("lo") != F.col("hi")).alias("varied"))
     )
-    hits = stage(rows.join(shared, "anchor"), "repeats")
+    # Written first, so that adaptive execution can split a crowded anchor in this join.
+    hits = stage(rows.join(stage(shared, "repeats-anchors"), "anchor"), "repeats")
     contents = (
         hits.filter("varied")
         .groupBy("anchor", "content")
