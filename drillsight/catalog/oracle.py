@@ -7,6 +7,7 @@ window functions instead of keyed extremes).
 
 from __future__ import annotations
 
+from drillsight.schemas import PROFILE_FIELDS
 from drillsight.views import as_sql
 
 # White space a web client trims, as far as the sample texts hold any.
@@ -71,7 +72,7 @@ _PERSON = "r.first_name, r.last_name, r.email, r.department, r.job_title"
 _HASHED = "select *, sha256(ip) as ip_hash from {click_log}"
 
 _LOGGED = """select link_key, date_trunc('milliseconds', clicked_at) as clicked_at,
-    coalesce(ua, '') as ua, sha256(ip) as ip_hash from {click_log}"""
+    coalesce(ua, '') as ua, ref, sha256(ip) as ip_hash from {click_log}"""
 
 _UPLOADED = f"""select seq, trim(coalesce(first_name, ''), {_WS}) as first_name,
     trim(coalesce(last_name, ''), {_WS}) as last_name,
@@ -79,11 +80,13 @@ _UPLOADED = f"""select seq, trim(coalesce(first_name, ''), {_WS}) as first_name,
     trim(coalesce(department, ''), {_WS}) as department,
     trim(coalesce(job_title, ''), {_WS}) as job_title from {{uploads}}"""
 
-_IMPORT = f"""select first_name, last_name, email, department, job_title,
-    case when email = '' then 'Missing email'
+_IMPORT = f"""select case when error is null then (select max(id) from {{recipients}}) +
+      row_number() over (partition by error is null order by seq) end as id,
+    first_name, last_name, email, department, job_title, error
+  from (select *, case when email = '' then 'Missing email'
       when email in (select lower(trim(email)) from {{recipients}} where email is not null) then 'Email already exists'
       when row_number() over (partition by email order by seq) > 1 then 'Email already exists' end as error
-  from ({_UPLOADED}) u"""
+  from ({_UPLOADED}) u) j"""
 
 _ARTICLES = "select title, link, published, source, image, description from {articles}"
 
@@ -101,6 +104,7 @@ _SYSTEM = """case when user_agent like '%Windows NT%' then 'Windows' when user_a
     when regexp_matches(user_agent, 'iPhone|iPad') then 'iOS' when user_agent like '%Mac OS X%' then 'macOS'
     when user_agent like '%Linux%' then 'Linux' else 'Unknown OS' end"""
 
+# The header lines of a message, as the operator has them.
 _MESSAGE = f"""select doc_id, case when json_valid(message) then coalesce(nullif(json_extract_string(message, '$.from'), ''), 'desk@example.com')
       else coalesce(nullif(trim(regexp_extract(t, '(?im)^\\s*From:\\s*(.+)$', 1), {_WS}), ''), 'desk@example.com') end as "from",
     case when json_valid(message) then json_extract_string(message, '$.subject')
@@ -125,7 +129,49 @@ _MESSAGE = f"""select doc_id, case when json_valid(message) then coalesce(nullif
 
 _GONE = "(select id from {toggles})"
 
-_PROFILE_TEXT = """'{"linkedin":"","social":"","location":"' || json_extract_string(profile_json, '$.location') || '","manager":"","interests":"","projects":"","notes":""}'"""
+
+def _profile(field: str) -> str:
+    """A field of the profile; a broken profile has none."""
+    return f"json_extract_string(case when json_valid(profile_json) then profile_json end, '$.{field}')"
+
+
+_PROFILE_TEXT = f"""'{{"linkedin":"","social":"","location":"' || coalesce({_profile("location")}, '') || '","manager":"","interests":"","projects":"","notes":""}}'"""
+
+_PROFILE_COLUMNS = ", ".join(f"{_profile(f)} as {f}" for f in PROFILE_FIELDS)
+
+_RESOLVED_DB = """select s.link_key, s.link_id, c.name, concat_ws(' ', r.first_name, r.last_name) as employee
+    from {short_links} s join {links} l on l.id = s.link_id join {campaigns} c on c.id = l.campaign_id
+    join {recipients} r on r.id = l.recipient_id"""
+
+# Known links with the clicks of their store: file links, and database links without a file link.
+_LINK_CLICKS = f"""select m.link_key, 'file' as source, m.name, cast(null as varchar) as employee,
+      strftime(h.clicked_at, '%Y-%m-%d') as day, h.ip_hash as visitor, coalesce(nullif(h.ua, ''), 'unknown') as agent,
+      h.event_id is not null as hit
+    from {{link_map}} m left join ({_HASHED}) h on h.link_key = m.link_key
+  union all
+    select d.link_key, 'db', d.name, d.employee, strftime(e.created_at, '%Y-%m-%d'), e.ip_address,
+      coalesce(nullif(e.user_agent, ''), 'unknown'), e.id is not null
+    from ({_RESOLVED_DB}) d left join {{link_events}} e on e.link_id = d.link_id
+    where d.link_key not in (select link_key from {{link_map}})"""
+
+_LINK_CLICKS_DB = """select l.tracking_id as link_key, 'db' as source, c.name,
+      concat_ws(' ', r.first_name, r.last_name) as employee, strftime(e.created_at, '%Y-%m-%d') as day,
+      e.ip_address as visitor, coalesce(nullif(e.user_agent, ''), 'unknown') as agent, e.id is not null as hit
+    from {links} l join {campaigns} c on c.id = l.campaign_id join {recipients} r on r.id = l.recipient_id
+    left join {link_events} e on e.link_id = l.id"""
+
+
+def _summary_of(clicks: str) -> str:
+    return f"""select link_key, source, name, employee, count(*) filter (hit) as total_clicks,
+      count(distinct visitor) as unique_users, count(distinct day) as days, min(day) as first_day, max(day) as last_day
+    from ({clicks}) k group by link_key, source, name, employee"""
+
+
+def _breakdown_of(clicks: str) -> str:
+    return f"""select link_key, source, 'day' as kind, day as item, count(*) as clicks
+      from ({clicks}) k where hit group by link_key, source, day
+    union all select link_key, source, 'agent', agent, count(*) from ({clicks}) k where hit group by link_key, source, agent"""
+
 
 _CHECKED = """select draft_id, name, coalesce(difficulty, 'medium') as difficulty,
     case when redirect_to = 'training' then 'training' else 'google' end as redirect_to,
@@ -138,20 +184,28 @@ _CSV_FIELDS = " || ',' || ".join(
               "campaigns_clicked", "total_clicks", "first_click_date", "last_click_date")
 )
 
+# Fixed value: the header line of the export.
+_CSV_HEADER = (
+    "firstName,lastName,email,department,jobTitle,campaigns_targeted,campaigns_clicked,"
+    "total_clicks,first_click_date,last_click_date"
+)
+
 _SQL = {
     # sources and sinks
     "roster_scan": """select id, first_name as "firstName", last_name as "lastName", email, department,
-        job_title as "jobTitle", high_risk as "highRisk",
-        json_extract_string(profile_json, '$.location') as location,
-        json_extract_string(profile_json, '$.notes') as notes from {recipients}""",
+        job_title as "jobTitle", high_risk as "highRisk", """ + _PROFILE_COLUMNS + " from {recipients}",
     "roster_import": _IMPORT,
     "roster_import_summary": f"""select count(*) filter (error is null) as success,
         count(*) filter (error is not null) as failed from ({_IMPORT}) i""",
     "click_log_scan": _LOGGED,
     "click_log_append": _LOGGED,
+    "click_log_of_requests": """select q.link_key, date_trunc('milliseconds', clicked_at) as clicked_at, coalesce(ua, '') as ua, ref,
+        sha256(case when coalesce(forwarded, '') <> '' then trim(split_part(forwarded, ',', 1)) else remote end) as ip_hash
+        from {requests} q join {link_map} m on m.link_key = q.link_key where event_type = 'click'""",
     "link_map_scan": "select link_key, url, name from {link_map}",
+    "link_map_scan_objects": "select link_key, url, name from {link_map}",
     "article_flatten": _ARTICLES,
-    "engagement_csv": f"""select 'firstName,lastName,email,department,jobTitle,campaigns_targeted,campaigns_clicked,total_clicks,first_click_date,last_click_date' as value
+    "engagement_csv": f"""select '{_CSV_HEADER}' as value
         union all select {_CSV_FIELDS} as value from ({_ENGAGEMENT}) g""",
     "event_append": "select *, strftime(created_at, '%Y-%m') as period from {link_events}",
     "conform_schema": """select id, first_name, last_name, email, department, job_title, false as high_risk,
@@ -160,14 +214,31 @@ _SQL = {
     # table changes
     "recipient_get_or_create": """with asked as (
         select *, lower(trim(email)) as k, row_number() over (partition by lower(trim(email)) order by seq) as n
-        from {recipient_requests} where coalesce(email, '') <> ''),
+        from {recipient_requests} where trim(coalesce(email, '')) <> ''),
       fresh as (select * from asked where n = 1 and not exists (
         select 1 from {recipients} r where lower(trim(r.email)) = asked.k))
-      select id, first_name, last_name, email, high_risk, false as is_new from {recipients}
+      select *, false as is_new from {recipients}
       union all
       select (select max(id) from {recipients}) + row_number() over (order by seq) as id,
-        coalesce(first_name, '') as first_name, coalesce(last_name, '') as last_name, k as email,
-        false as high_risk, true as is_new from fresh""",
+        coalesce(first_name, '') as first_name, coalesce(last_name, '') as last_name, email,
+        null, null, false, null, true from fresh""",
+    "campaign_add_by_email": """with asked as (
+        select *, lower(trim(email)) as k, row_number() over (partition by lower(trim(email)) order by seq) as n
+        from {campaign_requests} where trim(coalesce(email, '')) <> ''),
+      fresh as (select *, (select max(id) from {recipients}) + row_number() over (order by seq) as id
+        from asked where n = 1 and not exists (
+          select 1 from {recipients} r where lower(trim(r.email)) = asked.k)),
+      people as (select min(id) as id, lower(trim(email)) as k, min_by(email, id) as email, false as new_recipient
+          from {recipients} where trim(coalesce(email, '')) <> '' group by 2
+        union all select id, k, email, true from fresh),
+      pairs as (select a.campaign_id, p.id as recipient_id, min(a.seq) as seq, any_value(p.email) as email,
+          any_value(p.new_recipient) as new_recipient
+        from asked a join people p on p.k = a.k group by 1, 2),
+      missing as (select * from pairs p where not exists (
+        select 1 from {links} l where l.campaign_id = p.campaign_id and l.recipient_id = p.recipient_id))
+      select (select max(id) from {links}) + row_number() over (order by seq) as id, campaign_id, recipient_id,
+        substring(sha256(cast(campaign_id as varchar) || '|' || cast(recipient_id as varchar) || '|sample'), 1, 48) as tracking_id,
+        timestamp '2006-01-01 00:00:00' as created_at, email, new_recipient from missing""",
     "recipient_update": """with last_change as (
         select * from (select *, row_number() over (partition by id order by seq desc) as n
           from {recipient_changes} where coalesce(email, '') <> '') x where n = 1)
@@ -219,9 +290,9 @@ _SQL = {
         from {campaign_drafts}) d""",
     # projections, filters, predicates
     "rename_columns": """select id, first_name as "firstName", last_name as "lastName", email, department,
-        job_title as "jobTitle", high_risk as "highRisk" from {recipients}""",
+        job_title as "jobTitle", high_risk as "highRisk", profile_json as profile from {recipients}""",
     "flag_to_bool": "select id, high_risk from {recipients}",
-    "profile_parse": f"""select id, json_extract_string(profile_json, '$.location') as location,
+    "profile_parse": f"""select id, {_profile("location")} as location,
         cast(null as varchar) as manager, case when high_risk then {_PROFILE_TEXT} end as profile_text from {{recipients}}""",
     "falsy_default": """select id, coalesce(nullif(first_name, ''), '') as first_name,
         coalesce(nullif(email, ''), 'N/A') as email, coalesce(nullif(department, ''), 'None') as department
@@ -242,8 +313,8 @@ _SQL = {
         where (coalesce(first_name, '') ilike '%role 1%' or coalesce(last_name, '') ilike '%role 1%'
           or coalesce(email, '') ilike '%role 1%' or coalesce(department, '') ilike '%role 1%'
           or coalesce(job_title, '') ilike '%role 1%') and department = 'BUILDING'""",
-    "rate_band": f"""select department, click_rate, case when click_rate / 4 <= 20 then 'green'
-        when click_rate / 4 <= 40 then 'amber' else 'red' end as band from ({_DEPARTMENT_RISK}) d""",
+    "rate_band": f"""select department, click_rate, case when click_rate / 12 <= 20 then 'green'
+        when click_rate / 12 <= 40 then 'amber' else 'red' end as band from ({_DEPARTMENT_RISK}) d""",
     "days_band": """select id, days, case when days - 1000 <= 30 then 'low' when days - 1000 <= 160 then 'mid' else 'high' end as band
         from (select id, date_diff('day', cast(created_at as date), date '2006-01-01') as days from {links}) d""",
     "clicked_flag": """select l.id as link_id, case when count(e.id) > 0 then 'Yes' else 'No' end as clicked
@@ -274,7 +345,7 @@ _SQL = {
         coalesce(ua, '') as user_agent, clicked_at as created_at
         from {requests} q join {short_links} s on s.link_key = q.link_key
         where event_type = 'click' and not exists (select 1 from {link_map} m where m.link_key = q.link_key)""",
-    "log_rows": """select q.link_key, clicked_at, coalesce(ua, '') as ua,
+    "log_rows": """select q.link_key, clicked_at, coalesce(ua, '') as ua, ref,
         sha256(case when coalesce(forwarded, '') <> '' then trim(split_part(forwarded, ',', 1)) else remote end) as ip_hash
         from {requests} q join {link_map} m on m.link_key = q.link_key where event_type = 'click'""",
     "last_agent": """select link_id, user_agent as last_user_agent from (
@@ -310,18 +381,10 @@ _SQL = {
     "link_agent_counts": """select link_key, coalesce(nullif(ua, ''), 'unknown') as agent, count(*) as clicks
         from {click_log} group by 1, 2""",
     "link_unique_visitors": f"select link_key, count(distinct ip_hash) as unique_users from ({_HASHED}) h group by 1",
-    "link_summary": f"""select link_key, count(*) as total_clicks, count(distinct ip_hash) as unique_users,
-        count(distinct cast(clicked_at as date)) as days, strftime(min(clicked_at), '%Y-%m-%d') as first_day,
-        strftime(max(clicked_at), '%Y-%m-%d') as last_day from ({_HASHED}) h group by 1""",
-    "link_breakdown": """select link_key, 'day' as kind, strftime(clicked_at, '%Y-%m-%d') as item, count(*) as clicks
-        from {click_log} group by 1, 3
-      union all select link_key, 'agent', coalesce(nullif(ua, ''), 'unknown'), count(*) from {click_log} group by 1, 3""",
-    "link_summary_db": """select link_id as link_key, count(*) as total_clicks, count(distinct ip_address) as unique_users,
-        count(distinct cast(created_at as date)) as days, strftime(min(created_at), '%Y-%m-%d') as first_day,
-        strftime(max(created_at), '%Y-%m-%d') as last_day from {link_events} group by 1""",
-    "link_breakdown_db": """select link_id as link_key, 'day' as kind, strftime(created_at, '%Y-%m-%d') as item, count(*) as clicks
-        from {link_events} group by 1, 3
-      union all select link_id, 'agent', coalesce(nullif(user_agent, ''), 'unknown'), count(*) from {link_events} group by 1, 3""",
+    "link_summary": _summary_of(_LINK_CLICKS),
+    "link_breakdown": _breakdown_of(_LINK_CLICKS),
+    "link_summary_db": _summary_of(_LINK_CLICKS_DB),
+    "link_breakdown_db": _breakdown_of(_LINK_CLICKS_DB),
     "overall_totals": f"""select total_campaigns, total_sent, total_clicks,
         cast(floor(cast(total_clicks as double) / total_sent * 100.0 + 0.5) as bigint) as overall_rate
         from (select count(*) as total_campaigns, cast(sum(emails_sent) as bigint) as total_sent,
@@ -336,7 +399,9 @@ _SQL = {
         left join {link_events} e on e.link_id = l.id group by l.recipient_id""",
     "delivery_outcome": """select run_id, count(*) as total, count(*) filter (success) as success,
         count(*) filter (not success) as failed from {deliveries} group by run_id""",
-    "delivery_failures": "select run_id, link_id, email, error from {deliveries} where not success",
+    "delivery_failures": """select run_id, link_id, email, error,
+        coalesce(nullif(trim(coalesce(first_name, '') || ' ' || coalesce(last_name, '')), ''), 'Employee') as name
+        from {deliveries} where not success""",
     "distinct_departments": """select distinct department as name from {recipients}
         where department is not null and trim(department) <> ''""",
     # ranking and trend
@@ -361,8 +426,12 @@ _SQL = {
     "top_k": """select l.recipient_id as id, count(distinct l.campaign_id) as campaigns_targeted, count(e.id) as total_clicks
         from {links} l left join {link_events} e on e.link_id = l.id
         group by l.recipient_id order by total_clicks desc, id limit 5""",
-    "dynamic_sort": "select id, department from {recipients} order by lower(coalesce(department, '')) desc",
-    "order_by_clicks": f"select link_id, email, click_count from ({_DETAIL}) d order by click_count desc",
+    "dynamic_sort": """select id, first_name, last_name, department, row_number() over (
+        order by lower(coalesce(department, '')) desc, last_name nulls first, first_name nulls first, id) as position
+        from {recipients}""",
+    "order_by_clicks": f"""select link_id, "lastName", "firstName", email, click_count, row_number() over (
+        order by click_count desc, "lastName" nulls first, "firstName" nulls first, link_id) as position
+        from ({_DETAIL}) d""",
     "take_first": "select id, email from {recipients} where email is not null and email <> '' order by id limit 1",
     # set operations
     "department_union": """select name from {departments}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from drillsight.functions import agents, messages, network, people, rates, text
 from drillsight.operators import aggregates, filters, joins, merge, ordering, ranking, sets
 from drillsight.plans.clicks import last_agent_per_link
+from drillsight.schemas import PROFILE_FIELDS
 from drillsight.session import shared_dir, stage
 from drillsight.sources import articles as news
 from drillsight.sources import click_log, export, roster
@@ -47,7 +48,7 @@ def roster_scan(v: Views) -> DataFrame:
     rows = roster.scan_roster(v.recipients)
     return rows.select(
         "id", "firstName", "lastName", "email", "department", "jobTitle", "highRisk",
-        F.col("profile.location").alias("location"), F.col("profile.notes").alias("notes"),
+        *[F.col(f"profile.{f}").alias(f) for f in PROFILE_FIELDS],
     )
 
 
@@ -71,8 +72,8 @@ def _uploaded(v: Views) -> DataFrame:
 @query
 def roster_import(v: Views) -> DataFrame:
     done = roster.import_roster(_uploaded(v), v.recipients)
-    created = done.created.drop("id").withColumn("error", F.lit(None).cast("string"))
-    return created.unionByName(done.refused)
+    created = done.created.withColumn("error", F.lit(None).cast("string"))
+    return created.unionByName(done.refused, allowMissingColumns=True)
 
 
 @query
@@ -81,9 +82,7 @@ def roster_import_summary(v: Views) -> DataFrame:
 
 
 def _logged(v: Views) -> DataFrame:
-    return v.click_log.select(
-        "link_key", "clicked_at", "ua", F.lit(None).cast("string").alias("ref"), network.hash_ip(F.col("ip")).alias("ip_hash")
-    )
+    return v.click_log.select("link_key", "clicked_at", "ua", "ref", network.hash_ip(F.col("ip")).alias("ip_hash"))
 
 
 @query
@@ -94,7 +93,7 @@ def click_log_scan(v: Views) -> DataFrame:
         F.when(F.col("event_type") == "error", F.concat(F.lit("not json {"), "user_id")).otherwise("").alias("value")
     )
     good.unionByName(noise).write.text(path)
-    return click_log.read_click_log(v.spark, path).drop("ref")
+    return click_log.read_click_log(v.spark, path)
 
 
 @query
@@ -103,7 +102,15 @@ def click_log_append(v: Views) -> DataFrame:
     clicks = _logged(v)
     click_log.append_click_log(clicks.filter(F.col("ua").isNull()), path)
     click_log.append_click_log(clicks.filter(F.col("ua").isNotNull()), path)
-    return click_log.read_click_log(v.spark, path).drop("ref")
+    return click_log.read_click_log(v.spark, path)
+
+
+@query
+def click_log_of_requests(v: Views) -> DataFrame:
+    """The whole way of a click: request, link of the file, line of the log, and back."""
+    path = shared_dir(v.spark, "log")
+    click_log.append_click_log(click_log.log_rows(_resolved(v)), path)
+    return click_log.read_click_log(v.spark, path)
 
 
 @query
@@ -114,6 +121,17 @@ def link_map_scan(v: Views) -> DataFrame:
     return click_log.read_link_map(v.spark, path, whole_files=False)
 
 
+@query
+def link_map_scan_objects(v: Views) -> DataFrame:
+    """Link files of one object each, a hundred keys to a file."""
+    path = shared_dir(v.spark, "links")
+    part = F.call_function("div", F.substring("link_key", 2, 20).cast("long"), F.lit(100))
+    entry = F.struct("link_key", F.struct("url", "name"))
+    files = v.link_map.groupBy(part.alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    files.write.partitionBy("part").text(path)
+    return click_log.read_link_map(v.spark, path)
+
+
 def _articles(v: Views) -> DataFrame:
     """Articles of stored responses, twelve to a response."""
     path = shared_dir(v.spark, "news")
@@ -169,8 +187,7 @@ def conform_campaigns(v: Views) -> DataFrame:
 
 @query
 def recipient_get_or_create(v: Views) -> DataFrame:
-    merged = merge.get_or_create_recipients(v.recipients, v.recipient_requests)
-    return merged.select("id", "first_name", "last_name", "email", "high_risk", "is_new")
+    return merge.get_or_create_recipients(v.recipients, v.recipient_requests)
 
 
 @query
@@ -218,6 +235,13 @@ def assign_links(v: Views) -> DataFrame:
     return merge.assign_links(v.links, v.link_requests, SALT, CREATED_AT)
 
 
+@query
+def campaign_add_by_email(v: Views) -> DataFrame:
+    people, links = merge.add_to_campaign(v.recipients, v.links, v.campaign_requests, SALT, CREATED_AT)
+    names = people.select(F.col("id").alias("recipient_id"), "email", F.col("is_new").alias("new_recipient"))
+    return links.filter("is_new").drop("is_new").join(names, "recipient_id")
+
+
 @query
 def orphan_events(v: Views) -> DataFrame:
     return merge.orphans(v.link_events, v.links, v.campaigns, v.recipients)
@@ -247,7 +271,7 @@ def domain_check_untitled(v: Views) -> DataFrame:
 
 @query
 def rename_columns(v: Views) -> DataFrame:
-    return roster.with_web_names(v.recipients).drop("profile")
+    return roster.with_web_names(v.recipients)
 
 
 @query
@@ -321,7 +345,7 @@ def roster_search(v: Views) -> DataFrame:
 @query
 def rate_band(v: Views) -> DataFrame:
     risk = aggregates.department_risk(v.recipients, v.links, v.link_events)
-    return risk.select("department", "click_rate", rates.rate_band(F.col("click_rate") / 4).alias("band"))
+    return risk.select("department", "click_rate", rates.rate_band(F.col("click_rate") / 12).alias("band"))
 
 
 @query
@@ -485,30 +509,38 @@ def link_unique_visitors(v: Views) -> DataFrame:
     return aggregates.link_unique_visitors(_hashed(v))
 
 
+def _both_stores(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Links of the file and the database by their short keys, and the clicks of both."""
+    detail = joins.link_detail(v.links, v.campaigns, v.recipients)
+    db = v.short_links.join(detail, "link_id")
+    return aggregates.known_links(v.link_map, db), aggregates.clicks_of_both(_hashed(v), v.link_events)
+
+
+def _database_only(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Every database link by its tracking id, and no link file."""
+    db = joins.link_detail(v.links, v.campaigns, v.recipients).withColumnRenamed("tracking_id", "link_key")
+    none = v.link_map.limit(0)
+    return aggregates.known_links(none, db), aggregates.clicks_of_both(_hashed(v).limit(0), v.link_events)
+
+
 @query
 def link_summary(v: Views) -> DataFrame:
-    return aggregates.link_summary(_hashed(v))
+    return aggregates.link_summary(*_both_stores(v))
 
 
 @query
 def link_breakdown(v: Views) -> DataFrame:
-    return aggregates.link_breakdown(v.click_log)
+    return aggregates.link_breakdown(*_both_stores(v))
 
 
 @query
 def link_summary_db(v: Views) -> DataFrame:
-    clicks = v.link_events.select(
-        F.col("link_id").alias("link_key"), F.col("created_at").alias("clicked_at"), F.col("ip_address").alias("ip_hash")
-    )
-    return aggregates.link_summary(clicks)
+    return aggregates.link_summary(*_database_only(v))
 
 
 @query
 def link_breakdown_db(v: Views) -> DataFrame:
-    clicks = v.link_events.select(
-        F.col("link_id").alias("link_key"), F.col("created_at").alias("clicked_at"), F.col("user_agent").alias("ua")
-    )
-    return aggregates.link_breakdown(clicks)
+    return aggregates.link_breakdown(*_database_only(v))
 
 
 @query
@@ -605,13 +637,15 @@ def top_k(v: Views) -> DataFrame:
 
 @query
 def dynamic_sort(v: Views) -> DataFrame:
-    return ordering.sorted_by(v.recipients.select("id", "department"), "department", descending=True)
+    roster_rows = v.recipients.select("id", "first_name", "last_name", "department")
+    return ordering.with_position(ordering.sorted_by(roster_rows, "department", descending=True))
 
 
 @query
 def order_by_clicks(v: Views) -> DataFrame:
     detail = aggregates.campaign_recipients(v.links, v.recipients, v.link_events)
-    return ordering.by_clicks(detail.select("link_id", "email", "click_count"))
+    chosen = detail.select("link_id", "lastName", "firstName", "email", "click_count")
+    return ordering.with_position(ordering.by_clicks(chosen))
 
 
 @query
@@ -749,12 +783,17 @@ def stream_clicks(v: Views) -> DataFrame:
 
 @query
 def stream_daily_clicks(v: Views) -> DataFrame:
-    return streams.latest_counts(_run(v, "daily", streams.store_daily_counts))
+    return streams.summed_counts(_run(v, "daily", streams.store_daily_counts))
 
 
 @query
 def stream_daily_deltas(v: Views) -> DataFrame:
-    return streams.summed_counts(_run(v, "deltas", streams.store_daily_deltas))
+    """The same counts, read after the batches have been compacted."""
+    base = shared_dir(v.spark, "deltas")
+    table, compacted = f"{base}/table", f"{base}/compacted"
+    streams.finish(streams.store_daily_counts(_stream(v), table, f"{base}/checkpoint"))
+    streams.compact(v.spark, table, compacted, upto=0)
+    return streams.summed_counts(streams.read_table(v.spark, table, compacted))
 
 
 @query

@@ -10,6 +10,7 @@ from drillsight.functions.text import (
     empty_to_null,
     neutralize_links,
     or_else,
+    strict_object,
     web_ltrim,
     web_trim,
 )
@@ -30,7 +31,7 @@ SUBJECT_LINE = _header("Subject")
 LABEL_LINE = r"(?i)\ASIMULATION[^\n]*\n*"
 NO_SUBJECT = "(No Subject)"
 
-JSON_FORM = "from string, subject string, body string"
+JSON_FORM = "`from`: string, subject: string, body: string"
 
 
 def _cut_first(df: DataFrame, text: str, piece: str) -> DataFrame:
@@ -77,8 +78,7 @@ def split_messages(df: DataFrame, message: str, default_from: str | None = None)
     label line, and their links are replaced by a marker.
     """
     raw = F.coalesce(F.col(message), F.lit(""))
-    is_object = F.startswith(web_ltrim(raw), F.lit("{"))
-    form = F.when(is_object, F.from_json(raw, JSON_FORM, {"allowSingleQuotes": "false"}))
+    form = strict_object(raw, JSON_FORM)
     has_form = F.coalesce(empty_to_null(F.col("_form.subject")), empty_to_null(F.col("_form.body")))
     unix = F.replace(raw, F.lit("\r\n"), F.lit("\n"))
     plain = df.withColumn("_form", form).withColumn("_has_form", has_form.isNotNull())

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from drillsight.functions.text import empty_to_null, nonempty_join, or_else, web_trim
-from drillsight.schemas import PROFILE, PROFILE_FIELDS
+from drillsight.functions.text import empty_to_null, nonempty_join, or_else, strict_object, web_trim
+from drillsight.schemas import PROFILE_FIELDS
 
 # Fixed value: the name shown for a nameless recipient.
 NAMELESS = "Employee"
@@ -29,9 +29,7 @@ def full_name(first: Column, last: Column) -> Column:
 
 def parse_profile(text: Column) -> Column:
     """Profile text to a struct of seven strings; null for missing or broken text."""
-    parsed = F.from_json(empty_to_null(text), PROFILE)
-    broken = F.get_json_object(text, "$").isNull()
-    return F.when(empty_to_null(text).isNull() | broken, F.lit(None).cast(PROFILE)).otherwise(parsed)
+    return strict_object(empty_to_null(text), ", ".join(f"{f}: string" for f in PROFILE_FIELDS))
 
 
 def fill_profile(profile: Column) -> Column:

@@ -9,6 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Where the bands of a rate and of days since the last campaign end, and the
+# change in points that counts as one.
+RATE_GREEN, RATE_AMBER = 20, 40
+DAYS_LOW, DAYS_MID = 30, 160
+STABLE_BELOW = 1
+
+
 def percent(clicks: Column, sent: Column) -> Column:
     """Unrounded rate in percent, 0 where nothing was sent."""
     return F.when(sent > 0, clicks.cast("double") / sent.cast("double") * 100.0).otherwise(F.lit(0.0))
@@ -27,11 +34,11 @@ def percent_tenth(clicks: Column, sent: Column) -> Column:
 
 
 def rate_band(rate: Column) -> Column:
-    return F.when(rate <= 20, "green").when(rate <= 40, "amber").otherwise("red")
+    return F.when(rate <= RATE_GREEN, "green").when(rate <= RATE_AMBER, "amber").otherwise("red")
 
 
 def days_band(days: Column) -> Column:
-    return F.when(days.isNull(), "none").when(days <= 30, "low").when(days <= 160, "mid").otherwise("high")
+    return F.when(days.isNull(), "none").when(days <= DAYS_LOW, "low").when(days <= DAYS_MID, "mid").otherwise("high")
 
 
 def clicked_flag(clicks: Column) -> Column:
@@ -56,9 +63,9 @@ def one_decimal(x: Column) -> Column:
 
 def trend_label(diff: Column) -> Column:
     """Name of a change in click rate: less than one point either way is stable."""
-    return F.when(F.abs(diff) < 1, "Stable").when(diff < 0, "Improving").otherwise("Worsening")
+    return F.when(F.abs(diff) < STABLE_BELOW, "Stable").when(diff < 0, "Improving").otherwise("Worsening")
 
 
 def trend_points(diff: Column) -> Column:
     """Size of the change as text; a stable trend shows 0."""
-    return F.when(F.abs(diff) < 1, "0").otherwise(one_decimal(F.abs(diff)))
+    return F.when(F.abs(diff) < STABLE_BELOW, "0").otherwise(one_decimal(F.abs(diff)))

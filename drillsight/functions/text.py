@@ -106,3 +106,17 @@ def strip_prefixes(c: Column, templates: Sequence[str]) -> Column:
         return F.when(F.startswith(text, F.lit(template)), web_ltrim(rest)).otherwise(text)
 
     return reduce(strip_one, [t for t in templates if t], F.coalesce(c, F.lit("")))
+
+
+def strict_object(text: Column, schema: str) -> Column:
+    """A text that is one JSON object as a struct of ``schema`` (as DDL); null for any other.
+
+    Spark's parser stops at the end of a value and takes what follows for granted.  Inside a
+    list, a tail other than ``]`` is an error, and inside an object a tail other than ``}``;
+    a text that passes both has none.  Of repeated keys the last counts, as on the web.
+    """
+    options = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{schema}>>", options)
+    held = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v struct<{schema}>", options)
+    whole = (F.size(listed) == 1) & held["v"].isNotNull()
+    return F.when(F.startswith(web_ltrim(text), F.lit("{")) & whole, listed[0])

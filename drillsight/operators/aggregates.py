@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drillsight.functions.agents import agent_or_unknown, parse_user_agent
 from drillsight.functions.network import day_of
-from drillsight.functions.people import department_or_unknown, display_name
+from drillsight.functions.people import department_or_unknown, display_name, full_name
 from drillsight.functions.rates import clicked_flag, percent_tenth, percent_whole
 from drillsight.functions.text import collated, nonblank, or_else
 from drillsight.plans.clicks import links_with_clicks
@@ -266,26 +266,88 @@ def link_unique_visitors_approx(clicks: DataFrame, rsd: float = 0.02) -> DataFra
     return clicks.groupBy("link_key").agg(F.approx_count_distinct("ip_hash", rsd).alias("unique_users"))
 
 
-def link_summary(clicks: DataFrame) -> DataFrame:
-    """Per link: clicks, distinct visitors, days with clicks, first and last of them."""
-    totals = clicks.groupBy("link_key").agg(
-        F.count("*").alias("total_clicks"), F.count_distinct("ip_hash").alias("unique_users")
+def known_links(link_map: DataFrame, db_links: DataFrame) -> DataFrame:
+    """Links of both stores, those of the link file first: ``link_key, source, id, name, employee``.
+
+    ``link_map`` has ``link_key, name``; ``db_links`` has ``link_key, link_id, campaign_name,
+    employee``.  A key that the file has is not looked up in the database.
+    """
+    file = link_map.select(
+        "link_key",
+        F.lit("file").alias("source"),
+        F.col("link_key").alias("id"),
+        "name",
+        F.lit(None).cast("string").alias("employee"),
+    )
+    db = db_links.join(link_map.select("link_key"), "link_key", "left_anti").select(
+        "link_key",
+        F.lit("db").alias("source"),
+        F.col("link_id").cast("string").alias("id"),
+        F.col("campaign_name").alias("name"),
+        "employee",
+    )
+    return file.unionByName(db)
+
+
+def clicks_of_both(log: DataFrame, events: DataFrame) -> DataFrame:
+    """Clicks of the log and of the database: ``source, id, day, visitor, agent``."""
+    file = log.select(
+        F.lit("file").alias("source"),
+        F.col("link_key").alias("id"),
+        day_of(F.col("clicked_at")).alias("day"),
+        F.col("ip_hash").alias("visitor"),
+        agent_or_unknown(F.col("ua")).alias("agent"),
     )
-    days = (
-        link_daily_clicks(clicks)
-        .groupBy("link_key")
-        .agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    db = events.select(
+        F.lit("db").alias("source"),
+        F.col("link_id").cast("string").alias("id"),
+        day_of(F.col("created_at")).alias("day"),
+        F.col("ip_address").alias("visitor"),
+        agent_or_unknown(F.col("user_agent")).alias("agent"),
     )
-    return totals.join(days, "link_key")
+    return file.unionByName(db)
+
 
+def link_summary(links: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Analytics of every known link: clicks, distinct visitors, days with clicks, first and last.
 
-def link_breakdown(clicks: DataFrame) -> DataFrame:
-    """Clicks per link by day and by agent, as rows ``(link_key, kind, item, clicks)``."""
-    by_day = link_daily_clicks(clicks).select("link_key", F.lit("day").alias("kind"), F.col("day").alias("item"), "clicks")
-    by_agent = link_agent_counts(clicks).select(
-        "link_key", F.lit("agent").alias("kind"), F.col("agent").alias("item"), "clicks"
+    ``links`` as of :func:`known_links`, ``clicks`` as of :func:`clicks_of_both`.  A link without
+    clicks shows zeros; clicks of unknown links do not appear.  The clicks are read once, and
+    a crowded link is combined by day and visitor first.
+    """
+    per_visitor = clicks.groupBy("source", "id", "day", "visitor").agg(F.count("*").alias("n"))
+    totals = per_visitor.groupBy("source", "id").agg(
+        F.sum("n").alias("total_clicks"),
+        F.count_distinct("visitor").alias("unique_users"),
+        F.count_distinct("day").alias("days"),
+        F.min("day").alias("first_day"),
+        F.max("day").alias("last_day"),
+    )
+
+    def number(c: str) -> Column:
+        return F.coalesce(c, F.lit(0)).cast("long").alias(c)
+
+    return links.join(totals, ["source", "id"], "left").select(
+        "link_key", "source", "name", "employee",
+        number("total_clicks"), number("unique_users"), number("days"), "first_day", "last_day",
+    )
+
+
+def link_breakdown(links: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Clicks of known links by day and by agent, as rows ``(link_key, source, kind, item, clicks)``.
+
+    The clicks are read once, counted by day and agent together, and rolled up from there.
+    """
+    both = clicks.groupBy("source", "id", "day", "agent").agg(F.count("*").alias("n"))
+
+    def item(kind: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("item"))
+
+    items = both.select("source", "id", "n", F.explode(F.array(item("day"), item("agent"))).alias("one"))
+    counts = items.groupBy("source", "id", "one.kind", "one.item").agg(F.sum("n").alias("clicks"))
+    return counts.join(links.select("link_key", "source", "id"), ["source", "id"]).select(
+        "link_key", "source", "kind", "item", "clicks"
     )
-    return by_day.unionByName(by_agent)
 
 
 def overall_totals(campaigns: DataFrame, links: DataFrame, events: DataFrame) -> DataFrame:
@@ -312,8 +374,10 @@ def delivery_outcome(deliveries: DataFrame) -> DataFrame:
 
 
 def delivery_failures(deliveries: DataFrame) -> DataFrame:
-    """The failed list of every run, one row per failure."""
-    return deliveries.filter(~F.col("success")).select("run_id", "link_id", "email", "error")
+    """The failed list of every run, one row per failure, with the person's full name."""
+    return deliveries.filter(~F.col("success")).select(
+        "run_id", "link_id", full_name(F.col("first_name"), F.col("last_name")).alias("name"), "email", "error"
+    )
 
 
 def distinct_names(names: DataFrame, collation: str | None = None) -> DataFrame:

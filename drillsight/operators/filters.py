@@ -24,13 +24,16 @@ def _has_email(df: DataFrame) -> DataFrame:
 def in_departments(
     recipients: DataFrame, departments: Sequence[str] | DataFrame | None, collation: str | None = None
 ) -> DataFrame:
-    """Recipients of the given departments (all for an empty list) that have an email.
+    """Recipients of the given departments (all for an empty list or table) that have an email.
 
     A long list may be passed as a table with a ``name`` column, which is compared exactly.
     """
     if isinstance(departments, DataFrame):
         wanted = departments.select(F.col("name").alias("department")).distinct()
-        recipients = dimension_join(recipients, wanted, "department", "left_semi")
+        # One value of one row, so an empty table lets everybody pass without a look from the driver.
+        unrestricted = departments.agg((F.count("*") == 0).alias("none")).scalar()
+        marked = dimension_join(recipients, wanted.withColumn("_wanted", F.lit(True)), "department", "left")
+        recipients = marked.filter(F.col("_wanted") | unrestricted).select(recipients.columns)
     elif departments:
         recipients = recipients.filter(collated(F.col("department"), collation).isin(list(departments)))
     return _has_email(recipients)

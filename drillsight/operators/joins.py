@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drillsight.plans.skew import dimension_join, fanout_join, lookup_join
+from drillsight.plans.skew import dimension_join, fanout_join, hot_keys, lookup_join
 
 # Fixed value: where a campaign without a setting sends its visitors.
 DEFAULT_REDIRECT = "google"
@@ -69,14 +71,14 @@ def recipients_to_events(
 ) -> DataFrame:
     """Recipients, left joined to links, campaigns and events in turn.
 
-    Recipients and campaigns are attached to the links, which are far fewer than the
-    events, and only then do the links meet the events.
+    Campaigns are attached to the links, which are far fewer than the events, then the links
+    to their recipients, and only then do they meet the events.
     """
-    people = _recipients(recipients)
-    owned = lookup_join(_links(links), people, "recipient_id", "inner", ["link_id"])
-    named = dimension_join(owned, _campaigns(campaigns), "campaign_id", "left")
-    clicked = fanout_join(named, _events(events), "link_id", ["event_id"])
-    return _and_parents_without(clicked, people, links, "recipient_id")
+    named = dimension_join(_links(links), _campaigns(campaigns), "campaign_id", "left")
+    # The crowded recipients are looked for in the table of links, not in a join.
+    crowded = hot_keys(links, "recipient_id")
+    owned = fanout_join(_recipients(recipients), named, "recipient_id", ["link_id"], crowded)
+    return fanout_join(owned, _events(events), "link_id", ["event_id"])
 
 
 def campaigns_to_events(campaigns: DataFrame, links: DataFrame, events: DataFrame) -> DataFrame:
@@ -97,11 +99,15 @@ def resolve_tracking(requests: DataFrame, links: DataFrame, campaigns: DataFrame
     return lookup_join(requests, dimension_join(found, targets, "campaign_id"), "tracking_id")
 
 
-def by_source_priority(clicks: DataFrame, link_map: DataFrame, db_links: DataFrame) -> DataFrame:
+def by_source_priority(
+    clicks: DataFrame, link_map: DataFrame, db_links: DataFrame, hot: Sequence | None = None
+) -> DataFrame:
     """Attach the link of each click: from the link file, or else from the database.
 
     ``link_map`` has ``link_key, url, name``, ``db_links`` has ``link_key, link_id``.
     Adds ``url``, ``name``, ``link_id`` and ``source`` (``file``, ``db``, or null if unknown).
+    ``hot`` names the crowded keys of the clicks, if they are known; the clicks are searched
+    for them otherwise.
     """
     # Both tables have unique keys, so they are put together first and the clicks move once.
     both = link_map.select("link_key", "url", "name", F.lit(True).alias("_file")).join(
@@ -114,7 +120,7 @@ def by_source_priority(clicks: DataFrame, link_map: DataFrame, db_links: DataFra
         F.when(F.col("_file").isNull(), F.col("link_id")).alias("link_id"),
         F.when(F.col("_file"), "file").otherwise("db").alias("source"),
     )
-    return lookup_join(clicks, chosen, "link_key", "left")
+    return lookup_join(clicks, chosen, "link_key", "left", hot=hot)
 
 
 def link_detail(links: DataFrame, campaigns: DataFrame, recipients: DataFrame) -> DataFrame:

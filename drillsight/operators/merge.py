@@ -19,6 +19,7 @@ from drillsight.functions.text import empty_to_null, normalize_email, or_else, w
 from drillsight.plans.ids import next_id, number_rows
 from drillsight.plans.skew import dimension_join, lookup_join
 from drillsight.schemas import CAMPAIGNS, RECIPIENTS
+from drillsight.session import stage
 
 # Levels and redirect targets a campaign may have, and the defaults.
 DIFFICULTIES = ("low", "medium", "high")
@@ -51,9 +52,10 @@ def last_per_key(requests: DataFrame, key: Column, seq: str = "seq") -> DataFram
 def get_or_create_recipients(recipients: DataFrame, requests: DataFrame) -> DataFrame:
     """Recipients, and a new one for each requested email that is not there yet.
 
-    Emails are compared trimmed and in lower case.  ``is_new`` tells the rows apart.
+    Emails are compared trimmed and in lower case, and kept as they were first asked for; blank
+    ones are refused.  ``is_new`` tells the rows apart.
     """
-    asked = requests.filter(empty_to_null(F.col("email")).isNotNull())
+    asked = requests.filter(normalize_email(F.col("email")) != "")
     wanted = first_per_key(asked, normalize_email(F.col("email")))
     present = recipients.select(normalize_email(F.col("email")).alias("_key")).distinct()
     new = number_rows(wanted.join(present, "_key", "left_anti"), "seq", next_id(recipients))
@@ -61,7 +63,7 @@ def get_or_create_recipients(recipients: DataFrame, requests: DataFrame) -> Data
         "id",
         F.coalesce("first_name", F.lit("")).alias("first_name"),
         F.coalesce("last_name", F.lit("")).alias("last_name"),
-        F.col("_key").alias("email"),
+        "email",
         F.lit(False).alias("high_risk"),
         F.lit(True).alias("is_new"),
     )
@@ -177,6 +179,21 @@ def assign_links(
     return links.withColumn("is_new", F.lit(False)).unionByName(new)
 
 
+def add_to_campaign(
+    recipients: DataFrame, links: DataFrame, requests: DataFrame, salt: str, created_at: dt.datetime
+) -> tuple[DataFrame, DataFrame]:
+    """People added to campaigns by email: ``requests`` has ``seq, campaign_id, email`` and names.
+
+    A recipient of that email is used, or else created, and gets a link of the campaign unless
+    it has one.  Gives the recipients and the links as they should be, both with ``is_new``.
+    """
+    known = stage(get_or_create_recipients(recipients, requests), "recipients")
+    ids = known.groupBy(normalize_email(F.col("email")).alias("_key")).agg(F.min("id").alias("recipient_id"))
+    keyed = requests.select("seq", "campaign_id", normalize_email(F.col("email")).alias("_key"))
+    pairs = lookup_join(keyed, ids.filter("_key <> ''"), "_key", "inner", ["seq"])
+    return known, assign_links(links, pairs.select("seq", "campaign_id", "recipient_id"), salt, created_at)
+
+
 def orphans(events: DataFrame, links: DataFrame, campaigns: DataFrame, recipients: DataFrame) -> DataFrame:
     """Rows whose parent is missing, as ``(table_name, row_id, missing)``."""
 

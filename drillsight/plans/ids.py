@@ -5,37 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows numbered by one task at most: sequence values are unique, so a block of 2**18
-#: neighbouring values holds no more rows than that.
-BLOCK_BITS = 18
+from drillsight.session import stage
 
+#: Bits of Spark's row numbers that count inside a partition.
+_INSIDE = 33
 
-def number_rows(df: DataFrame, seq: str, first: Column, name: str = "id") -> DataFrame:
-    """Add ``name`` = ``first``, ``first`` + 1, ... in the order of ``seq``.
 
-    ``seq`` is a unique long.  Rows are numbered inside blocks of neighbouring values,
-    and each block starts where the ones before it end.  Only the block sizes, one row
-    per block, are summed up in one place.
+def number_rows(df: DataFrame, order: str, first: Column, name: str = "id") -> DataFrame:
+    """Add ``name`` = ``first``, ``first`` + 1, ... in the order of ``order``.
+
+    ``order`` is a unique column of any sortable kind, with any gaps.  Rows are divided by
+    ranges of it, sorted and counted inside their partition, and each partition starts where
+    the ones before it end.  Only the partition sizes are summed up in one place, so a task
+    has its share of rows whether the values are dense or far apart.  The rows are computed
+    once: they are written with their place before the sizes are counted.
     """
-    blocks = df.withColumn("_block", F.shiftright(F.col(seq), BLOCK_BITS))
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order)
+    placed = stage(ranged.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_place", _INSIDE)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        blocks.groupBy("_block")
+        placed.groupBy(part.alias("_part"))
         .agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_start",
-            F.coalesce(
-                F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ),
-        )
-        .select("_block", "_start")
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy(seq))
+    inside = F.col("_place") - F.shiftleft("_part", _INSIDE)
     return (
-        blocks.withColumn("_pos", inside)
-        .join(starts, "_block")
-        .withColumn(name, (first + F.col("_start") + F.col("_pos") - 1).cast("long"))
-        .drop("_block", "_pos", "_start")
+        placed.withColumn("_part", part)
+        .join(F.broadcast(starts), "_part")  # a row for each partition
+        .withColumn(name, (first + F.col("_start") + inside).cast("long"))
+        .drop("_place", "_part", "_start")
     )
 
 

@@ -14,41 +14,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hot keys are at most this many, the most frequent ones.
-MAX_HOT = 256
-#: Counters of a sketch: a key with more than about 1/1000 of its rows is not missed.
-SKETCH_COUNTERS = 4096
+#: A key is hot if it has more rows than a task's fair share, so there are at most as many as
+#: shuffle partitions.  The search looks for so many, within these bounds; keys it may miss
+#: have little more than a fair share, and are left to adaptive execution.
+LEAST_HOT, MAX_HOT = 256, 10_000
+#: Counters of a sketch for each key that is looked for, and the most Spark allows.
+COUNTERS_PER_KEY, MAX_COUNTERS = 16, 1_000_000
 #: Sketches are merged in so many groups before all meet.
 SLICES = 512
 #: Keys with fewer rows than this are not worth splitting.
 MIN_HOT_ROWS = 100_000
 #: Sub-keys per hot key.
 SALTS = 64
-#: Tables up to this many rows are broadcast by :func:`dimension_join`.
+#: Tables up to this many rows and bytes of values are broadcast by :func:`dimension_join`.
 MAX_BROADCAST_ROWS = 50_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int | None = None) -> list:
     """The most frequent keys of ``df``, null among them, each with ``min_rows`` rows or more.
 
-    Counted with sketches of fixed size: one per task, merged by slices of the tasks, and
-    the top of each slice added up.  Rows are not shuffled, and the driver gets no more
-    than ``MAX_HOT`` keys.
+    By default that is a shuffle partition's fair share of the rows, and :data:`MIN_HOT_ROWS`
+    at least.  Counted with sketches whose size follows the number of shuffle partitions: one
+    per task, merged by slices of the tasks, and the top of each slice added up.  Rows are
+    not shuffled, and the driver gets no more than :data:`MAX_HOT` keys.
     """
-    top = F.expr(f"approx_top_k(`{key}`, {MAX_HOT}, {SKETCH_COUNTERS})")
-    counted = (
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(max(LEAST_HOT, partitions), MAX_HOT)
+    counters = min(COUNTERS_PER_KEY * most, MAX_COUNTERS)
+    top = F.expr(f"approx_top_k(`{key}`, {most}, {counters})")
+    slices = (
         df.select(key, (F.spark_partition_id() % SLICES).alias("_slice"))
         .groupBy("_slice")
-        .agg(top.alias("top"))
-        .select(F.explode("top").alias("top"))
-        .groupBy(F.col("top.item").alias("item"))
-        .agg(F.sum("top.count").alias("n"))
+        .agg(top.alias("top"), F.count("*").alias("_rows"))
     )
-    frequent = counted.filter(F.col("n") >= (MIN_HOT_ROWS if min_rows is None else min_rows))
-    return [row["item"] for row in frequent.orderBy(F.desc("n")).limit(MAX_HOT).collect()]
+    # The first entry of a slice carries its number of rows, so that one pass gives both.
+    counted = slices.select(F.posexplode("top").alias("_n", "top"), "_rows").groupBy(F.col("top.item").alias("item"))
+    sums = counted.agg(F.sum("top.count").alias("n"), F.sum(F.when(F.col("_n") == 0, F.col("_rows"))).alias("_rows"))
+    total = F.sum("_rows").over(Window.partitionBy())  # over the few keys that are left
+    frequent = sums.withColumn("_total", total).orderBy(F.desc("n")).limit(most).collect()
+    if not frequent:
+        return []
+    fair = max(MIN_HOT_ROWS, frequent[0]["_total"] // max(1, partitions))
+    return [row["item"] for row in frequent if row["n"] >= (fair if min_rows is None else min_rows)]
 
 
 def _is_hot(key: str, hot: Sequence) -> Column:
@@ -75,29 +86,36 @@ def lookup_join(
     on: str,
     how: str = "inner",
     spread_by: Sequence[str] | None = None,
+    hot: Sequence | None = None,
 ) -> DataFrame:
     """Join ``big`` to ``small``, which has few rows per key.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.  ``spread_by`` names columns of
     ``big`` that tell rows of one key apart (all columns by default).  ``big`` is read
     twice, the first time for its keys only, so it should be a table rather than the
-    result of other joins.
+    result of other joins; or ``hot`` names the crowded keys, if they are known.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot do a {how} join")
-    hot = hot_keys(big, on)
+    hot = hot_keys(big, on) if hot is None else hot
     if not hot:
         return big.join(small, on, how)
     return _salted(big, on, hot, spread_by).join(_repeated(small, on, hot), [on, "_salt"], how).drop("_salt")
 
 
-def fanout_join(one: DataFrame, many: DataFrame, on: str, spread_by: Sequence[str] | None = None) -> DataFrame:
-    """``one`` left join ``many``, where keys may crowd in ``many``.
+def fanout_join(
+    one: DataFrame,
+    many: DataFrame,
+    on: str,
+    spread_by: Sequence[str] | None = None,
+    hot: Sequence | None = None,
+) -> DataFrame:
+    """``one`` left join ``many``, where keys may crowd in ``many`` (``hot``, if they are known).
 
     A hot key has rows in ``many``, so a repeated row of ``one`` that met none of them
     is a repetition in vain and goes; rows of all other keys are kept with nulls.
     """
-    hot = hot_keys(many, on)
+    hot = hot_keys(many, on) if hot is None else hot
     if not hot:
         return one.join(many, on, "left")
     right = _salted(many, on, hot, spread_by).withColumn("_met", F.lit(True))
@@ -110,10 +128,13 @@ def dimension_join(
 ) -> DataFrame:
     """Join ``big`` to a table that is expected to be small.
 
-    It is counted up to ``max_rows`` (which runs a job) and broadcast if it has no more;
-    beyond that this is a :func:`lookup_join`.
+    Its rows are counted up to ``max_rows``, and the bytes of their values added up (which
+    runs a job); it is broadcast if neither passes its bound.  Beyond that this is a
+    :func:`lookup_join`.
     """
     limit = MAX_BROADCAST_ROWS if max_rows is None else max_rows
-    if dimension.limit(limit + 1).count() <= limit:
+    width = F.octet_length(F.to_json(F.struct(*dimension.columns)))
+    rows, size = dimension.limit(limit + 1).agg(F.count("*"), F.sum(width)).first()
+    if rows <= limit and (size or 0) <= MAX_BROADCAST_BYTES:
         return big.join(F.broadcast(dimension), on, how)
     return lookup_join(big, dimension, on, how)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +34,7 @@ def build_session(app: str = "drillsight", master: str | None = None, **conf: st
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder, since its executors
+    A local session without the setting uses a folder of its warehouse, since its executors
     are this machine.  A cluster without it is an error: a folder on the driver's disk
     would not be there for the executors.
     """
@@ -42,21 +43,50 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="drillsight-")
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+#: Open scopes: the paths handed out in each.
+_SCOPES: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below :func:`shared_root`; nothing is created yet."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below :func:`shared_root`; nothing is created yet.
+
+    It belongs to the innermost open :func:`staging` scope, or to the caller if none is open.
+    """
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it is, if it is there."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables staged inside: they are removed at the end, when results are stored."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back.
 
     For results that are used several times: the table outlives lost executors, and the
-    plans that use it start from it.
+    plans that use it start from it.  It stays until its :func:`staging` scope ends; without
+    one, until the owner of the shared folder removes it.
     """
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)

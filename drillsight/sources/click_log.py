@@ -66,11 +66,12 @@ def event_rows(resolved: DataFrame) -> DataFrame:
 def log_rows(resolved: DataFrame) -> DataFrame:
     """Rows of the click log for requests whose link is in the link file."""
     clicks = clicks_from_requests(resolved.filter(F.col("source") == "file"))
-    return clicks.select("link_key", "clicked_at", F.coalesce("ua", F.lit("")).alias("ua"), "ip_hash")
+    return clicks.select("link_key", "clicked_at", F.coalesce("ua", F.lit("")).alias("ua"), "ref", "ip_hash")
 
 
 def clicks_from_requests(requests: DataFrame) -> DataFrame:
-    """Click rows of raw requests: address from header or socket, stored as a hash."""
+    """Click rows of raw requests: address from header or socket, stored as a hash; the
+    referrer is null where there is none."""
     ip = client_ip(F.col("forwarded"), F.col("remote"))
     return requests.withColumn("ip_hash", hash_ip(ip)).drop("forwarded", "remote")
 

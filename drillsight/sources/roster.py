@@ -100,17 +100,18 @@ class RosterImport:
 def import_roster(rows: DataFrame, recipients: DataFrame) -> RosterImport:
     """Split rows of :func:`read_roster_csv` into new recipients and refusals.
 
-    A row needs an email that neither the table nor an earlier row has.  One address on
+    A row needs an email that neither the table nor an earlier row has; new ids follow the
+    order of files and rows.  One address on
     a third of all rows is combined before the shuffle, and its refusals stay spread out.
     """
     with_email = rows.filter(F.col("email") != "")
     fields = [c for c in HEADERS if c != "email"]
     firsts = with_email.groupBy("email").agg(
-        F.min_by(F.struct("seq", *fields), "place").alias("_first")
+        F.min_by(F.struct("seq", "place", *fields), "place").alias("_first")
     )
     present = recipients.select(normalize_email(F.col("email")).alias("email")).distinct()
     winners = firsts.join(present, "email", "left_anti").select("email", "_first.*")
-    created = number_rows(winners, "seq", next_id(recipients)).select("id", *HEADERS)
+    created = number_rows(winners, "place", next_id(recipients)).select("id", *HEADERS)
     first_rows = winners.select("email", F.col("seq").alias("_first_seq"))
     repeated = (
         lookup_join(with_email, first_rows, "email", "left", ["seq"])

@@ -1,12 +1,14 @@
 """The click stream: resolve and store clicks, keep daily counts and visitors up to date.
 
 Every job writes to a table in a folder all executors reach, with its checkpoint beside
-it.  A batch that runs again after a failure writes the same folder again, so each click
-counts once.
+it.  Tables are split by day, and within a day by batch: readers skip days by the folder's
+name, and a batch that runs again after a failure writes its own parts again, so each click
+counts once.  :func:`compact` puts the parts of many batches together.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +18,7 @@ from drillsight.operators.joins import by_source_priority
 from drillsight.schemas import STREAM_EVENTS
 
 _BATCH = "batch"
+_DAY = "day"
 
 
 def read_event_stream(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
@@ -23,26 +26,76 @@ def read_event_stream(spark: SparkSession, path: str, per_batch: int = 1000) ->
     return spark.readStream.schema(STREAM_EVENTS).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
-def _write_batch(rows: DataFrame, out: str, batch_id: int, *partitions: str) -> None:
-    rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{out}/{_BATCH}={batch_id}")
+def _write_batch(rows: DataFrame, out: str, batch_id: int) -> None:
+    """Replace what this batch has written, day by day.
+
+    The days of a batch follow from its rows alone, so a repeated batch meets all its parts.
+    """
+    (
+        rows.withColumn(_BATCH, F.lit(batch_id).cast("long"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(_DAY, _BATCH)
+        .parquet(out)
+    )
+
+
+def compact(spark: SparkSession, table: str, compacted: str, upto: int) -> None:
+    """Rewrite the batches after the last compacted one, up to ``upto``, with few files a day.
+
+    The result is a part of ``compacted`` of its own; :func:`read_table` reads it in place of
+    the batches, whose folders may go then.  Running it again for the same ``upto`` replaces
+    that part.
+    """
+    done = _compacted_upto(spark, compacted, below=upto)
+    rows = spark.read.parquet(table).filter(F.col(_BATCH).between(done + 1, upto))
+    days = rows.withColumn("upto", F.lit(upto).cast("long")).hint("rebalance", _DAY)
+    (
+        days.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("upto", _DAY)
+        .parquet(compacted)
+    )
+
+
+def _compacted_upto(spark: SparkSession, compacted: str, below: int | None = None) -> int:
+    """The last batch in ``compacted`` (before ``below``), -1 if there is none."""
+    try:
+        parts = spark.read.parquet(compacted).select("upto")
+    except AnalysisException:  # nothing compacted yet
+        return -1
+    if below is not None:
+        parts = parts.filter(F.col("upto") < below)
+    last = parts.agg(F.max("upto")).first()[0]
+    return -1 if last is None else last
+
+
+def read_table(spark: SparkSession, table: str, compacted: str) -> DataFrame:
+    """The rows of all batches: compacted ones, and the batches after them."""
+    done = _compacted_upto(spark, compacted)
+    recent = spark.read.parquet(table).filter(F.col(_BATCH) > done)
+    if done < 0:
+        return recent
+    return recent.unionByName(spark.read.parquet(compacted).drop("upto").select(recent.columns))
 
 
 def store_clicks(
     requests: DataFrame, link_map: DataFrame, db_links: DataFrame, out: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Resolve streamed requests and append them to ``out``, by status and day.
+    """Resolve streamed requests and append them to ``out``, by day.
 
     The link tables are read again for every batch, so new links are found.  Requests of
-    unknown links are kept apart under status ``unknown``.
+    unknown links are kept too, with status ``unknown``.  A batch is too small for a search
+    of crowded links beforehand; adaptive execution splits them.
     """
 
     def resolve(batch: DataFrame, batch_id: int) -> None:
-        rows = by_source_priority(batch, link_map, db_links).select(
+        rows = by_source_priority(batch, link_map, db_links, hot=()).select(
             "*",
             F.when(F.col("source").isNull(), "unknown").otherwise("click").alias("status"),
-            F.to_date("clicked_at").alias("day"),
+            F.to_date("clicked_at").alias(_DAY),
         )
-        _write_batch(rows.hint("rebalance", "status", "day"), out, batch_id, "status", "day")
+        _write_batch(rows.hint("rebalance", _DAY), out, batch_id)
 
     return (
         requests.writeStream.foreachBatch(resolve)
@@ -52,52 +105,15 @@ def store_clicks(
     )
 
 
-def daily_counts(clicks: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Clicks per link and day of a stream, with state for the days still open.
+def store_daily_counts(clicks: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write each batch's own counts by link and day to ``out``; :func:`summed_counts` reads them.
 
-    Rows later than ``delay`` behind the newest one are not counted; where late rows
-    matter use :func:`store_daily_deltas`.
+    Every click counts, however late it comes and however files fall into batches, and the
+    stream keeps no state.
     """
-    timed = clicks.withColumn("ts", F.col("clicked_at").cast("timestamp"))
-    return (
-        timed.withWatermark("ts", delay)
-        .groupBy("link_key", day_of(F.col("clicked_at")).alias("day"), F.window("ts", "1 day").alias("w"))
-        .agg(F.count("*").alias("clicks"))
-        .select("link_key", "day", F.col("w.start").alias("window_start"), "clicks")
-    )
-
-
-def store_daily_counts(clicks: DataFrame, out: str, checkpoint: str, delay: str = "1 day", **trigger) -> StreamingQuery:
-    """Write each batch's changed counts to ``out``; :func:`latest_counts` reads them."""
-
-    def changed(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, out, batch_id)
-
-    return (
-        daily_counts(clicks, delay)
-        .writeStream.outputMode("update")
-        .foreachBatch(changed)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
-
-def latest_counts(changes: DataFrame) -> DataFrame:
-    """Current counts: those of the last batch that changed a group; counts only grow.
-
-    A day has two windows where the session zone is not UTC, so these are summed.
-    """
-    last = changes.groupBy("link_key", "day", "window_start").agg(F.max("clicks").alias("clicks"))
-    return last.groupBy("link_key", "day").agg(F.sum("clicks").alias("clicks"))
-
-
-def store_daily_deltas(clicks: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write each batch's own daily counts to ``out``; their sums (:func:`summed_counts`) count
-    every row, however late, and the stream keeps no state."""
 
     def count(batch: DataFrame, batch_id: int) -> None:
-        day = day_of(F.col("clicked_at")).alias("day")
+        day = day_of(F.col("clicked_at")).alias(_DAY)
         _write_batch(batch.groupBy("link_key", day).agg(F.count("*").alias("clicks")), out, batch_id)
 
     return (
@@ -108,8 +124,10 @@ def store_daily_deltas(clicks: DataFrame, out: str, checkpoint: str, **trigger)
     )
 
 
-def summed_counts(deltas: DataFrame) -> DataFrame:
-    return deltas.groupBy("link_key", "day").agg(F.sum("clicks").alias("clicks"))
+def summed_counts(counts: DataFrame) -> DataFrame:
+    """Clicks per link and day of what :func:`store_daily_counts` has written."""
+    day = F.col(_DAY).cast("string").alias(_DAY)
+    return counts.groupBy("link_key", day).agg(F.sum("clicks").alias("clicks"))
 
 
 def store_visitors(clicks: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:

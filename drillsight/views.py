@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Customers, and suppliers as staff whom no campaign has reached; some profiles are broken.
 RECIPIENTS = """
 select c_custkey as id,
   case when c_custkey % 11 = 0 then null else split_part(c_name, '#', 1) end as first_name,
@@ -23,6 +24,13 @@ select c_custkey as id,
   c_acctbal < 0 as high_risk,
   case when c_acctbal < 0 then '{"location":"City ' || cast(c_nationkey as varchar(9)) || '","notes":""}' end as profile_json
 from {customer}
+union all
+select -1 - s_suppkey as id, 'Staff' as first_name, split_part(s_name, '#', 2) as last_name,
+  'staff.' || lower(replace(s_name, '#', '.')) || '@example.com' as email, 'Staff' as department,
+  'Role ' || cast(s_nationkey as varchar(9)) as job_title, s_acctbal < 0 as high_risk,
+  case when s_acctbal < 0 then '{"location":"Hall ' || cast(s_nationkey as varchar(9)) || '"} and more'
+       when s_acctbal < 1000 then '{"location":"Hall"}]' end as profile_json
+from {supplier}
 """
 
 CAMPAIGNS = """
@@ -61,7 +69,7 @@ select cast(l_orderkey as varchar(20)) || '-' || cast(l_partkey as varchar(20))
     when 6 then 'Mozilla/5.0 (Macintosh; Mac OS X 14) Firefox/121'
     else 'curl/8.0' end as user_agent,
   l_shipdate as created_at
-from {lineitem} where l_returnflag = 'R'
+from {lineitem}
 """
 
 DEPARTMENTS = """
@@ -72,7 +80,8 @@ CLICK_LOG = """
 select event_id, 'L' || cast(user_id as varchar(20)) as link_key, ts as clicked_at,
   case event_id % 4 when 0 then null when 1 then '' when 2 then 'Mozilla/5.0 (X11; Linux) Firefox/121'
        else 'Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537' end as ua,
-  '10.1.0.' || cast(event_id % 97 as varchar(9)) as ip
+  '10.1.0.' || cast(event_id % 97 as varchar(9)) as ip,
+  case when event_id % 5 <> 0 then 'https://intra.example.com/' || cast(event_id % 7 as varchar(9)) end as ref
 from {events} where event_type = 'click'
 """
 
@@ -82,7 +91,8 @@ select event_id, 'L' || cast(user_id as varchar(20)) as link_key, ts as clicked_
   case event_id % 3 when 0 then ' 203.0.113.' || cast(event_id % 251 as varchar(9)) || ' , 10.9.9.9'
        when 1 then '' end as forwarded,
   '10.1.0.' || cast(event_id % 97 as varchar(9)) as remote,
-  case event_id % 4 when 0 then null when 1 then '' else 'Mozilla/5.0 (X11; Linux) Firefox/121' end as ua
+  case event_id % 4 when 0 then null when 1 then '' else 'Mozilla/5.0 (X11; Linux) Firefox/121' end as ua,
+  case when event_id % 5 <> 0 then 'https://intra.example.com/' || cast(event_id % 7 as varchar(9)) end as ref
 from {events}
 """
 
@@ -104,7 +114,7 @@ group by o_custkey
 
 # Result rows of sending runs: one per link of a recipient, failed without an address.
 DELIVERIES = """
-select campaign_id as run_id, links.id as link_id, coalesce(email, '') as email,
+select campaign_id as run_id, links.id as link_id, first_name, last_name, coalesce(email, '') as email,
   coalesce(email, '') <> '' and not high_risk as success,
   case when coalesce(email, '') = '' then 'No recipients defined'
        when high_risk then 'Mailbox unavailable' end as error
@@ -144,6 +154,17 @@ union all
 select s_suppkey as id from {supplier} where s_acctbal < 0
 """
 
+# People to be added to the newest campaign or a new one by email, new and known, some twice.
+CAMPAIGN_REQUESTS = """
+select seq, (select max(id) from {campaigns}) + seq % 2 as campaign_id, first_name, last_name,
+  case when seq % 7 = 0 then '  ' else email end as email
+from {recipient_requests}
+union all
+select 1000000000 + 2 * s_suppkey as seq, (select max(id) from {campaigns}) as campaign_id, 'Staff' as first_name,
+  s_name as last_name, ' STAFF.' || upper(replace(s_name, '#', '.')) || '@example.com' as email
+from {supplier}
+"""
+
 # Pairs to be linked: everyone to the newest campaign and (twice) to a new one.
 LINK_REQUESTS = """
 select 3 * id as seq, (select max(id) from {campaigns}) as campaign_id, id as recipient_id from {recipients}
@@ -172,7 +193,8 @@ select doc_id,
     'Subject: Notice ' || cast(doc_id as varchar(20)) || chr(10) || chr(10) || text || chr(10) || 'see HTTPS://a.example.com/' || cast(doc_id as varchar(20)) || '?x=1 now'
   when 'fr' then 'subject:  lower case ' || cast(doc_id as varchar(20)) || chr(10) || text || ' http://b.example.com'
   when 'de' then '{"from":"","subject":"Json ' || cast(doc_id as varchar(20)) || '","body":"' ||
-    translate(text, chr(34) || chr(92) || chr(10) || chr(13) || chr(9), '     ') || '"}'
+    translate(text, chr(34) || chr(92) || chr(10) || chr(13) || chr(9), '     ') || '"}' ||
+    case when doc_id % 3 = 0 then ' trailing http://c.example.com' else '' end
   else text end as message
 from {documents}
 """
@@ -234,6 +256,7 @@ TEXTS = {
     "recipient_changes": RECIPIENT_CHANGES,
     "toggles": TOGGLES,
     "link_requests": LINK_REQUESTS,
+    "campaign_requests": CAMPAIGN_REQUESTS,
     "campaign_drafts": CAMPAIGN_DRAFTS,
     "messages": MESSAGES,
     "uploads": UPLOADS,

@@ -63,7 +63,7 @@ def main() -> int:
     sql = oracle_sql()
     bad = []
     for name, f in queries().items():
-        if names and name not in names:
+        if names and name not in names or name not in sql:
             continue
         start = time.time()
         try:

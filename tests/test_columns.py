@@ -182,3 +182,15 @@ def test_headers_of_plain_text_keep_links(spark):
     df = spark.createDataFrame([("From: a\nSubject: b\nhttp://x",)], "m string")
     row = split_headers(df, "m").first()
     assert (row["from"], row["subject"], row["body"]) == ("a", "b", "http://x")
+
+
+def test_strict_objects(apply):
+    from drillsight.functions.text import strict_object
+
+    texts = [
+        '{"a":"1"}', ' {"a":"1"} ', '{"a":"1","a":"2"}', "{}", '{"a":"1"} tail http://x', '{"a":"1"}] tail',
+        '{"a":"1"}} tail', '{"a":"1"}] tail}', '{"a":"1"}, {"a":"2"}', "[1]", '"x"', '{"a":', "", None, "{'a':1}",
+    ]
+    got = apply(lambda c: strict_object(c, "a: string"), *[(t,) for t in texts])
+    assert [None if x is None else x["a"] for x in got] == ["1", "1", "2", None] + [None] * 11
+    assert got[3] is not None

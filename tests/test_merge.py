@@ -132,3 +132,23 @@ def test_conform(spark, star):
     campaigns = merge.conform(star.campaigns, "campaigns")
     assert {r["id"]: r["redirect_to"] for r in campaigns.collect()} == {10: "google", 20: "training", 30: "google"}
     assert merge.conform(star.campaigns.drop("redirect_to"), "campaigns").filter("redirect_to = 'google'").count() == 3
+
+
+def test_emails_are_kept_as_given(spark, star):
+    requests = spark.createDataFrame(
+        [(1, "N", "M", " New.Name@X.com "), (2, "N", "M", "new.name@x.com"), (3, "", "", "   "), (4, "A", "Z", "ANN@x.com")],
+        "seq long, first_name string, last_name string, email string",
+    )
+    new = merge.get_or_create_recipients(star.recipients, requests).filter("is_new").collect()
+    assert [(r["id"], r["email"]) for r in new] == [(7, " New.Name@X.com ")]
+
+
+def test_people_are_added_to_a_campaign_by_email(spark, star):
+    requests = spark.createDataFrame(
+        [(1, 30, "N", "M", "New@X.com"), (2, 30, "", "", "new@x.com "), (3, 10, "", "", "ANN@x.com"), (4, 30, "", "", "ann@x.com"), (5, 30, "", "", " ")],
+        "seq long, campaign_id long, first_name string, last_name string, email string",
+    )
+    people, links = merge.add_to_campaign(star.recipients, star.links, requests, "s", dt.datetime(2024, 1, 1))
+    assert [(r["id"], r["email"]) for r in people.filter("is_new").collect()] == [(7, "New@X.com")]
+    got = sorted((r["campaign_id"], r["recipient_id"]) for r in links.filter("is_new").collect())
+    assert got == [(30, 1), (30, 7)]  # the first person has a link of campaign 10 already

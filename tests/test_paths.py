@@ -63,9 +63,9 @@ def test_from_click_to_report(spark, star, tmp_path):
     """Clicks arrive as files, are resolved and stored by a stream, and show in the reports."""
     arriving = tmp_path / "arriving"
     requests = spark.createDataFrame(
-        [(n, key, dt.datetime(2024, 5, 1 + n), None, "9.9.9.9", "ua")
+        [(n, key, dt.datetime(2024, 5, 1 + n), None, "9.9.9.9", "ua", None)
          for n, key in enumerate(["k102", "k102", "file", "gone", "k104"])],
-        "event_id long, link_key string, clicked_at timestamp_ntz, forwarded string, remote string, ua string",
+        "event_id long, link_key string, clicked_at timestamp_ntz, forwarded string, remote string, ua string, ref string",
     )
     requests.repartition(3).write.parquet(str(arriving))
     files = spark.createDataFrame([("file", "u", "n"), ("k104", "v", "m")], "link_key string, url string, name string")
@@ -75,7 +75,7 @@ def test_from_click_to_report(spark, star, tmp_path):
     streams.finish(streams.store_clicks(stream, files, db_links, out, str(tmp_path / "cp")))
 
     stored = spark.read.schema(
-        "event_id long, link_key string, clicked_at timestamp_ntz, forwarded string, remote string, ua string, "
+        "event_id long, link_key string, clicked_at timestamp_ntz, forwarded string, remote string, ua string, ref string, "
         "url string, name string, link_id long, source string, batch long, status string, day date"
     ).parquet(out)
     assert stored.filter("status = 'unknown'").count() == 1

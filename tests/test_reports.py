@@ -205,6 +205,9 @@ def test_filters(spark, star):
     assert sorted(by_id(filters.search(r, "y", department="Sales"))) == [2]
     assert sorted(by_id(filters.search(r, "%"))) == []
     assert sorted(by_id(filters.of_campaign(star.links, 20))) == [102, 104, 106]
+    some, none = star.departments, star.departments.limit(0)
+    everybody = sorted(by_id(filters.in_departments(r, [])))
+    assert sorted(by_id(filters.in_departments(r, none))) == everybody != sorted(by_id(filters.in_departments(r, some)))
 
 
 def test_orders(star):
@@ -212,13 +215,15 @@ def test_orders(star):
         return [r["id"] for r in df.collect()]
 
     assert order(ordering.by_name(star.recipients)) == [4, 3, 6, 5, 2, 1]
-    assert order(ordering.sorted_by(star.recipients, "first_name")) == [2, 3, 1, 4, 5, 6]
-    assert order(ordering.sorted_by(star.recipients, "first_name", descending=True)) == [6, 5, 4, 1, 2, 3]
+    assert order(ordering.sorted_by(star.recipients, "first_name")) == [3, 2, 1, 4, 5, 6]
+    assert order(ordering.sorted_by(star.recipients, "first_name", descending=True)) == [6, 5, 4, 1, 3, 2]
     assert order(ordering.take_first(star.recipients)) == [1]
     with pytest.raises(ValueError):
         ordering.sorted_by(star.recipients, "id; drop table")
     detail = aggregates.campaign_recipients(star.links, star.recipients, star.events)
-    assert [r["link_id"] for r in ordering.by_clicks(detail).collect()] == [101, 103, 104, 105, 102, 106]
+    assert [r["link_id"] for r in ordering.by_clicks(detail).collect()] == [101, 103, 105, 104, 106, 102]
+    placed = {r["link_id"]: r["position"] for r in ordering.with_position(ordering.by_clicks(detail)).collect()}
+    assert placed == {101: 1, 103: 2, 105: 3, 104: 4, 106: 5, 102: 6}
 
 
 def test_articles_with_image(spark):
@@ -237,20 +242,50 @@ def test_click_reports(spark):
     assert daily == {("a", "2024-01-01"): 1, ("a", "2024-01-02"): 2, ("b", "2024-01-02"): 1}
     agents = {(r["link_key"], r["agent"]): r["clicks"] for r in aggregates.link_agent_counts(clicks).collect()}
     assert agents == {("a", "x"): 1, ("a", "unknown"): 2, ("b", "x"): 1}
-    summary = {r["link_key"]: (r["total_clicks"], r["unique_users"], r["days"]) for r in aggregates.link_summary(clicks).collect()}
-    assert summary == {"a": (3, 2, 2), "b": (1, 1, 1)}
     close = {r["link_key"]: r["unique_users"] for r in aggregates.link_unique_visitors_approx(clicks).collect()}
     assert close == {"a": 2, "b": 1}
 
 
 def test_deliveries(spark):
     runs = spark.createDataFrame(
-        [(1, 1, "a", True, None), (1, 2, "b", False, "gone"), (2, 3, "c", True, None)],
-        "run_id long, link_id long, email string, success boolean, error string",
+        [(1, 1, "A", "B", "a", True, None), (1, 2, None, "C", "b", False, "gone"), (2, 3, "", None, "c", True, None)],
+        "run_id long, link_id long, first_name string, last_name string, email string, success boolean, error string",
     )
     got = {r["run_id"]: tuple(r)[1:] for r in aggregates.delivery_outcome(runs).collect()}
     assert got == {1: (2, 1, 1), 2: (1, 1, 0)}
-    assert [r["email"] for r in aggregates.delivery_failures(runs).collect()] == ["b"]
+    assert [(r["name"], r["email"]) for r in aggregates.delivery_failures(runs).collect()] == [("C", "b")]
+
+
+def test_link_analytics(spark):
+    """File links win, unclicked links show zeros, unknown links nothing."""
+    at = dt.datetime
+    files = spark.createDataFrame([("a", "u", "File A"), ("b", "u", None)], "link_key string, url string, name string")
+    db = spark.createDataFrame(
+        [("a", 1, "Camp", "Ann Zed"), ("c", 2, "Camp", "Bo"), ("d", 3, "Other", "")],
+        "link_key string, link_id long, campaign_name string, employee string",
+    )
+    log = spark.createDataFrame(
+        [("a", at(2024, 1, 1), "x", "h1"), ("a", at(2024, 1, 2), "", "h1"), ("a", at(2024, 1, 2), None, "h2"), ("z", at(2024, 1, 2), "x", "h1")],
+        "link_key string, clicked_at timestamp_ntz, ua string, ip_hash string",
+    )
+    events = spark.createDataFrame(
+        [("1", 1, "click", "9", "x", at(2024, 1, 1)), ("2", 2, "click", "9", "x", at(2024, 1, 5)), ("3", 2, "click", "9", "y", at(2024, 1, 5)), ("4", 77, "click", "9", "x", at(2024, 1, 5))],
+        schemas.LINK_EVENTS,
+    )
+    links, clicks = aggregates.known_links(files, db), aggregates.clicks_of_both(log, events)
+    got = sorted(map(tuple, aggregates.link_summary(links, clicks).collect()))
+    assert got == [
+        ("a", "file", "File A", None, 3, 2, 2, "2024-01-01", "2024-01-02"),
+        ("b", "file", None, None, 0, 0, 0, None, None),
+        ("c", "db", "Camp", "Bo", 2, 1, 1, "2024-01-05", "2024-01-05"),
+        ("d", "db", "Other", "", 0, 0, 0, None, None),
+    ]
+    items = sorted(map(tuple, aggregates.link_breakdown(links, clicks).collect()))
+    assert items == [
+        ("a", "file", "agent", "unknown", 2), ("a", "file", "agent", "x", 1),
+        ("a", "file", "day", "2024-01-01", 1), ("a", "file", "day", "2024-01-02", 2),
+        ("c", "db", "agent", "x", 1), ("c", "db", "agent", "y", 1), ("c", "db", "day", "2024-01-05", 2),
+    ]
 
 
 def test_schemas_of_the_views(views):

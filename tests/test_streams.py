@@ -12,18 +12,21 @@ from drillsight.streaming import clicks as streams
 from drillsight.views import Views
 
 
+FILES = 8
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
 @pytest.fixture
 def arriving(spark, tmp_path):
-    """Event files that arrive one after the other, two days late in part."""
+    """Eight event files that arrive one after the other, each with rows of all days."""
     folder = tmp_path / "in"
     folder.mkdir()
-    events = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("part", F.xxhash64("event_id") % 3)
+    events = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(FILES)))
     parts = []
-    for n, part in enumerate((-2, -1, 0, 1, 2)):
+    for n, part in enumerate((5, 0, 7, 2, 1, 6, 3, 4)):
         out = tmp_path / f"p{n}"
         events.filter(F.col("part") == part).drop("part").coalesce(1).write.parquet(str(out))
         parts.append(next(out.glob("*.parquet")))
@@ -47,7 +50,7 @@ def drive(arriving, start, out, checkpoint):
     deliver(0)
     deliver(1)
     streams.finish(start(stream(), out, checkpoint))
-    for n in (2, 3, 4):
+    for n in range(2, FILES):
         deliver(n)
     streams.finish(start(stream(), out, checkpoint))
 
@@ -57,28 +60,30 @@ def test_stored_clicks(spark, arriving, tmp_path):
     out = str(tmp_path / "out")
     drive(arriving, lambda s, o, c: streams.store_clicks(s, v.link_map, v.short_links, o, c), out, str(tmp_path / "cp"))
     table = spark.read.parquet(out)
-    assert table.select("batch").distinct().count() == 5
+    assert table.select("batch").distinct().count() == FILES
     columns = ["event_id", "link_key", "url", "link_id", "source", "status"]
     want = queries()["stream_clicks"](spark, SMALL).select(columns)
     assert rows(table.select(columns)) == rows(want)
 
 
-def test_daily_deltas_count_late_rows(spark, arriving, tmp_path):
+def test_daily_counts_take_every_click(spark, arriving, tmp_path):
+    """Whatever the number and order of files, with the defaults."""
     out = str(tmp_path / "out")
-    drive(arriving, streams.store_daily_deltas, out, str(tmp_path / "cp"))
+    drive(arriving, streams.store_daily_counts, out, str(tmp_path / "cp"))
     want = queries()["link_daily_clicks"](spark, SMALL)
     assert rows(streams.summed_counts(spark.read.parquet(out))) == rows(want)
 
 
-def test_daily_counts_with_enough_delay(spark, arriving, tmp_path):
-    out = str(tmp_path / "out")
-
-    def start(s, o, c):
-        return streams.store_daily_counts(s, o, c, delay="60 days")
-
-    drive(arriving, start, out, str(tmp_path / "cp"))
-    want = queries()["link_daily_clicks"](spark, SMALL)
-    assert rows(streams.latest_counts(spark.read.parquet(out))) == rows(want)
+def test_compacted_batches_read_the_same(spark, arriving, tmp_path):
+    out, small = str(tmp_path / "out"), str(tmp_path / "compacted")
+    drive(arriving, streams.store_daily_counts, out, str(tmp_path / "cp"))
+    want = rows(queries()["link_daily_clicks"](spark, SMALL))
+    assert rows(streams.summed_counts(streams.read_table(spark, out, small))) == want
+    for upto in (2, 5, 5, FILES - 1):  # one of them runs twice
+        streams.compact(spark, out, small, upto)
+        assert rows(streams.summed_counts(streams.read_table(spark, out, small))) == want
+    days = [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("day=")]
+    assert days and not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]
 
 
 def test_visitors(spark, arriving, tmp_path):
@@ -90,11 +95,12 @@ def test_visitors(spark, arriving, tmp_path):
 
 def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     out = str(tmp_path / "out")
-    batch = spark.createDataFrame([("a", "2024-01-01", 2)], "link_key string, day string, clicks long")
+    batch = spark.createDataFrame([("a", "2024-01-01", 2), ("a", "2024-01-02", 1)], "link_key string, day string, clicks long")
     streams._write_batch(batch, out, 0)
     streams._write_batch(batch, out, 0)
     streams._write_batch(batch, out, 1)
-    assert rows(streams.summed_counts(spark.read.parquet(out))) == [("a", "2024-01-01", 4)]
+    got = rows(streams.summed_counts(spark.read.parquet(out)))
+    assert got == [("a", "2024-01-01", 4), ("a", "2024-01-02", 2)]
 
 
 def test_failure_is_passed_on(spark, arriving, tmp_path):
