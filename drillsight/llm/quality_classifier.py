@@ -239,27 +239,21 @@ def classify(docs: DataFrame, labels: DataFrame, passing: float = PASS, **traini
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, passing: float = PASS, **training: float) -> DataFrame:
-    """The documents that pass, with all their columns."""
+    """The documents that pass, with all their columns; ``source`` and ``lang`` are texts."""
     seen = stage(views(docs), "quality-views")
     model = train(seen, labels, **training)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        "text",
-        F.col("source").cast("string"),
-        F.col("lang").cast("string"),
-        F.col("n_chars").cast("long"),
-    )
+    at = [docs.columns.index(c) for c in ("text", "source", "lang", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            columns = [c.to_pylist() for c in batch.columns[1:]]
+        for batch in steps(batches, at[0]):
+            columns = [batch.column(k).to_pylist() for k in at]
             words = np.array([text_view(x or "") for x in columns[0]], np.float32)
             pages = np.array([page_view(x or "", *r) for x, *r in zip(*columns, strict=True)], np.float32)
             good = held.value.scores(words, pages)[2] >= passing
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good))], ["row"])
+            yield batch.filter(pa.array(good))
 
-    return plain.mapInArrow(run, f"row {plain.schema['row'].dataType.simpleString()}").select("row.*")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
