@@ -50,17 +50,19 @@ def plain(text: str | None) -> bytes:
 def learn(docs: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """Dictionaries by language, from ``doc_id, text, lang``; rows without a language don't count.
 
-    The driver gets ``docs_each * bytes_each`` bytes a language at most.
+    The driver gets ``docs_each * bytes_each`` bytes a language (and rows that repeat an id).
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "start")
-    sample = (
-        docs.filter("lang is not null and trim(text) <> ''")
-        .select("lang", "doc_id", F.substring("text", 1, 2 * bytes_each).alias("start"))
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= docs_each)
+    usable = docs.filter("lang is not null and trim(text) <> ''")
+    # Ids are ranked without their texts, which are fetched for the few that are chosen.
+    order = Window.partitionBy("lang").orderBy("draw", F.col("doc_id").asc_nulls_last())
+    drawn = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("draw"))
+    chosen = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= docs_each)
+    chosen = chosen.groupBy("lang", "doc_id").agg(F.min("place").alias("place"))
+    sample = usable.select("lang", "doc_id", F.substring("text", 1, 2 * bytes_each).alias("start")).join(
+        F.broadcast(chosen), ["lang", "doc_id"]
     )
     parts: dict[str, list[bytes]] = {}
-    for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"])):
+    for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"], r["start"])):
         parts.setdefault(row["lang"], []).append(plain(row["start"])[:bytes_each])
     return {lang: b" ".join(x) for lang, x in sorted(parts.items()) if b"".join(x)}
 
