@@ -47,6 +47,8 @@ LIST_SIZE = 2_048
 LEAST_LISTS = 16
 MOST_LISTS = 4_096
 RECALL = 0.97
+#: Candidates beyond the nearest that the first bound of a query lets pass.
+SPARE = 12
 #: Vectors and queries that meet in one task step.
 BLOCK = 4_096
 QUERIES = 1_024
@@ -65,6 +67,7 @@ class Index:
     centroids: np.ndarray
     bound: np.ndarray
     bound_ids: np.ndarray
+    bound_lists: np.ndarray
     probes: int
 
     def lift(self, x: np.ndarray) -> np.ndarray:
@@ -104,12 +107,12 @@ def fit(vectors: np.ndarray, ids: np.ndarray, largest: float, total: int, neares
     width = vectors.shape[1] + 1
     draw = np.random.default_rng(_SEED)
     rotation, _ = np.linalg.qr(draw.standard_normal((width, width)))
-    index = Index(rotation, largest, np.zeros((0, width)), np.zeros((0, width)), ids[:0], 1)
+    index = Index(rotation, largest, np.zeros((0, width)), np.zeros((0, width)), ids[:0], ids[:0], 1)
     x = index.lift(vectors)
     lists = min(max(LEAST_LISTS, total // LIST_SIZE), MOST_LISTS, len(x))
     index.centroids = _means(x, lists)
-    index.bound, index.bound_ids = x[:BOUND_SAMPLE], ids[:BOUND_SAMPLE]
     own, trial = _nearest(x, index.centroids), vectors[: min(256, len(x))]
+    index.bound, index.bound_ids, index.bound_lists = x[:BOUND_SAMPLE], ids[:BOUND_SAMPLE], own[:BOUND_SAMPLE]
     q = index.turn(trial)
     order = np.argsort(np.argsort(_distances(q, index.centroids), axis=1), axis=1)
     far = _distances(q, x)
@@ -221,10 +224,14 @@ def search(
                 near = np.argsort(_distances(q, index.centroids), axis=1, kind="stable")[:, : index.probes]
                 known = _distances(q, index.bound)
                 known[head[:, None] == index.bound_ids] = np.inf
-                # One more neighbour than wanted: the query's own group may be among the found.
-                limit = np.full(len(q), np.inf)
-                if known.shape[1] > nearest:
-                    limit = np.partition(known, nearest, axis=1)[:, nearest] * (1 + 1e-9) + 1e-12
+                # Only what lies in a probed list will be found.
+                probed = np.zeros((len(q), len(index.centroids)), bool)
+                np.put_along_axis(probed, near, True, axis=1)
+                known[~probed[:, index.bound_lists]] = np.inf
+                # The bound leaves room for the query itself and for candidates given up by mistake.
+                limit, room = np.full(len(q), np.inf), nearest + SPARE
+                if known.shape[1] > room:
+                    limit = np.partition(known, room, axis=1)[:, room] * (1 + 1e-9) + 1e-12
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), pa.array(limit), pa.array(list(near.astype(np.int32)))],
                     ["head", "v", "limit", "lists"],
