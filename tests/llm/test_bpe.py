@@ -1,0 +1,69 @@
+import hashlib
+import random
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from llm_data import SMALL, documents  # noqa: F401
+
+from drillsight.llm import bpe
+from drillsight.llm.chunks import ChunkEncoder, cut_keeping_spaces
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+ODD = [
+    "", " ", "  ", "   ", "\n", " \n", "\n ", "a  b", "a   b", " a", "a ", "a\n\n b", "a \n b", "\t\ta\x0bb", "it's they'RE 'd 12345 67",
+    "x" * 500, "ab" * 400 + " " + "é" * 200, "naïve café — “quoted” …", "日本語 テキスト", "🙂🙃 emoji🙂", "a b  c　d",
+    "<|endoftext|>", "a<|endoftext|>b <|endoftext|> c", "<|endoftext", "\x1c\x1d a\x85b", "é ́", "\r\n\r\n x", "don't  won't", "###***!!!",
+]
+
+
+@pytest.fixture(scope="module")
+def vocab():
+    return bpe.Vocabulary(PATH)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def test_like_the_library(vocab, library):
+    draw = random.Random(1)
+    letters = "ab e'sé  \n\t.,1日🙂"
+    made = ["".join(draw.choice(letters) for _ in range(draw.randrange(40))) for _ in range(1500)]
+    texts = ODD + made
+    encoder = ChunkEncoder(cut_keeping_spaces, bpe.Encoder(vocab), most_ids=2_000)
+    for first in range(0, len(texts), 50):  # forgets in between
+        part = texts[first : first + 50]
+        ids, counts = encoder(part)
+        at = 0
+        for text, n in zip(part, counts, strict=True):
+            assert ids[at : at + n].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+            at += n
+
+
+def test_scan_and_heap_merge_alike(vocab):
+    draw = random.Random(2)
+    words = ["".join(draw.choice("etaoinshr") for _ in range(draw.randrange(1, 48))) for _ in range(300)]
+    scanned = bpe.Encoder(vocab).words(words)
+    for word in words:
+        assert bpe.merge_long([int(vocab.of_byte[b]) for b in word.encode()], vocab) == scanned[word]
+
+
+def test_documents(spark, documents, library):
+    rows = [(n, t) for n, t in enumerate(ODD)] + [(None, "null id"), (3, None), (3, None), (7, "again"), (7, "again")]
+    done = bpe.decode(bpe.encode(documents(rows), PATH), PATH)
+    got = sorted(((r["doc_id"], r["ids"], r["decoded"]) for r in done.collect()), key=repr)
+    ids = [library.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    want = [(k, i, library.decode(i, skip_special_tokens=False)) for (k, _), i in zip(rows, ids, strict=True)]
+    assert got == sorted(want, key=repr)
+    assert bpe.decode(bpe.encode(documents([]), PATH), PATH).count() == 0
+
+
+def test_query_digests(spark, library):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for r in bpe.query(spark, SMALL, PATH).collect():
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()

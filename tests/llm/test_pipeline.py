@@ -1,0 +1,44 @@
+from collections import defaultdict
+
+from llm_data import SMALL, documents  # noqa: F401
+
+import __spark_entry__
+import corpus_pipeline
+from drillsight.llm import simhash
+
+
+def test_stages_take_and_give_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "repeats", "packing"]
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        path = corpus_pipeline.stage(step(spark, docs, SMALL), "test")
+        assert path.columns == corpus_pipeline.COLUMNS
+        rows = {r["doc_id"]: r for r in path.collect()}
+        assert set(rows) <= set(before) and len(rows) == path.count()
+        if name == "repeats":
+            assert set(rows) == set(before)
+            assert all(len(r["text"]) == r["n_chars"] <= len(before[d]) for d, r in rows.items())
+        else:
+            assert all(r["text"] == before[d] for d, r in rows.items())
+            assert len(rows) > 0.7 * len(before)
+        if name == "near_duplicates":
+            prints = [simhash.fingerprint(r["text"]) for r in rows.values()]
+            assert min((a ^ b).bit_count() for k, a in enumerate(prints) for b in prints[:k]) > 4
+        docs, before = path, {d: r["text"] for d, r in rows.items()}
+    pieces = defaultdict(int)
+    for r in corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect():
+        pieces[r["doc_id"]] += r["length"]
+    assert set(pieces) == set(before)
+
+
+def test_registered(spark):
+    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_empty_documents(spark, documents):  # noqa: F811
+    docs = documents([]).select(*corpus_pipeline.COLUMNS)
+    for _, step in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stage(step(spark, docs, SMALL), "test")
+        assert docs.count() == 0

@@ -1,0 +1,59 @@
+import random
+
+from llm_data import MEDIUM, documents  # noqa: F401
+from pyspark.sql import functions as F
+
+from drillsight.llm import quality_classifier
+
+
+def test_held_out_accuracy(spark):
+    """Trained without a fifth of the labels, it knows them."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    labels = spark.read.parquet(f"{MEDIUM}/labels.parquet").select("doc_id", "quality")
+    held = labels.filter("doc_id % 5 = 0")
+    done = quality_classifier.classify(docs, labels.filter("doc_id % 5 <> 0"))
+    assert done.count() == docs.count()
+    rows = done.join(held, "doc_id").collect()
+    assert sum(r["kept"] == bool(r["quality"]) for r in rows) / len(rows) >= 0.95
+    good = [r["kept"] for r in rows if r["quality"]]
+    assert sum(good) / len(good) >= 0.97
+
+
+def made(n=300):
+    draw = random.Random(1)
+    rows, labels = [], []
+    for k in range(n):
+        good = k % 3 > 0
+        words = [draw.choice(["river", "stone", "walks", "under", "light"]) for _ in range(40)]
+        text = " ".join(words) if good else " ".join(w + "$$$" for w in words)
+        rows.append((k, text, "en", "good.org" if good else "spam.biz"))
+        labels.append((k, int(good)))
+    return rows, labels
+
+
+def test_odd_rows_and_confident_exchange(spark, documents):  # noqa: F811
+    rows, labels = made()
+    odd = [(900, None), (901, ""), (902, "long " * 30_000), (None, "no id at all"), (903, "twice"), (903, "twice")]
+    docs = documents(rows + odd)
+    told = spark.createDataFrame([x for x in labels if x[0] % 2], "doc_id long, quality int")
+    told = told.unionByName(spark.createDataFrame([(2, None), (4, 9), (None, 1), (5, 0), (5, 1)], "doc_id long, quality int")).withColumn("text", F.lit("x"))
+    done = quality_classifier.classify(docs, told, rounds=2, confident=20)
+    got = {}
+    for r in done.collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    wrong = [k for k, good in labels if got[k][0]["kept"] != bool(good) and k != 5]
+    assert len(wrong) <= 3 and len(got[903]) == 2
+    assert all(0 <= r["score"] <= 1 for x in got.values() for r in x)
+    kept = quality_classifier.kept_documents(docs, told, rounds=1, confident=20)
+    assert kept.columns == docs.columns
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert len(ids & {k for k, good in labels if good}) >= 195
+
+
+def test_without_evidence(spark, documents):  # noqa: F811
+    docs = documents([(1, "a b c"), (2, None)])
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert [r["kept"] for r in quality_classifier.classify(docs, none).collect()] == [True, True]
+    one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert [r["kept"] for r in quality_classifier.classify(docs, one).collect()] == [True, True]
+    assert quality_classifier.classify(documents([]), one).count() == 0
