@@ -6,7 +6,8 @@ and the language whose dictionary gives the fewest bytes in all is chosen.  Wher
 two are close, the choice is marked as rejected.
 
 Rules: a null text, or one without a letter, is ``und`` with score 0, rejected.  Ties go to
-the language that sorts first (and are rejected, the margin being zero).  Digits, signs and
+the language with more documents to learn from, then to the one that sorts first (and are
+rejected, the margin being zero).  Digits, signs and
 ASCII case do not count.  With nothing to learn from, every text is ``und``.  Repeated rows
 are predicted each.  The sample is bounded: :data:`SAMPLE_DOCS` documents a language, in the
 order of a hash of their id, :data:`SAMPLE_BYTES` bytes of each.
@@ -48,7 +49,8 @@ def plain(text: str | None) -> bytes:
 
 
 def learn(docs: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Dictionaries by language, from ``doc_id, text, lang``; rows without a language don't count.
+    """Dictionaries by language, the most frequent first, from ``doc_id, text, lang``; rows
+    without a language don't count.
 
     The driver gets ``docs_each * bytes_each`` bytes a language (and rows that repeat an id).
     """
@@ -64,14 +66,16 @@ def learn(docs: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPL
     parts: dict[str, list[bytes]] = {}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"], r["start"])):
         parts.setdefault(row["lang"], []).append(plain(row["start"])[:bytes_each])
-    return {lang: b" ".join(x) for lang, x in sorted(parts.items()) if b"".join(x)}
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    order = sorted(parts, key=lambda lang: (-counts[lang], lang))
+    return {lang: b" ".join(parts[lang]) for lang in order if b"".join(parts[lang])}
 
 
 class Compressors:
-    """The sizes of a text under every language."""
+    """The sizes of a text under every language; of equal ones the first in order counts."""
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL) -> None:
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.zip = []
         for lang in self.langs:
             held = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)

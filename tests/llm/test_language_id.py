@@ -35,6 +35,8 @@ def test_odd_rows(spark, documents):  # noqa: F811
 
 
 def test_ties_are_rejected(spark, documents):  # noqa: F811
-    learned = {"b": b"same words here", "a": b"same words here"}
+    rows = [(k, "same words here", lang) for k, lang in enumerate("abbcc")]
+    learned = language_id.learn(documents(rows))
+    assert list(learned) == ["b", "c", "a"]
     row = language_id.identify(documents([(1, "same words")]), learned).collect()[0]
-    assert (row["lang_pred"], row["margin"], row["rejected"]) == ("a", 0.0, True)
+    assert (row["lang_pred"], row["margin"], row["rejected"]) == ("b", 0.0, True)
