@@ -16,6 +16,7 @@ from drillsight.llm import (
     quality_classifier,
     quality_rules,
     simhash,
+    sql,
     suffix_dedup,
     toxicity,
 )
@@ -49,4 +50,4 @@ def all_queries() -> dict[str, Query]:
 
 def all_sql() -> dict[str, str]:
     """SQL by the name of its query."""
-    return {}
+    return {"op4_quality_rules": sql.QUALITY_RULES, "op5_chat_format": sql.CHAT_FORMAT}
