@@ -27,14 +27,17 @@ from pyspark.sql import functions as F
 
 from drillsight.llm.common import fold, steps, table
 from drillsight.llm.fitting import Logistic, fit
+from drillsight.session import stage
 
 SAMPLE_TOXIC = 4_000
 SAMPLE_OTHER = 8_000
-#: Toxic documents a term must come up in, and share of its documents that are toxic.
+#: Toxic documents a term must come up in, as a number and as a share of all toxic ones, and
+#: share of its documents that are toxic.
 LEAST_DOCS = 5
+LEAST_REACH = 0.02
 LEAST_SHARE = 0.9
 #: Terms of the lexicon; the strongest count.
-MOST_TERMS = 2_000
+MOST_TERMS = 500
 STEM_LENGTHS = (4, 5, 6)
 #: Different words that must share a stem.
 STEM_WORDS = 4
@@ -61,10 +64,17 @@ class Trie:
         self.kids: list[dict[str, int]] = [{}]
         self.ends: list[int] = [0]
         self.stems: list[bool] = [False]
+        #: Lengths of the shortest and the longest term below a node.
+        self.lengths: list[tuple[int, int]] = [(0, 0)]
         for term in words:
             self.ends[self._add(term)] = len(term)
         for stem in stems:
             self.stems[self._add(stem)] = True
+        for node in range(len(self.kids) - 1, -1, -1):  # children have larger numbers
+            below = [self.lengths[k] for k in self.kids[node].values() if self.lengths[k][1]]
+            own = [(self.ends[node],) * 2] if self.ends[node] else []
+            found = [*below, *own]
+            self.lengths[node] = (min(a for a, _ in found), max(b for _, b in found)) if found else (0, 0)
 
     def _add(self, term: str) -> int:
         node = 0
@@ -74,6 +84,7 @@ class Trie:
                 self.kids.append({})
                 self.ends.append(0)
                 self.stems.append(False)
+                self.lengths.append((0, 0))
             node = self.kids[node][letter]
         return node
 
@@ -92,7 +103,7 @@ class Trie:
 
         The automaton of ``word`` has a bit mask for each number of edits: bit ``i`` says that
         ``i`` letters of the word are used up.  It moves along the trie's edges and a branch
-        is left when no bit is set.
+        is left when no bit is set, or when its terms are too short or too long.
         """
         masks: dict[str, int] = {}
         for i, letter in enumerate(word):
@@ -110,6 +121,9 @@ class Trie:
                             best = edits
                         break
             for letter, kid in self.kids[node].items():
+                shortest, longest = self.lengths[kid]
+                if longest < len(word) - most or shortest > len(word) + most:
+                    continue
                 mask = masks.get(letter, 0)
                 moved, below, below_old = [], 0, 0
                 for bits in state:
@@ -119,7 +133,7 @@ class Trie:
                     now &= full
                     moved.append(now)
                     below, below_old = now, bits
-                if moved[-1] or any(moved):
+                if any(moved):
                     stack.append((kid, moved))
         return best
 
@@ -241,7 +255,9 @@ def _words(sample: DataFrame) -> DataFrame:
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Terms and stems of toxic documents; the driver gets at most :data:`MOST_TERMS` of each."""
-    counts = _words(sample)
+    counts = stage(_words(sample), "toxicity-words")
+    # Words of a few near copies are no lexicon: a term has to reach a share of all toxic documents.
+    least = max(LEAST_DOCS, LEAST_REACH * sample.filter("toxic = 1").count())
     shared = F.col("bad") >= LEAST_SHARE * (F.col("bad") + F.col("good"))
     strongest = (F.col("bad").desc(), "term")
     stems = (
@@ -253,14 +269,14 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             F.sum("good").alias("good"),
             F.count_if(F.col("bad") > 0).alias("words"),
         )
-        .filter((F.col("bad") >= LEAST_DOCS) & shared & (F.col("words") >= STEM_WORDS))
+        .filter((F.col("bad") >= least) & shared & (F.col("words") >= STEM_WORDS))
         .orderBy(*strongest)
         .limit(MOST_TERMS)
         .collect()
     )
     words = (
         counts.withColumnRenamed("word", "term")
-        .filter((F.col("bad") >= LEAST_DOCS) & shared & (F.length("term") > 2))
+        .filter((F.col("bad") >= least) & shared & (F.length("term") > 2))
         .orderBy(*strongest)
         .limit(MOST_TERMS)
         .collect()
