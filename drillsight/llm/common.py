@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,18 @@ from pyspark.sql import functions as F
 STEP_BYTES = 2 << 20
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Enough where executors see the driver's code at the same path, as in a local session; on
+    other clusters the package is installed, or shipped with ``--py-files``.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *known]))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the sample tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -21,6 +21,8 @@ from drillsight.llm import (
     toxicity,
 )
 
+from drillsight.llm.common import importable
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -32,20 +34,31 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.query(spark, folder, public_tokenizers.path("word_bpe_49k.json"))
 
 
+_QUERIES: dict[str, Query] = {
+    "op1_bpe": op1_bpe,
+    "op2_suffix_dedup": suffix_dedup.query,
+    "op3_ann": ann.query,
+    "op4_quality_rules": quality_rules.query,
+    "op5_chat_format": chat_format.query,
+    "op6_quality_classifier": quality_classifier.query,
+    "op7_toxicity": toxicity.query,
+    "op8_language_id": language_id.query,
+    "op9_simhash": simhash.query,
+    "op10_packing": op10_packing,
+}
+
+
+def _ready(query: Query) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        importable(spark)
+        return query(spark, folder)
+
+    return run
+
+
 def all_queries() -> dict[str, Query]:
     """Every query of this folder by name."""
-    return {
-        "op1_bpe": op1_bpe,
-        "op2_suffix_dedup": suffix_dedup.query,
-        "op3_ann": ann.query,
-        "op4_quality_rules": quality_rules.query,
-        "op5_chat_format": chat_format.query,
-        "op6_quality_classifier": quality_classifier.query,
-        "op7_toxicity": toxicity.query,
-        "op8_language_id": language_id.query,
-        "op9_simhash": simhash.query,
-        "op10_packing": op10_packing,
-    }
+    return {name: _ready(query) for name, query in _QUERIES.items()}
 
 
 def all_sql() -> dict[str, str]:
