@@ -15,13 +15,14 @@ read again as the next stage's documents.  All but the last return the columns o
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drillsight.llm import language_id, packing, quality_classifier, simhash, suffix_dedup
-from drillsight.llm.common import fold
+from drillsight.llm.common import fold, importable
 from drillsight.session import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,12 +30,25 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def stage_of(step: Stage) -> Stage:
+    """A stage whose Python workers find the package."""
+
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return step(spark, docs, sf_dir)
+
+    return run
+
+
+@stage_of
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the co-trained classifier passes."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_classifier.kept_documents(docs.select(*COLUMNS), labels)
 
 
+@stage_of
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with a clear margin."""
     learned = language_id.learn(docs.filter(fold(F.col("doc_id"), 4) != 2))
@@ -42,16 +56,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter(~F.col("rejected")).select(*COLUMNS)
 
 
+@stage_of
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id."""
     return simhash.representatives(docs.select(*COLUMNS))
 
 
+@stage_of
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without byte strings that occur elsewhere."""
     return suffix_dedup.cleaned(docs.select(*COLUMNS))
 
 
+@stage_of
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences."""
     return packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
