@@ -55,9 +55,15 @@ def learn(docs: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPL
     The driver gets ``docs_each * bytes_each`` bytes a language (and rows that repeat an id).
     """
     usable = docs.filter("lang is not null and trim(text) <> ''")
-    # Ids are ranked without their texts, which are fetched for the few that are chosen.
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not counts:
+        return {}
+    # A few times the wanted number of ids is drawn by their hash and ranked, without their
+    # texts; these are fetched for the ids that are chosen.
+    bars = {lang: -(1 << 63) + int(min(1.0, 4 * docs_each / n) * ((1 << 64) - 2048)) for lang, n in counts.items()}
+    bar = F.create_map(*[F.lit(x) for pair in bars.items() for x in pair])[F.col("lang")]
     order = Window.partitionBy("lang").orderBy("draw", F.col("doc_id").asc_nulls_last())
-    drawn = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("draw"))
+    drawn = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("draw")).filter(F.col("draw") <= bar)
     chosen = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= docs_each)
     chosen = chosen.groupBy("lang", "doc_id").agg(F.min("place").alias("place"))
     sample = usable.select("lang", "doc_id", F.substring("text", 1, 2 * bytes_each).alias("start")).join(
@@ -66,7 +72,6 @@ def learn(docs: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPL
     parts: dict[str, list[bytes]] = {}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"], r["start"])):
         parts.setdefault(row["lang"], []).append(plain(row["start"])[:bytes_each])
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     order = sorted(parts, key=lambda lang: (-counts[lang], lang))
     return {lang: b" ".join(parts[lang]) for lang in order if b"".join(parts[lang])}
 
