@@ -34,7 +34,7 @@ SAMPLE_OTHER = 8_000
 #: Toxic documents a term must come up in, as a number and as a share of all toxic ones, and
 #: share of its documents that are toxic.
 LEAST_DOCS = 5
-LEAST_REACH = 0.02
+LEAST_REACH = 0.015
 LEAST_SHARE = 0.9
 #: Terms of the lexicon; the strongest count.
 MOST_TERMS = 500
