@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drillsight.llm.common import list_array, ranges, steps, table
+from drillsight.llm.common import ranges, steps, table
 from drillsight.session import stage
 
 #: Bytes of a string that counts as repeated.
