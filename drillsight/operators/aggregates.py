@@ -294,14 +294,14 @@ def clicks_of_both(log: DataFrame, events: DataFrame) -> DataFrame:
     file = log.select(
         F.lit("file").alias("source"),
         F.col("link_key").alias("id"),
-        day_of(F.col("clicked_at")).alias("day"),
+        F.to_date("clicked_at").alias("day"),
         F.col("ip_hash").alias("visitor"),
         agent_or_unknown(F.col("ua")).alias("agent"),
     )
     db = events.select(
         F.lit("db").alias("source"),
         F.col("link_id").cast("string").alias("id"),
-        day_of(F.col("created_at")).alias("day"),
+        F.to_date("created_at").alias("day"),
         F.col("ip_address").alias("visitor"),
         agent_or_unknown(F.col("user_agent")).alias("agent"),
     )
@@ -329,7 +329,8 @@ def link_summary(links: DataFrame, clicks: DataFrame) -> DataFrame:
 
     return links.join(totals, ["source", "id"], "left").select(
         "link_key", "source", "name", "employee",
-        number("total_clicks"), number("unique_users"), number("days"), "first_day", "last_day",
+        number("total_clicks"), number("unique_users"), number("days"),
+        F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"),
     )
 
 
@@ -341,7 +342,7 @@ def link_breakdown(links: DataFrame, clicks: DataFrame) -> DataFrame:
     both = clicks.groupBy("source", "id", "day", "agent").agg(F.count("*").alias("n"))
 
     def item(kind: str) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("item"))
+        return F.struct(F.lit(kind).alias("kind"), F.col(kind).cast("string").alias("item"))
 
     items = both.select("source", "id", "n", F.explode(F.array(item("day"), item("agent"))).alias("one"))
     counts = items.groupBy("source", "id", "one.kind", "one.item").agg(F.sum("n").alias("clicks"))
