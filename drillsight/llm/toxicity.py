@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drillsight.llm.common import fold, steps, table
@@ -31,13 +31,17 @@ from drillsight.session import stage
 
 SAMPLE_TOXIC = 4_000
 SAMPLE_OTHER = 8_000
-#: Toxic documents a term must come up in, as a number and as a share of all toxic ones, and
-#: share of its documents that are toxic.
+#: Toxic documents a term must come up in, however large the sample, and share of its documents
+#: that are toxic.
 LEAST_DOCS = 5
-LEAST_REACH = 0.015
 LEAST_SHARE = 0.9
-#: Terms of the lexicon; the strongest count.
-MOST_TERMS = 500
+#: Contrast between the classes that a term needs: the log-likelihood ratio (G squared) of its
+#: documents by label against those of the sample; 15.13 is one chance in 10,000.
+LEAST_CONTRAST = 15.13
+#: Words, and stems, that the driver holds at most; those of the strongest contrast count.
+MOST_TERMS = 10_000
+#: Words of clean documents near a term that are held at most.
+MOST_INNOCENT = 200_000
 STEM_LENGTHS = (4, 5, 6)
 #: Different words that must share a stem.
 STEM_WORDS = 4
@@ -57,6 +61,15 @@ def plain_word(word: str) -> str:
     return word.strip(_EDGE)
 
 
+def shortened(word: str, most: int) -> set[str]:
+    """The word, and what is left of it without up to ``most`` letters."""
+    found = layer = {word}
+    for _ in range(most):
+        layer = {w[:k] + w[k + 1 :] for w in layer for k in range(len(w))}
+        found = found | layer
+    return found
+
+
 class Trie:
     """The lexicon: nodes with children by letter; ``ends`` and ``stems`` mark where terms end."""
 
@@ -103,7 +116,8 @@ class Trie:
 
         The automaton of ``word`` has a bit mask for each number of edits: bit ``i`` says that
         ``i`` letters of the word are used up.  It moves along the trie's edges and a branch
-        is left when no bit is set, or when its terms are too short or too long.
+        is left when no bit is set within the edits its longest term allows, or when its terms
+        are too short or too long for theirs.
         """
         masks: dict[str, int] = {}
         for i, letter in enumerate(word):
@@ -122,11 +136,12 @@ class Trie:
                         break
             for letter, kid in self.kids[node].items():
                 shortest, longest = self.lengths[kid]
-                if longest < len(word) - most or shortest > len(word) + most:
+                allowed = min(most, longest // LETTERS_PER_EDIT)
+                if longest + allowed < len(word) or shortest - min(most, shortest // LETTERS_PER_EDIT) > len(word):
                     continue
                 mask = masks.get(letter, 0)
                 moved, below, below_old = [], 0, 0
-                for bits in state:
+                for bits in state[: allowed + 1]:
                     now = (bits & mask) << 1  # the letter fits
                     if moved:  # one more edit: letter of the term only, changed, letter of the word only
                         now |= below_old | below_old << 1 | below << 1
@@ -152,7 +167,9 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon, most_words: int = 400_000) -> None:
         self.trie, self.innocent = Trie(lexicon.words, lexicon.stems), lexicon.innocent
-        # A word within e edits of a term has one of e + 1 parts of the term as it is.
+        # A word within e edits of a term has one of e + 1 parts of the term as it is, and the
+        # two are alike in one of their forms with up to e letters left out.
+        self.forms = {f for term in lexicon.words for f in shortened(term, min(MOST_EDITS, len(term) // LETTERS_PER_EDIT))}
         self.parts = ahocorasick.Automaton()
         for term in lexicon.words:
             pieces = min(MOST_EDITS, len(term) // LETTERS_PER_EDIT) + 1
@@ -171,6 +188,8 @@ class Matcher:
             return 1.0
         if self.empty or len(word) > 64 or next(self.parts.iter(word), None) is None:
             return 0.0
+        if self.forms.isdisjoint(shortened(word, MOST_EDITS)):
+            return 0.0
         edits = self.trie.distance(word, MOST_EDITS)
         if edits is None or edits and word in self.innocent:
             return 0.0
@@ -253,13 +272,24 @@ def _words(sample: DataFrame) -> DataFrame:
     )
 
 
+def _contrast(toxic: int, other: int) -> Column:
+    """G squared of a term's ``bad`` and ``good`` documents, zero where toxic ones are no more
+    frequent than among the sample's ``toxic`` and ``other`` documents."""
+    if not toxic or not other:
+        return F.lit(0.0)
+    bad, good, share = F.col("bad"), F.col("good"), toxic / (toxic + other)
+    parts = [F.when(n > 0, n * F.log(n / ((bad + good) * p))).otherwise(0.0) for n, p in ((bad, share), (good, 1 - share))]
+    return F.when(bad * other > good * toxic, 2 * (parts[0] + parts[1])).otherwise(0.0)
+
+
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Terms and stems of toxic documents; the driver gets at most :data:`MOST_TERMS` of each."""
     counts = stage(_words(sample), "toxicity-words")
-    # Words of a few near copies are no lexicon: a term has to reach a share of all toxic documents.
-    least = max(LEAST_DOCS, LEAST_REACH * sample.filter("toxic = 1").count())
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    contrast = _contrast(sizes.get(1, 0), sizes.get(0, 0))
     shared = F.col("bad") >= LEAST_SHARE * (F.col("bad") + F.col("good"))
-    strongest = (F.col("bad").desc(), "term")
+    telling = (F.col("bad") >= LEAST_DOCS) & shared & (contrast >= LEAST_CONTRAST)
+    strongest = (contrast.desc(), "term")
     stems = (
         counts.withColumn("length", F.explode(F.array(*map(F.lit, STEM_LENGTHS))))
         .filter(F.length("word") > F.col("length"))
@@ -269,14 +299,14 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             F.sum("good").alias("good"),
             F.count_if(F.col("bad") > 0).alias("words"),
         )
-        .filter((F.col("bad") >= least) & shared & (F.col("words") >= STEM_WORDS))
+        .filter(telling & (F.col("words") >= STEM_WORDS))
         .orderBy(*strongest)
         .limit(MOST_TERMS)
         .collect()
     )
     words = (
         counts.withColumnRenamed("word", "term")
-        .filter((F.col("bad") >= least) & shared & (F.length("term") > 2))
+        .filter(telling & (F.length("term") > 2))
         .orderBy(*strongest)
         .limit(MOST_TERMS)
         .collect()
@@ -300,7 +330,7 @@ def _with_innocent(counts: DataFrame, lexicon: Lexicon) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["word"])
 
     clean = counts.filter(F.col("good") > 0).select("word")
-    near = clean.mapInArrow(run, "word string").orderBy("word").limit(20 * MOST_TERMS).collect()
+    near = clean.mapInArrow(run, "word string").orderBy("word").limit(MOST_INNOCENT).collect()
     return Lexicon(lexicon.words, lexicon.stems, frozenset(r["word"] for r in near))
 
 

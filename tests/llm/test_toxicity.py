@@ -95,3 +95,31 @@ def test_without_labels(spark, documents):  # noqa: F811
 
 def test_fold_is_crc32_of_the_id():
     assert zlib.crc32(b"17") % 5 == zlib.crc32(str(17).encode()) % 5
+
+
+def letters(k, n=8):
+    """A word of its own for each ``k``, far from the others."""
+    draw = random.Random(k)
+    return "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def varied(insults=100, each=8, clean=1600):
+    """Toxic documents with one of many insults each, and clean ones."""
+    draw = random.Random(5)
+    plain = [letters(-k - 1, 6) for k in range(300)]
+    rows = []
+    for k in range(insults * each + clean):
+        words = [draw.choice(plain) for _ in range(30)]
+        if toxic := k < insults * each:
+            words[draw.randrange(30)] = letters(k % insults)
+        rows.append((k, " ".join(words), int(toxic)))
+    return rows
+
+
+def test_insults_of_small_reach(spark):
+    """Each of a hundred insults is in one of a hundred toxic documents."""
+    sample = spark.createDataFrame(varied(), "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn_lexicon(sample)
+    assert set(lexicon.words) == {letters(k) for k in range(100)}
+    matcher = Matcher(lexicon)
+    assert all(matcher.weigh(letters(k)[:3] + "9" + letters(k)[4:]) == pytest.approx(0.7) for k in range(100))
