@@ -7,6 +7,9 @@ bit masks), so a misspelling within the budget is found as well.  A hit is looke
 window: quotation marks around it or a word of reporting before it make it a quotation.
 Counts of abusive and of quoted hits go into a logistic score fitted on the same sample.
 
+Terms are counted in groups of near copies (linked by :mod:`simhash`), not in rows, so a text
+that is in many places teaches as much as one that is in one.
+
 Rules: a null text is empty and scored as a text without hits.  Labels that are null or
 neither 0 nor 1 do not count; a document labelled twice counts as toxic if one label says so.
 Without labels the lexicon is empty and every score is 0.5 or what the labels' share says.
@@ -25,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drillsight.llm import simhash
 from drillsight.llm.common import fold, steps, table
+from drillsight.llm.components import components
 from drillsight.llm.fitting import Logistic, fit
 from drillsight.session import stage
 
 SAMPLE_TOXIC = 4_000
 SAMPLE_OTHER = 8_000
 #: Toxic documents a term must come up in, however large the sample, and share of its documents
-#: that are toxic.
+#: that are toxic.  Near copies are one document.
 LEAST_DOCS = 5
 LEAST_SHARE = 0.9
 #: Contrast between the classes that a term needs: the log-likelihood ratio (G squared) of its
@@ -251,24 +256,38 @@ def _sample(docs: DataFrame, labels: DataFrame, most_toxic: int, most_other: int
 
 
 def _words(sample: DataFrame) -> DataFrame:
-    """``word, bad, good``: documents of the sample that have the word, by label."""
+    """``word, fp, toxic``: a row for each word of the sample's texts, their fingerprint and label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            words, rows = [], []
+            words, rows, marks = [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 found = sorted({plain_word(w) for w in (text or "").lower().split()} - {""})
                 found = [w for w in found if len(w) <= 64]
                 words += found
                 rows += [row] * len(found)
-            toxic = batch.column(2).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), toxic.cast(pa.int32())], ["word", "toxic"])
-
-    return (
-        sample.select("doc_id", "text", "toxic")
-        .mapInArrow(run, "word string, toxic int")
-        .groupBy("word")
-        .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+                marks.append(simhash.fingerprint(text))
+            places = pa.array(rows, pa.int64())
+            fp = pa.array(np.array(marks, np.uint64).view(np.int64)).take(places)
+            toxic = batch.column(2).take(places).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), fp, toxic], ["word", "fp", "toxic"])
+
+    return sample.select("doc_id", "text", "toxic").mapInArrow(run, "word string, fp long, toxic int").distinct()
+
+
+def _found(sample: DataFrame) -> DataFrame:
+    """``word, origin, toxic``: the words of each group of near copies, by label, once."""
+    words = stage(_words(sample), "toxicity-words")
+    nodes = stage(words.select("fp").distinct(), "toxicity-fingerprints")
+    roots = components(simhash.links(nodes)).select(F.col("a").alias("fp"), F.col("b").alias("origin"))
+    origins = nodes.join(roots, "fp", "left").withColumn("origin", F.coalesce("origin", "fp"))
+    return stage(words.join(origins, "fp").select("word", "origin", "toxic").distinct(), "toxicity-origins")
+
+
+def _counts(found: DataFrame, term: str) -> DataFrame:
+    """``term`` with the groups that have it, by label: ``bad, good``."""
+    return found.groupBy(term).agg(
+        F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")
     )
 
 
@@ -284,22 +303,25 @@ def _contrast(toxic: int, other: int) -> Column:
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Terms and stems of toxic documents; the driver gets at most :data:`MOST_TERMS` of each."""
-    counts = stage(_words(sample), "toxicity-words")
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    found = _found(sample)
+    counts = stage(_counts(found, "word"), "toxicity-counts")
+    sizes = {r["toxic"]: r["count"] for r in found.select("origin", "toxic").distinct().groupBy("toxic").count().collect()}
     contrast = _contrast(sizes.get(1, 0), sizes.get(0, 0))
     shared = F.col("bad") >= LEAST_SHARE * (F.col("bad") + F.col("good"))
     telling = (F.col("bad") >= LEAST_DOCS) & shared & (contrast >= LEAST_CONTRAST)
     strongest = (contrast.desc(), "term")
-    stems = (
-        counts.withColumn("length", F.explode(F.array(*map(F.lit, STEM_LENGTHS))))
+    lengths = F.explode(F.array(*map(F.lit, STEM_LENGTHS)))
+    stemmed = [
+        rows.withColumn("length", lengths)
         .filter(F.length("word") > F.col("length"))
-        .groupBy(F.substring("word", 1, F.col("length")).alias("term"))
-        .agg(
-            F.sum("bad").alias("bad"),
-            F.sum("good").alias("good"),
-            F.count_if(F.col("bad") > 0).alias("words"),
-        )
-        .filter(telling & (F.col("words") >= STEM_WORDS))
+        .withColumn("term", F.substring("word", 1, F.col("length")))
+        for rows in (found, counts.filter("bad > 0"))
+    ]
+    various = stemmed[1].groupBy("term").agg(F.count("*").alias("words")).filter(F.col("words") >= STEM_WORDS)
+    stems = (
+        _counts(stemmed[0].select("term", "origin", "toxic").distinct(), "term")
+        .filter(telling)
+        .join(various, "term")
         .orderBy(*strongest)
         .limit(MOST_TERMS)
         .collect()

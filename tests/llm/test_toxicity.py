@@ -123,3 +123,16 @@ def test_insults_of_small_reach(spark):
     assert set(lexicon.words) == {letters(k) for k in range(100)}
     matcher = Matcher(lexicon)
     assert all(matcher.weigh(letters(k)[:3] + "9" + letters(k)[4:]) == pytest.approx(0.7) for k in range(100))
+
+
+def test_copies_of_one_text_teach_once(spark):
+    """A third of the toxic rows are copies and near copies of one long text."""
+    rows = varied(insults=50, clean=1200)
+    long = [letters(-k - 5000) for k in range(600)]
+    for k in range(200):
+        near = list(long)
+        if k % 2:
+            near[k] = letters(-k - 9000)
+        rows.append((100_000 + k, " ".join(near), 1))
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert set(lexicon.words) == {letters(k) for k in range(50)} and lexicon.stems == []
