@@ -50,10 +50,11 @@ MOST_INNOCENT = 200_000
 STEM_LENGTHS = (4, 5, 6)
 #: Different words that must share a stem.
 STEM_WORDS = 4
-#: Letters a term needs for each edit that is allowed, and what a misspelled hit counts.
+#: Letters a term needs for each edit that is allowed, and what a hit counts for each edit.
 LETTERS_PER_EDIT = 5
-MOST_EDITS = 1
 MISSPELLED = 0.7
+#: Edits up to which words are looked up by their forms; terms that allow more, by their parts.
+FORM_EDITS = 2
 #: Words on either side of a hit that are looked at.
 CONTEXT = 4
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes word term insult".split())
@@ -174,15 +175,25 @@ class Matcher:
         self.trie, self.innocent = Trie(lexicon.words, lexicon.stems), lexicon.innocent
         # A word within e edits of a term has one of e + 1 parts of the term as it is, and the
         # two are alike in one of their forms with up to e letters left out.
-        self.forms = {f for term in lexicon.words for f in shortened(term, min(MOST_EDITS, len(term) // LETTERS_PER_EDIT))}
-        self.parts = ahocorasick.Automaton()
+        self.parts, self.long_parts = ahocorasick.Automaton(), ahocorasick.Automaton()
+        self.forms: set[str] = set()
+        #: The most edits that a term of a near length allows, by the length of a word.
+        self.edits: dict[int, int] = {}
         for term in lexicon.words:
-            pieces = min(MOST_EDITS, len(term) // LETTERS_PER_EDIT) + 1
+            edits = len(term) // LETTERS_PER_EDIT
+            for length in range(len(term) - edits, len(term) + edits + 1):
+                self.edits[length] = max(edits, self.edits.get(length, 0))
+            if edits <= FORM_EDITS:
+                self.forms |= shortened(term, edits)
+            pieces = edits + 1
             for k in range(pieces):
                 part = term[len(term) * k // pieces : len(term) * (k + 1) // pieces]
                 self.parts.add_word(part, 1)
-        if lexicon.words:
-            self.parts.make_automaton()
+                if edits > FORM_EDITS:
+                    self.long_parts.add_word(part, 1)
+        for automaton in (self.parts, self.long_parts):
+            if len(automaton):
+                automaton.make_automaton()
         self.empty, self.most_words, self.known = not lexicon.words, most_words, _Known(self.weigh)
 
     def weigh(self, raw: str) -> float:
@@ -191,11 +202,12 @@ class Matcher:
             return 0.0
         if self.trie.stem_of(word):
             return 1.0
-        if self.empty or len(word) > 64 or next(self.parts.iter(word), None) is None:
+        if self.empty or (most := self.edits.get(len(word), -1)) < 0 or next(self.parts.iter(word), None) is None:
             return 0.0
-        if self.forms.isdisjoint(shortened(word, MOST_EDITS)):
-            return 0.0
-        edits = self.trie.distance(word, MOST_EDITS)
+        if most <= FORM_EDITS or next(self.long_parts.iter(word), None) is None:
+            if self.forms.isdisjoint(shortened(word, min(most, FORM_EDITS))):
+                return 0.0
+        edits = self.trie.distance(word, most)
         if edits is None or edits and word in self.innocent:
             return 0.0
         return MISSPELLED**edits

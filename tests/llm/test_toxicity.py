@@ -136,3 +136,24 @@ def test_copies_of_one_text_teach_once(spark):
         rows.append((100_000 + k, " ".join(near), 1))
     lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
     assert set(lexicon.words) == {letters(k) for k in range(50)} and lexicon.stems == []
+
+
+def test_edits_follow_the_length_of_the_term():
+    matcher = Matcher(Lexicon(["disgusting", "goodfornothings"]))
+    weights = {"d1sgust1ng": 0.49, "disgstin": 0.49, "d1sgu5t1ng": 0, "g00df0rnothings": 0.343, "g00df0rn0things": 0}
+    for word, weight in weights.items():
+        assert matcher.weigh(word) == pytest.approx(weight), word
+
+
+def test_filters_lose_no_hit():
+    draw = random.Random(2)
+    terms = ["".join(draw.choice("abc") for _ in range(n)) for n in range(3, 23) for _ in range(2)]
+    matcher = Matcher(Lexicon(terms))
+    for _ in range(2000):
+        word = list(draw.choice(terms))
+        for _ in range(draw.randrange(6)):
+            at = draw.randrange(len(word) + 1)
+            word[at : at + draw.randrange(2)] = draw.choice(["", "a", "z"])
+        word = "".join(word)
+        near = [edits(word, t) for t in terms if edits(word, t) <= len(t) // toxicity.LETTERS_PER_EDIT]
+        assert matcher.weigh(word) == pytest.approx(0.7 ** min(near) if near else 0), word
