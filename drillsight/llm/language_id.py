@@ -9,8 +9,9 @@ Rules: a null text, or one without a letter, is ``und`` with score 0, rejected.
 the language with more documents to learn from, then to the one that sorts first (and are
 rejected, the margin being zero).  Digits, signs and
 ASCII case do not count.  With nothing to learn from, every text is ``und``.  Repeated rows
-are predicted each.  The sample is bounded: :data:`SAMPLE_DOCS` documents a language, in the
-order of a hash of their id, :data:`SAMPLE_BYTES` bytes of each.
+are predicted each.  The sample is bounded: :data:`SAMPLE_DOCS` distinct texts a language, in
+the order of their hash, :data:`SAMPLE_BYTES` bytes of each, from a place in the whole text that
+the hash draws.
 """
 
 from __future__ import annotations
@@ -52,26 +53,42 @@ def learn(docs: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPL
     """Dictionaries by language, the most frequent first, from ``doc_id, text, lang``; rows
     without a language don't count.
 
-    The driver gets ``docs_each * bytes_each`` bytes a language (and rows that repeat an id).
+    The driver gets ``docs_each * bytes_each`` bytes a language.
     """
-    usable = docs.filter("lang is not null and trim(text) <> ''")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    usable = docs.filter("lang is not null and trim(text) <> ''").select(
+        "lang", "doc_id", "text", F.xxhash64("text").alias("draw")
+    )
+    found = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("draw").alias("texts")).collect()
+    counts = {r["lang"]: r["rows"] for r in found}
     if not counts:
         return {}
-    # A few times the wanted number of ids is drawn by their hash and ranked, without their
-    # texts; these are fetched for the ids that are chosen.
-    bars = {lang: -(1 << 63) + int(min(1.0, 4 * docs_each / n) * ((1 << 64) - 2048)) for lang, n in counts.items()}
+    # A few times the wanted number of distinct texts is drawn by their hash and ranked, without
+    # the texts; these are fetched for the ones that are chosen.
+    bars = {r["lang"]: -(1 << 63) + int(min(1.0, 4 * docs_each / r["texts"]) * ((1 << 64) - 2048)) for r in found}
     bar = F.create_map(*[F.lit(x) for pair in bars.items() for x in pair])[F.col("lang")]
-    order = Window.partitionBy("lang").orderBy("draw", F.col("doc_id").asc_nulls_last())
-    drawn = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("draw")).filter(F.col("draw") <= bar)
+    drawn = usable.select("lang", "doc_id", "draw").filter(F.col("draw") <= bar)
+    drawn = drawn.groupBy("lang", "draw").agg(F.min("doc_id").alias("_id"))
+    order = Window.partitionBy("lang").orderBy("draw")
     chosen = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= docs_each)
-    chosen = chosen.groupBy("lang", "doc_id").agg(F.min("place").alias("place"))
-    sample = usable.select("lang", "doc_id", F.substring("text", 1, 2 * bytes_each).alias("start")).join(
-        F.broadcast(chosen), ["lang", "doc_id"]
+    sample = (
+        usable.join(F.broadcast(chosen), ["lang", "draw"])
+        .filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+        .select("lang", "place", "draw", "text")
     )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, 3):
+            cut = []
+            for draw, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                raw = plain(text)
+                first = (draw * 0x9E3779B97F4A7C15 >> 32) % (max(0, len(raw) - bytes_each) + 1)
+                cut.append(raw[first : first + bytes_each])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cut, pa.binary())], ["lang", "place", "part"])
+
+    sample = sample.mapInArrow(run, "lang string, place int, part binary").dropDuplicates(["lang", "place"])
     parts: dict[str, list[bytes]] = {}
-    for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"], r["start"])):
-        parts.setdefault(row["lang"], []).append(plain(row["start"])[:bytes_each])
+    for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"])):
+        parts.setdefault(row["lang"], []).append(bytes(row["part"]))
     order = sorted(parts, key=lambda lang: (-counts[lang], lang))
     return {lang: b" ".join(parts[lang]) for lang in order if b"".join(parts[lang])}
 

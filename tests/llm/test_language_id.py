@@ -40,3 +40,14 @@ def test_ties_are_rejected(spark, documents):  # noqa: F811
     assert list(learned) == ["b", "c", "a"]
     row = language_id.identify(documents([(1, "same words")]), learned).collect()[0]
     assert (row["lang_pred"], row["margin"], row["rejected"]) == ("b", 0.0, True)
+
+
+def test_bodies_of_distinct_texts_teach(spark, documents):  # noqa: F811
+    """All documents open with one long header; most rows of a language are copies of one text."""
+    header = "permission is hereby granted free of charge to any person " * 20
+    bodies = {"en": "quick brown foxes jump over lazy dogs ", "de": "schnelle braune hunde springen weit "}
+    rows = [(100 * n + k, header + (body + f"{chr(97 + k)} ") * 200, lang) for n, (lang, body) in enumerate(bodies.items()) for k in range(20)]
+    rows += [(1000 + k, "copied again and again " * 40, "en") for k in range(500)]
+    learned = language_id.learn(documents(rows), docs_each=21, bytes_each=500)
+    assert b"lazy dogs" in learned["en"] and b"braune hunde" in learned["de"]
+    assert 0 < learned["en"].count(b"copied") <= 25
