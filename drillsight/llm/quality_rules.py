@@ -2,7 +2,7 @@
 
 Each document gives its base figures and a 128-bit hash of every normalised line.  Lines are
 counted by host, in distinct documents (equal texts are one document).  A line in more than
-``max(LEAST, square root of the host's documents)`` of them is boilerplate and removed.
+``max(LEAST, square root of the host's distinct documents)`` of them is boilerplate and removed.
 A document that has too few words left, or too small a share of them, is rejected.
 
 Rules: a null text has no words and fails.  Lines without words are never counted.  A null
@@ -143,7 +143,7 @@ def judge(
         "row", "mark", "host", "line.*"
     )
     counts = lines.groupBy("host", "hash").agg(F.count_distinct("mark").alias("n")).filter(F.col("n") > least)
-    sizes = own.groupBy(host_key.alias("host")).agg(F.count("*").alias("size"))
+    sizes = own.groupBy(host_key.alias("host")).agg(F.count_distinct("mark").alias("size"))
     often = counts.join(sizes, "host").filter(F.col("n") > F.sqrt("size")).select("host", "hash")
     often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     removed = (

@@ -71,3 +71,11 @@ def test_query(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
         assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
         assert not (r["base_failed"] and r["kept"])
+
+
+def test_copies_do_not_raise_the_limit(spark, documents):  # noqa: F811
+    """25 of 41 distinct texts share a line; with 900 copies of one of them the host has 940 rows."""
+    rows = [(k, words(k) + ("\nhome and about" if k < 25 else ""), None, "a") for k in range(40)]
+    rows += [(1000 + k, words(700), None, "a") for k in range(900)]
+    got = {r["doc_id"]: r["removed_lines"] for r in quality_rules.judge(documents(rows)).collect()}
+    assert all(got[k] == ([1] if k < 25 else []) for k in range(40)) and got[1000] == []
