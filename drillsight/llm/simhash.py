@@ -164,7 +164,9 @@ def schemes(bits: int, nodes: int, group: int = GROUP) -> list[int]:
     choice of so many blocks is a key.  More blocks make longer keys, and more of them.  Two
     blocks a key (15 keys of 21 bits for 4 bits) serve up to some 50 million fingerprints.
     """
-    for blocks in range(bits + 2, 2 * bits + 1):
+    if not bits:
+        return [(1 << 64) - 1]
+    for blocks in range(min(bits + 2, 2 * bits), 2 * bits + 1):
         cuts = [64 * k // blocks for k in range(blocks + 1)]
         block = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
         masks = [sum(c) for c in itertools.combinations(block, blocks - bits)]

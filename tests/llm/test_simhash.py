@@ -132,3 +132,17 @@ def test_large_components(spark):
     got = {r["a"]: r["b"] for r in simhash.components(links).collect()}
     assert got == {**dict.fromkeys(range(1, 60), 0), **dict.fromkeys(range(101, 160), 100), 201: 200}
     assert np.all(np.array(list(got)) > np.array(list(got.values())))
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_few_bits(spark, bits):
+    values = clustered(bits, 200)
+    nodes = spark.createDataFrame([(simhash._signed(v),) for v in set(values)], "fp long")
+    found = {(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(nodes, bits).collect()}
+    want = classes(values, bits)
+    up = {v: {v} for v in want}
+    for a, b in found:
+        both = up[a] | up[b]
+        for v in both:
+            up[v] = both
+    assert {v: min(s) for v, s in up.items()} == want
