@@ -8,8 +8,10 @@ were kept out of the fit, a third regression combines the calibrated views, and
 documents are scored.
 
 Bounds: :data:`LABELLED` labelled documents are used, in the order of a hash of their id, a
-quarter of them for calibration; a view passes on :data:`CONFIDENT` documents of each class
-and round.  These, and nothing else, reach the driver.
+quarter of them for calibration; a view passes on :data:`CONFIDENT` distinct feature rows of each
+class and round, or :data:`SHARE` of the unlabelled ones if that is more, up to
+:data:`MOST_CONFIDENT`, the bound for the fit.  Those of all rounds count, each once for a view.
+These, and nothing else, reach the driver.
 
 Rules: a null text is empty, and scored like any other; null metadata is a value of its own.
 Labels that are null or neither 0 nor 1 do not count, of several labels the smallest does.
@@ -36,6 +38,8 @@ from drillsight.session import stage
 
 LABELLED = 16_000
 CONFIDENT = 400
+SHARE = 0.01
+MOST_CONFIDENT = 2_000
 ROUNDS = 3
 #: Probability a view must reach to pass a document on.
 SURE = 0.95
@@ -205,22 +209,29 @@ def train(
     x = {"words": words[~aside], "page": page[~aside]}
     target = {"words": y[~aside], "page": y[~aside]}
     models = {v: fit(x[v], target[v]) for v in x}
-    unlabelled = seen.join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti")
-    for _ in range(rounds if len(np.unique(y)) == 2 else 0):
+    rounds = rounds if len(np.unique(y)) == 2 else 0
+    if rounds:
+        unlabelled = seen.join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti")
+        unlabelled = unlabelled.select(F.xxhash64("words", "page").alias("mark"), "words", "page")
+        unlabelled = stage(unlabelled.dropDuplicates(["mark"]), "quality-unlabelled")
+        confident = max(confident, min(MOST_CONFIDENT, int(SHARE * unlabelled.count())))
+    passed: dict[str, list] = {"words": [], "page": []}
+    for _ in range(rounds):
         scored = _scored(unlabelled, _Views(models["words"], models["page"]), ["by_words", "by_page"])
         picks = []
         for teacher, column in (("words", "by_words"), ("page", "by_page")):
+            marks = seen.sparkSession.createDataFrame([(r["mark"],) for r in passed[teacher]], "mark long")
+            left = scored.join(F.broadcast(marks), "mark", "left_anti")
             for label, chance in ((1.0, F.col(column)), (0.0, 1 - F.col(column))):
-                ties = (F.xxhash64("doc_id"), "doc_id")
                 picks.append(
-                    scored.filter(chance >= sure).orderBy(chance.desc(), *ties).limit(confident)
-                    .select(F.lit(teacher).alias("teacher"), F.lit(label).alias("label"), "words", "page")
+                    left.filter(chance >= sure).orderBy(chance.desc(), "mark").limit(confident)
+                    .select(F.lit(teacher).alias("teacher"), F.lit(label).alias("label"), "mark", "words", "page")
                 )
         chosen = picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3]).collect()
         for learner, teacher in (("words", "page"), ("page", "words")):
-            passed = [r for r in chosen if r["teacher"] == teacher]
-            more = _arrays(passed)[0 if learner == "words" else 1] if passed else x[learner][:0]
-            told = np.array([r["label"] for r in passed])
+            passed[teacher] += [r for r in chosen if r["teacher"] == teacher]
+            more = _arrays(passed[teacher])[0 if learner == "words" else 1] if passed[teacher] else x[learner][:0]
+            told = np.array([r["label"] for r in passed[teacher]])
             models[learner] = fit(np.r_[x[learner], more], np.r_[target[learner], told])
     check = aside if aside.any() else np.ones(len(rows), bool)
     truth = y[check]

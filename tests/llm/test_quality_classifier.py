@@ -57,3 +57,22 @@ def test_without_evidence(spark, documents):  # noqa: F811
     one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert [r["kept"] for r in quality_classifier.classify(docs, one).collect()] == [True, True]
     assert quality_classifier.classify(documents([]), one).count() == 0
+
+
+def test_rounds_pass_on_distinct_rows_and_keep_them(spark, documents, monkeypatch):  # noqa: F811
+    """A group of copies is one pick, and a fit has the picks of all rounds."""
+    rows, labels = made()
+    copies = [(1000 + k, "river stone light " * 30, "en", "good.org") for k in range(300)]
+    told = spark.createDataFrame([x for x in labels if x[0] % 2], "doc_id long, quality int")
+    passed, arrays = [], quality_classifier._arrays
+
+    def watched(rows):
+        passed.append([(*r["words"], *r["page"]) for r in rows])
+        return arrays(rows)
+
+    monkeypatch.setattr(quality_classifier, "_arrays", watched)
+    seen = quality_classifier.views(documents(rows + copies))
+    quality_classifier.train(seen, told, rounds=3, confident=10, sure=0.5)
+    for picks in (passed[1::2], passed[2::2]):  # the first call has the labelled rows; then the views take turns
+        assert len(picks) == 3 and len(picks[0]) < len(picks[1]) < len(picks[2])
+        assert all(len(set(p)) == len(p) for p in picks)
