@@ -11,11 +11,13 @@ from drillsight.llm import (
     ann,
     bpe,
     chat_format,
+    fill_middle,
     language_id,
     packing,
     quality_classifier,
     quality_rules,
     simhash,
+    spelling,
     sql,
     suffix_dedup,
     toxicity,
@@ -45,6 +47,8 @@ _QUERIES: dict[str, Query] = {
     "op8_language_id": language_id.query,
     "op9_simhash": simhash.query,
     "op10_packing": op10_packing,
+    "op12_spelling": spelling.query,
+    "op13_fill_middle": fill_middle.query,
 }
 
 
@@ -63,4 +67,9 @@ def all_queries() -> dict[str, Query]:
 
 def all_sql() -> dict[str, str]:
     """SQL by the name of its query."""
-    return {"op4_quality_rules": sql.QUALITY_RULES, "op5_chat_format": sql.CHAT_FORMAT}
+    return {
+        "op4_quality_rules": sql.QUALITY_RULES,
+        "op5_chat_format": sql.CHAT_FORMAT,
+        "op12_spelling": sql.SPELLING,
+        "op13_fill_middle": sql.FILL_MIDDLE,
+    }

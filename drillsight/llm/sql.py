@@ -56,3 +56,62 @@ CHAT_FORMAT = rf"""with turns as (
       else length('[ROLE][/ROLE]</s>') + length(role) + len(regexp_extract_all(role, '{_CONTROL}')) end) as bigint) as formatted_chars,
     false as rewrites
   from shown group by conv_id"""
+
+#: Units as a list, cut by its positions.
+FILL_MIDDLE = """with d as (
+    select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units,
+      sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+  draws as (
+    select doc_id, text, units, cast(len(units) as bigint) as n,
+      [cast('0x' || substr(h, 1 + 8 * k, 8) as bigint) for k in range(4)] as h from d),
+  ends as (
+    select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+      case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 90
+        then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end as form from draws),
+  parts as (
+    select *, array_to_string(units[1 : a], '') as p, array_to_string(units[a + 1 : b], '') as m,
+      array_to_string(units[b + 1 : n], '') as s from ends)
+  select doc_id, n, form,
+    case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars,
+    case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+      else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+    sha256(text) as restored_sha256
+  from parts"""
+
+#: Near words by their deletions: one letter blanked (replaced) or left out (inserted, deleted).
+SPELLING = """with recursive crc_table as (
+    select list(c order by k) as t from (
+      select k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c
+      from (select cast(unnest(range(256)) as bigint) as k))),
+  found as (
+    select coalesce(cast(doc_id as varchar), '') as id,
+      translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+    from documents),
+  sums as (
+    select run, id || ':' || run as line, count(*) as times from found where length(run) >= 7 group by run, id),
+  marks as (
+    select run, times, xor(4294967295, list_reduce(
+      list_prepend(4294967295, [cast('0x' || hex(line)[2 * i + 1 : 2 * i + 2] as bigint) for i in range(strlen(line))]),
+      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) as h from sums, crc_table),
+  words as materialized (
+    select word, cast(sum(times) as bigint) as n from (
+      select times, case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word
+      from marks) w where length(word) >= 7 group by word having sum(times) >= 2),
+  cuts as materialized (
+    select word, n, i, substr(word, 1, i - 1) as head, substr(word, i + 1) as tail
+    from (select word, n, unnest(range(1, length(word) + 1)) as i from words) c),
+  near as (
+    select a.word, a.n, b.word as near, b.n as near_n from cuts a join cuts b using (head, tail) where a.word <> b.word
+    union select a.word, a.n, b.word, b.n from cuts a join words b on a.head || a.tail = b.word
+    union select b.word, b.n, a.word, a.n from cuts a join words b on a.head || a.tail = b.word),
+  best as (
+    select word, cast(count(*) as bigint) as n_near, arg_min(near, (-near_n, near)) as near, max(near_n) as near_n from near group by word),
+  told as (
+    select w.word, w.n, case when near_n >= 10 * w.n then near end as form, coalesce(n_near, 0) as n_near,
+      case when near_n >= 10 * w.n then near_n end as form_n from words w left join best b using (word)),
+  chain as (
+    select word, word as root, form from told
+    union all select c.word, c.form, t.form from chain c join told t on t.word = c.form)
+  select t.word, n, t.form, c.root, n_near, form_n from told t join chain c on c.word = t.word and c.form is null"""
