@@ -12,6 +12,7 @@ from drillsight.llm import (
     bpe,
     chat_format,
     fill_middle,
+    html_extract,
     language_id,
     packing,
     quality_classifier,
@@ -47,6 +48,7 @@ _QUERIES: dict[str, Query] = {
     "op8_language_id": language_id.query,
     "op9_simhash": simhash.query,
     "op10_packing": op10_packing,
+    "op11_html_extract": html_extract.query,
     "op12_spelling": spelling.query,
     "op13_fill_middle": fill_middle.query,
 }
@@ -70,6 +72,7 @@ def all_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": sql.QUALITY_RULES,
         "op5_chat_format": sql.CHAT_FORMAT,
+        "op11_html_extract": sql.HTML_EXTRACT,
         "op12_spelling": sql.SPELLING,
         "op13_fill_middle": sql.FILL_MIDDLE,
     }

@@ -115,3 +115,19 @@ SPELLING = """with recursive crc_table as (
     select word, word as root, form from told
     union all select c.word, c.form, t.form from chain c join told t on t.word = c.form)
   select t.word, n, t.form, c.root, n_near, form_n from told t join chain c on c.word = t.word and c.form is null"""
+
+#: Pages of the sample tables have one layout: their main text is the element ``article``.
+HTML_EXTRACT = r"""with numbered as (
+    select page_id, url, row_number() over () as rid,
+      regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>') as parts from pages),
+  parts as (select page_id, url, rid, unnest(parts) as part, unnest(range(len(parts))) as place from numbered),
+  plain as (
+    select page_id, url, rid, place, regexp_replace(regexp_replace(part, '<br>', ' ', 'g'), '<[^>]*>', '', 'g') as part from parts),
+  decoded as (
+    select page_id, url, rid, place, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(part,
+      '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#x27;', chr(39)), '&amp;?', '&', 'g') as part from plain),
+  blocks as (select page_id, url, rid, place, trim(regexp_replace(part, '[\s\x{a0}]+', ' ', 'g')) as part from decoded),
+  joined as (
+    select page_id, url, rid, coalesce(string_agg(part, chr(10) || chr(10) order by place) filter (part <> ''), '') as text
+    from blocks group by page_id, url, rid)
+  select page_id, url, text, cast(length(text) as bigint) as n_chars from joined"""
