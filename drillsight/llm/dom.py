@@ -1,7 +1,8 @@
 """HTML text to a tree of blocks, forgiving like a browser.
 
 Nodes are block-level elements and runs of text between their borders; inline elements only
-lend their marks (links, images).  Character references are decoded and white space (any that
+lend their marks (links, images).  An element with one run and nothing else holds its text
+itself.  Character references are decoded and white space (any that
 Unicode calls so) is turned into one space.  Comments, scripts, styles and other elements that
 show no text are left out; what never ends (a comment, a script, a tag) runs to the end of
 the page.  An end tag without its start is passed over, and elements that may be left open (``p``,
@@ -86,6 +87,15 @@ class Tree:
         return at
 
 
+    def fold(self) -> None:
+        """Let the node before the last one take its text over."""
+        for column in (self.tags, self.parents, self.depths, self.ends, self.tokens, self.marks):
+            column.pop()
+        self.texts[-2:] = [self.texts[-1]]
+        for column in (self.link_chars, self.links, self.inputs, self.images, self.inlines):
+            column[-2:] = [column[-2] + column[-1]]
+
+
 def words_of(name: str) -> list[str]:
     """Words of a class or id, singular and in lower case."""
     found = [x.lower() for x in _WORDS.findall(name)]
@@ -130,6 +140,8 @@ def parse(html: str, mark: str | None = None) -> Tree:
         nonlocal link_in
         end_run()
         done = stack.pop()
+        if done and len(tree.tags) == done + 2 and tree.tags[-1] == TEXT:
+            tree.fold()
         tree.ends[done] = len(tree.tags)
         if link_in == done:
             link_in = -1

@@ -40,7 +40,7 @@ from drillsight.llm.layouts import MARK, Layouts
 
 SAMPLED_PAGES, SAMPLED_BLOCKS, BLOCK_CHARS = 400, 3_000, 900
 #: Drawn pages the trees are fitted on.
-DRAWN_PAGES = 1_000
+DRAWN_PAGES = 1_200
 #: Blocks of so many words and more are long.
 LONG_WORDS = 8
 #: Pages one step works on at once.
@@ -226,18 +226,18 @@ class Model:
         return ["\n\n".join(x) for x in out]
 
 
-def token_odds(nodes: Nodes, main: np.ndarray, least: int = 3) -> dict[str, float]:
-    """Smoothed log-odds of each token's nodes against those of all nodes."""
+def token_odds(nodes: Nodes, main: np.ndarray, use: np.ndarray, least: int = 3) -> dict[str, float]:
+    """Smoothed log-odds of each token's nodes against those of all nodes, over the nodes in ``use``."""
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for tokens, label in zip(nodes.tokens, main.tolist(), strict=True):
-        for token in tokens:
-            counts[token][label] += 1
-    base = (main.sum() + 1) / (len(main) + 2)
-    out = {}
-    for token, (no, yes) in counts.items():
-        if no + yes >= least:
-            out[token] = math.log((yes + base) / (no + 1 - base)) - math.log(base / (1 - base))
-    return out
+    for k in np.flatnonzero(use).tolist():
+        for token in nodes.tokens[k]:
+            counts[token][int(main[k])] += 1
+    base = (main[use].sum() + 1) / (use.sum() + 2)
+    return {
+        token: math.log((yes + base) / (no + 1 - base)) - math.log(base / (1 - base))
+        for token, (no, yes) in counts.items()
+        if no + yes >= least
+    }
 
 
 def fit(long: list[str], short: list[str], pages: int = DRAWN_PAGES, seed: int = 1) -> Model:
@@ -246,21 +246,15 @@ def fit(long: list[str], short: list[str], pages: int = DRAWN_PAGES, seed: int =
     nodes = Nodes(trees := [parse(draw.page(), MARK) for _ in range(pages)])
     own = np.array([m == "1" and bool(x) for t in trees for m, x in zip(t.marks, t.texts, strict=True)], float)
     main = nodes.below(own) > 0
-    # Odds of tokens come from one half of the pages and trees from the other, else the trees
-    # would trust rare tokens as if they were seen often.
-    half = nodes.root < nodes.root[len(nodes.root) // 2]
-    odds = token_odds_of(nodes, main, half)
     shown = nodes.below(np.fromiter(map(len, nodes.texts), float, len(nodes.texts))) > 0
-    use = ~half & shown
-    trees_fit = fit_trees(features(nodes, odds)[use], main[use])
-    return Model(token_odds(nodes, main), trees_fit)
-
-
-def token_odds_of(nodes: Nodes, main: np.ndarray, rows: np.ndarray) -> dict[str, float]:
-    """:func:`token_odds` of some of the nodes."""
-    part = Nodes([])
-    part.tokens = [t for t, use in zip(nodes.tokens, rows.tolist(), strict=True) if use]
-    return token_odds(part, main[rows])
+    # Each half of the pages sees the odds of tokens of the other half, else the trees would
+    # trust rare tokens as if they were seen often.
+    half = nodes.root < nodes.root[len(nodes.root) // 2]
+    x = np.zeros(0)
+    for use in (half, ~half):
+        seen = features(nodes, token_odds(nodes, main, ~use))
+        x = np.where(use[:, None], seen, x) if x.size else seen
+    return Model(token_odds(nodes, main, main | True), fit_trees(x[shown], main[shown]))
 
 
 def sampled_blocks(pages: DataFrame, key: Column, html: str = "html") -> tuple[list[str], list[str]]:

@@ -19,6 +19,7 @@ ARTICLE = ["article", "post", "entry", "story", "article-body", "entry-content",
 NEUTRAL = ["wrapper", "container", "page", "site", "inner", "row", "column", "layout", "grid", "section", "block", "outer", "center"]
 MENU = ["nav", "menu", "navbar", "navigation", "breadcrumbs", "tabs", "toc", "pagination", "pager", "links", "topnav"]
 HEADER = ["header", "masthead", "site-header", "logo", "brand", "banner", "tagline", "topbar"]
+TITLE = ["entry-header", "post-header", "article-header", "story-header", "headline", "title"]
 FOOTER = ["footer", "site-footer", "copyright", "legal", "bottom", "credits", "colophon", "imprint"]
 SIDE = ["sidebar", "related", "widget", "popular", "recommended", "trending", "tags", "archive", "recent", "rail", "see-also", "teaser", "aside"]
 NOTICE = ["cookie", "notice", "consent", "gdpr", "alert", "popup", "modal", "overlay", "paywall", "subscribe", "newsletter", "privacy", "disclaimer"]
@@ -54,7 +55,7 @@ class Layouts:
     def element(self, tag: str, names: list[str] | None, inside: Parts, main: bool | None = None) -> str:
         """``inside`` in a tag whose class or id may hold one of ``names``."""
         out = f"<{tag}"
-        if names and self.chance(0.9):
+        if names and (tag in ("div", "section", "ul", "ol") or self.chance(0.8)):
             name = self.draw.choice(names)
             name = self.draw.choice([name, name, name, f"{name}-{self.draw.randint(1, 9)}", f"js-{name}", f"c_{name} box", f"{name} {self.draw.choice(NEUTRAL)}"])
             out += f' {self.draw.choice(["class", "class", "id"])}="{name}"'
@@ -83,7 +84,7 @@ class Layouts:
         if kind < 0.08:  # text divided by breaks or plain div elements
             made = self.some(lambda: f"<div>{self.sentence(600)}</div>", 1, 10)
             return made if self.chance(0.5) else [f"<div>{'<br><br>'.join(self.some(lambda: self.sentence(600), 1, 6))}</div>"]
-        out = self.some(self.paragraph, 1, 14) if kind < 0.85 else self.some(self.paragraph, 1, 2)
+        out = self.some(self.paragraph, 1, 14 if kind < 0.65 else 2)
         extra = [
             lambda: f"<{(h := self.draw.choice(['h2', 'h3', 'h4']))}>{self.words()}</{h}>",
             lambda: f"<blockquote>{self.draw.choice([self.sentence(200), self.paragraph()])}</blockquote>",
@@ -100,9 +101,9 @@ class Layouts:
 
     def article(self) -> str:
         title = f"<h1>{self.draw.choice([self.words, lambda: self.sentence(70)])()}</h1>"
-        if self.chance(0.15):
-            title = f"<header>{title}</header>"
-        inside = ([title] if self.chance(0.85) else []) + self.body()
+        if self.chance(0.3):
+            title = self.element(self.draw.choice(["header", "header", "div"]), TITLE, [title])
+        inside = ([title] if self.chance(0.75) else []) + self.body()
         if self.chance(0.15):
             inside.append(self.element("footer", FOOTER if self.chance(0.5) else None, [self.list_of(self.link, 1, 4)], False))
         if self.chance(0.12):
@@ -159,7 +160,7 @@ class Layouts:
         return self.element(self.draw.choice(["div", "ul"]), SHARE, [f"<li>{self.link()}</li>" for _ in range(self.draw.randint(2, 5))], False)
 
     def comments(self) -> str:
-        one = lambda: self.element(self.draw.choice(["div", "li", "article"]), ["comment", "reply", "response", "review"], [f"<b>{self.words()}</b>"] * self.chance(0.6) + self.some(lambda: f"<p>{self.sentence(400)}</p>", 1, 2))
+        one = lambda: self.element(self.draw.choice(["div", "div", "div", "li", "li", "li", "article"]), ["comment", "reply", "response", "review"], [f"<b>{self.words()}</b>"] * self.chance(0.6) + self.some(lambda: f"<p>{self.sentence(400)}</p>", 1, 2))
         inside = [f"<h3>{self.words()}</h3>"] if self.chance(0.6) else []
         inside += self.some(one, 1, 8)
         if self.chance(0.3):
@@ -168,13 +169,14 @@ class Layouts:
 
     def page(self) -> str:
         """One page; the mark of each part tells its label."""
-        before = [x() for x in (self.notice, self.header, self.menu, self.advert, self.menu) if self.chance(0.45)]
-        middle = [self.article()] if self.chance(0.96) else []
-        if self.chance(0.45):
+        much = self.draw.choice([0.3, 1.0, 1.0])  # how much stands around the article
+        before = [x() for x in (self.notice, self.header, self.menu, self.advert, self.menu) if self.chance(0.45 * much)]
+        middle = [] if len(before) > 1 and self.chance(0.04) else [self.article()]
+        if self.chance(0.45 * much):
             middle.insert(self.draw.randint(0, len(middle)), self.related())
-        if self.chance(0.25):
+        if self.chance(0.25 * much):
             middle.append(self.comments())
-        after = [x() for x in (self.related, self.form, self.share, self.advert, self.footer, self.notice) if self.chance(0.35)]
+        after = [x() for x in (self.related, self.form, self.share, self.advert, self.footer, self.notice) if self.chance(0.35 * much)]
         if self.chance(0.4):
             middle = [self.element(self.draw.choice(["div", "div", "section", "main"]), NEUTRAL, middle)]
         whole = [*before, *middle, *after]

@@ -55,7 +55,8 @@ def test_trees_are_well_formed(parts):
         assert parent < k < end <= len(tree.tags) and (k == 0) == (parent < 0)
         if k:
             assert end <= tree.ends[parent] and tree.depths[k] == tree.depths[parent] + 1
-        assert (tree.tags[k] == dom.TEXT) == bool(tree.texts[k])
+        assert tree.texts[k] or tree.tags[k] != dom.TEXT
+        assert not tree.texts[k] or end == k + 1
 
 
 def test_trees_learn_what_lines_cannot():
