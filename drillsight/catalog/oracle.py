@@ -127,6 +127,9 @@ _MESSAGE = f"""select doc_id, case when json_valid(message) then coalesce(nullif
     ) subject_found
   ) cut"""
 
+_VISITORS = """select link_key, count(*) as clicks, count(distinct ip) as unique_users, true as within_bound
+  from {click_log} group by 1"""
+
 _GONE = "(select id from {toggles})"
 
 
@@ -474,6 +477,32 @@ _SQL = {
     "stream_daily_deltas": """select link_key, strftime(clicked_at, '%Y-%m-%d') as day, cast(count(*) as bigint) as clicks
         from {click_log} group by 1, 2""",
     "stream_unique_visitors": "select link_key, count(distinct ip) as unique_users from {click_log} group by 1",
+    # kept tables: sketches, roll-ups, change logs, layouts
+    "link_visitor_sketches": _VISITORS,
+    "stream_visitor_sketches": _VISITORS,
+    "link_month_visitors": """select link_key, strftime(clicked_at, '%Y-%m') as month, count(*) as clicks,
+        count(distinct ip) as unique_users, true as within_bound from {click_log} group by 1, 2""",
+    "rollup_engagement": _ENGAGEMENT,
+    "rollup_campaign_summary": _SUMMARY,
+    "rollup_campaign_recipients": _DETAIL,
+    "rollup_at_risk": _AT_RISK,
+    "rollup_department_risk": _DEPARTMENT_RISK,
+    "changelog_delete": "select * from {recipients} where id not in (select id from {toggles})",
+    "clicks_of_link": "select * from {link_events} where link_id = (select max(id) from {links})",
+    "link_of_tracking": "select * from {links} where tracking_id = (select min(tracking_id) from {links})",
+    "last_campaigns_by_department": """select department, campaign_id, name, created_at, emails_sent, total_clicks,
+        cast(floor(cast(total_clicks as double) / emails_sent * 100.0 + 0.5) as bigint) as click_rate
+      from (select *, row_number() over (partition by department order by created_at desc, campaign_id desc) as place
+        from (select coalesce(nullif(trim(r.department), ''), 'Unknown') as department, c.id as campaign_id, c.name,
+            c.created_at, count(distinct l.id) as emails_sent, count(e.id) as total_clicks
+          from {links} l join {recipients} r on r.id = l.recipient_id join {campaigns} c on c.id = l.campaign_id
+          left join {link_events} e on e.link_id = l.id group by all) p) x where place <= 6""",
+}
+_SQL |= {
+    "changelog_update": _SQL["recipient_update"],
+    "changelog_toggle": _SQL["toggle_flag"],
+    "changelog_upsert": _SQL["upsert"],
+    "delete_cascade_files": _SQL["delete_cascade"],
 }
 
 

@@ -9,12 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drillsight.functions import agents, messages, network, people, rates, text
-from drillsight.operators import aggregates, filters, joins, merge, ordering, ranking, sets
+from drillsight.operators import (
+    aggregates,
+    cascade,
+    changelog,
+    filters,
+    joins,
+    merge,
+    ordering,
+    ranking,
+    rollup,
+    sets,
+    sketches,
+)
 from drillsight.plans.clicks import last_agent_per_link
 from drillsight.schemas import PROFILE_FIELDS
 from drillsight.session import shared_dir, stage
 from drillsight.sources import articles as news
-from drillsight.sources import click_log, export, roster
+from drillsight.sources import click_log, event_store, export, roster
 from drillsight.streaming import clicks as streams
 from drillsight.views import Views
 
@@ -799,3 +811,162 @@ def stream_daily_deltas(v: Views) -> DataFrame:
 @query
 def stream_unique_visitors(v: Views) -> DataFrame:
     return streams.visitor_counts(_run(v, "visitors", streams.store_visitors))
+
+
+# -- kept tables: sketches, roll-ups, change logs, layouts ------------------------------
+
+
+def _beside_exact(v: Views, estimated: DataFrame, by: list[str], exact: DataFrame) -> DataFrame:
+    """Clicks and distinct visitors by exact count, and whether the estimate is within its bound."""
+    close = sketches.within(F.col("estimate"), F.col("unique_users")).alias("within_bound")
+    rows = estimated.withColumnRenamed("unique_users", "estimate").join(exact, by)
+    return rows.select(*by, "clicks", "unique_users", close)
+
+
+@query
+def link_visitor_sketches(v: Views) -> DataFrame:
+    """Visitors per link out of stored sketches by link and day."""
+    stored = stage(sketches.sketch_visitors(_hashed(v)), "sketches")
+    estimated = sketches.estimates(sketches.merge_sketches(stored, ["link_key"]))
+    return _beside_exact(v, estimated, ["link_key"], aggregates.link_unique_visitors(_hashed(v)))
+
+
+@query
+def link_month_visitors(v: Views) -> DataFrame:
+    """Visitors per link and month, out of the same sketches."""
+    stored = stage(sketches.sketch_visitors(_hashed(v)), "sketches")
+    estimated = sketches.visitors_by_span(stored, F.substring("day", 1, 7), "month")
+    month = F.date_format("clicked_at", "yyyy-MM").alias("month")
+    exact = _hashed(v).groupBy("link_key", month).agg(F.count_distinct("ip_hash").alias("unique_users"))
+    return _beside_exact(v, estimated, ["link_key", "month"], exact)
+
+
+@query
+def stream_visitor_sketches(v: Views) -> DataFrame:
+    """Visitors per link out of a stream that keeps no state, read after its batches were merged."""
+    base = shared_dir(v.spark, "visitor-sketches")
+    table, compacted = f"{base}/table", f"{base}/compacted"
+    streams.finish(streams.store_visitor_sketches(_stream(v), table, f"{base}/checkpoint"))
+    by_day = ["link_key", "day"]
+    streams.compact(v.spark, table, compacted, 0, lambda rows: sketches.merge_sketches(rows, by_day))
+    stored = streams.visitor_sketches(streams.read_table(v.spark, table, compacted))
+    estimated = sketches.estimates(sketches.merge_sketches(stored, ["link_key"]))
+    return _beside_exact(v, estimated, ["link_key"], aggregates.link_unique_visitors(_hashed(v)))
+
+
+def _rolled(v: Views, folded: bool = False) -> DataFrame:
+    """All clicks in four batches: two merged into the roll-up, one merged later, one not yet."""
+    base = shared_dir(v.spark, "rollup")
+    table, root = f"{base}/events", f"{base}/daily"
+    batch = F.pmod(F.xxhash64("id"), F.lit(4))
+    for n in range(4):
+        rollup.append_batch(v.link_events.filter(batch == n), table, n)
+        if n in (1, 2):
+            rollup.merge_batches(v.spark, table, root)
+    if folded:
+        rollup.fold_parts(v.spark, root)
+    return rollup.clicks(v.spark, table, root)
+
+
+@query
+def rollup_engagement(v: Views) -> DataFrame:
+    return aggregates.recipient_engagement(v.recipients, v.links, v.campaigns, _rolled(v))
+
+
+@query
+def rollup_campaign_summary(v: Views) -> DataFrame:
+    return aggregates.campaign_summary(v.campaigns, v.links, _rolled(v, folded=True))
+
+
+@query
+def rollup_campaign_recipients(v: Views) -> DataFrame:
+    return aggregates.campaign_recipients(v.links, v.recipients, _rolled(v))
+
+
+@query
+def rollup_at_risk(v: Views) -> DataFrame:
+    return aggregates.at_risk(v.recipients, v.links, _rolled(v, folded=True))
+
+
+@query
+def rollup_department_risk(v: Views) -> DataFrame:
+    return aggregates.department_risk(v.recipients, v.links, _rolled(v))
+
+
+@query
+def changelog_update(v: Views) -> DataFrame:
+    """Full-row updates as one change set, merged on read."""
+    table = changelog.create(v.spark, shared_dir(v.spark, "people"), v.recipients, "id", buckets=16)
+    changes = v.recipient_changes
+    changelog.change(table, changes, lambda rows: merge.update_recipients(rows, changes))
+    return changelog.read(table)
+
+
+@query
+def changelog_toggle(v: Views) -> DataFrame:
+    """Two sets of flips with a compaction between them, then a third that undoes the second."""
+    table = changelog.create(v.spark, shared_dir(v.spark, "people"), v.recipients, "id", buckets=16)
+
+    def flip(rows: DataFrame) -> DataFrame:
+        return merge.toggle_flag(rows, v.toggles)
+
+    changelog.change(table, v.toggles, flip)
+    changelog.compact(table)
+    changelog.change(table, v.toggles, flip)
+    changelog.change(table, v.toggles, flip)
+    return changelog.read(table).select("id", "high_risk")
+
+
+@query
+def changelog_upsert(v: Views) -> DataFrame:
+    """Inserts and overwrites as one change set, compacted."""
+    people = v.recipients.select("id", "first_name", "email", "department")
+    table = changelog.create(v.spark, shared_dir(v.spark, "people"), people, "id", buckets=16)
+    changes = v.recipient_changes.select(F.expr("id * 20").alias("id"), "seq", "email", "department")
+    changelog.change(table, changes, lambda rows: merge.upsert(rows, changes, "id"))
+    changelog.compact(table)
+    changelog.clean(table)
+    return changelog.read(table)
+
+
+@query
+def changelog_delete(v: Views) -> DataFrame:
+    table = changelog.create(v.spark, shared_dir(v.spark, "people"), v.recipients, "id", buckets=16)
+    changelog.delete(table, v.toggles)
+    return changelog.read(table)
+
+
+@query
+def delete_cascade_files(v: Views) -> DataFrame:
+    """The cascade over events in files: only files with removed clicks are rewritten."""
+    path = shared_dir(v.spark, "events")
+    streams.append_events(v.link_events, path, "yyyy-MM")
+    after = cascade.delete_recipients_by_file(v.spark, merge.Tables(v.recipients, v.links, v.link_events), path, v.toggles)
+
+    def rows(table: str, ids: DataFrame) -> DataFrame:
+        return ids.select(F.lit(table).alias("table_name"), F.col("id").cast("string").alias("row_id"))
+
+    kept = rows("recipients", after.recipients).unionByName(rows("links", after.links))
+    return kept.unionByName(rows("link_events", after.events))
+
+
+@query
+def clicks_of_link(v: Views) -> DataFrame:
+    """The events of the newest link, out of a store laid out for that."""
+    path = shared_dir(v.spark, "store")
+    event_store.store_events(v.link_events, path, width=10_000, period="yyyy")
+    newest = v.links.agg(F.max("id")).first()[0]
+    return event_store.clicks_of_links(v.spark, path, [newest])
+
+
+@query
+def link_of_tracking(v: Views) -> DataFrame:
+    """The link with the smallest tracking id, out of a store laid out for that."""
+    path = shared_dir(v.spark, "links")
+    event_store.store_links(v.links, path)
+    return event_store.links_of_tracking(v.spark, path, [v.links.agg(F.min("tracking_id")).first()[0]])
+
+
+@query
+def last_campaigns_by_department(v: Views) -> DataFrame:
+    return ranking.last_campaigns_by_department(v.recipients, v.campaigns, v.links, v.link_events)

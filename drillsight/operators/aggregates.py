@@ -10,7 +10,7 @@ from drillsight.functions.network import day_of
 from drillsight.functions.people import department_or_unknown, display_name, full_name
 from drillsight.functions.rates import clicked_flag, percent_tenth, percent_whole
 from drillsight.functions.text import collated, nonblank, or_else
-from drillsight.plans.clicks import links_with_clicks
+from drillsight.plans.clicks import is_rolled, last_click_per_link, links_with_clicks
 from drillsight.plans.skew import dimension_join, lookup_join
 
 # How an empty list, a missing date and other gaps are shown.
@@ -134,12 +134,8 @@ def campaign_recipients(
     if campaign_id is not None:
         links = links.filter(F.col("campaign_id") == campaign_id)
         wanted = links.select(F.col("id").alias("link_id"))
-        events = lookup_join(events, wanted, "link_id", "left_semi", ["id"])
-    per_link = events.groupBy(F.col("link_id")).agg(
-        F.count("*").alias("click_count"),
-        F.max("created_at").alias("last_clicked_at"),
-        F.max_by("user_agent", F.struct("created_at", "id")).alias("last_user_agent"),
-    )
+        events = lookup_join(events, wanted, "link_id", "left_semi", ["last_id" if is_rolled(events) else "id"])
+    per_link = last_click_per_link(events)
     sent = links.select(F.col("id").alias("link_id"), "campaign_id", "recipient_id")
     people = recipients.select(
         F.col("id").alias("recipient_id"), "first_name", "last_name", "email", "department", "job_title", "high_risk"

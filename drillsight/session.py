@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,11 +63,47 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as it takes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder."""
+    system, at = _at(spark, path)
+    return system.exists(at)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, sorted; none if there is no such folder."""
+    system, at = _at(spark, path)
+    return sorted(x.getPath().getName() for x in system.listStatus(at)) if system.exists(at) else []
+
+
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """The files below a folder, as paths from there."""
+    system, at = _at(spark, path)
+    out, found = [], system.listFiles(at, True)
+    top = system.makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    while found.hasNext():
+        out.append(found.next().getPath().toUri().getPath().removeprefix(top))
+    return sorted(out)
+
+
+def move(spark: SparkSession, path: str, target: str) -> None:
+    """Give a file another name; folders on the way are made."""
+    system, at = _at(spark, path)
+    _, to = _at(spark, target)
+    system.mkdirs(to.getParent())
+    if not system.rename(at, to):
+        raise OSError(f"cannot move {path} to {target}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder wherever it is, if it is there."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    """Delete a file or folder wherever it is, if it is there."""
+    system, at = _at(spark, path)
+    system.delete(at, True)
 
 
 @contextmanager
@@ -81,6 +117,14 @@ def staging(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def settle(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``build`` returns to ``path`` and remove what was staged on the way to it."""
+    with staging(spark):
+        df = build()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back.
 

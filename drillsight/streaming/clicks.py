@@ -8,6 +8,8 @@ counts once.  :func:`compact` puts the parts of many batches together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from drillsight.functions.network import day_of
 from drillsight.operators.joins import by_source_priority
+from drillsight.operators.sketches import LG_K, merge_sketches, sketch_visitors
 from drillsight.schemas import STREAM_EVENTS
 
 _BATCH = "batch"
@@ -40,15 +43,23 @@ def _write_batch(rows: DataFrame, out: str, batch_id: int) -> None:
     )
 
 
-def compact(spark: SparkSession, table: str, compacted: str, upto: int) -> None:
+def compact(
+    spark: SparkSession,
+    table: str,
+    compacted: str,
+    upto: int,
+    combine: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """Rewrite the batches after the last compacted one, up to ``upto``, with few files a day.
 
     The result is a part of ``compacted`` of its own; :func:`read_table` reads it in place of
     the batches, whose folders may go then.  Running it again for the same ``upto`` replaces
-    that part.
+    that part.  ``combine`` puts rows of several batches together; it keeps their day.
     """
     done = _compacted_upto(spark, compacted, below=upto)
     rows = spark.read.parquet(table).filter(F.col(_BATCH).between(done + 1, upto))
+    if combine:
+        rows = combine(rows.drop(_BATCH)).withColumn(_BATCH, F.lit(upto).cast("long"))
     days = rows.withColumn("upto", F.lit(upto).cast("long")).hint("rebalance", _DAY)
     (
         days.write.mode("overwrite")
@@ -150,6 +161,32 @@ def visitor_counts(visitors: DataFrame) -> DataFrame:
     return visitors.groupBy("link_key").agg(F.count("*").alias("unique_users"))
 
 
+def store_visitor_sketches(
+    clicks: DataFrame, out: str, checkpoint: str, lg_k: int = LG_K, **trigger
+) -> StreamingQuery:
+    """Write each batch's visitor sketches by link and day to ``out``.
+
+    The stream keeps no state: where :func:`store_visitors` remembers every pair of link and
+    visitor for ever, this leaves one sketch for each link and day of a batch.
+    :func:`visitor_sketches` merges them; :func:`compact` may do so for good.
+    """
+
+    def sketch(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(sketch_visitors(batch, lg_k), out, batch_id)
+
+    return (
+        clicks.writeStream.foreachBatch(sketch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def visitor_sketches(rows: DataFrame) -> DataFrame:
+    """One sketch per link and day of what :func:`store_visitor_sketches` has written."""
+    return merge_sketches(rows, ["link_key", F.col(_DAY).cast("string").alias(_DAY)])
+
+
 def append_events(events: DataFrame, out: str, period: str = "yyyy-MM-dd") -> None:
     """Append click events to a table split by ``period``: by day, or as the pattern says.
 
