@@ -39,7 +39,7 @@ PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 _NONE = np.int32(2**31 - 1)
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """Bytes by the letter that stands for them in the vocabulary file: printable bytes
     stand for themselves, the others are numbered from 256 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -53,7 +53,7 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        letters, vocab = _byte_letters(), spec["model"]["vocab"]
+        letters, vocab = byte_letters(), spec["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         left = np.array([vocab[a] for a, _ in merges], np.uint64)
         right = np.array([vocab[b] for _, b in merges], np.uint64)

@@ -16,6 +16,7 @@ unique, not consecutive: round, group, and count within the group.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drillsight.llm.bpe import byte_letters
 from drillsight.llm.chunks import ChunkEncoder, cut_dropping_spaces
 from drillsight.llm.common import STEP_BYTES, steps, table, whole_texts
 from drillsight.session import stage
@@ -33,6 +35,11 @@ OPEN_WINDOWS = 64
 #: Partitions, or groups, whose open windows are merged by one task.
 FAN = 64
 
+#: Words that the tokenizer's normal form only puts in lower case: each is one pre-token.
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Between such a letter and one of these signs a pre-token ends.
+SIGN = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?%$#*&])")
+
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, "
     "sequence_id long, offset long, open boolean, part long"
@@ -55,6 +62,35 @@ _ARROW = pa.schema(
 Piece = tuple[int | None, int, np.ndarray, int]
 
 
+class WordEncoder:
+    """Ids of chunks, for tokenizers that drop white space, lower the case and work on bytes.
+
+    A plain word is one pre-token, so it goes straight to the merges, its bytes as the letters
+    that stand for them.  Other chunks take the tokenizer's whole way.
+    """
+
+    def __init__(self, spec: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.merge = self.tokenizer.model.tokenize
+        letter = {byte: x for x, byte in byte_letters().items()}
+        self.letters = {n: "".join(letter[b] for b in chr(n).encode()) for n in range(0xC0, 0x100)}
+
+    def __call__(self, chunks: list[str]) -> list[list[int]]:
+        merge, letters = self.merge, self.letters
+        found = {
+            x: [t.id for t in merge(x.lower() if x.isascii() else x.lower().translate(letters))]
+            for x in chunks
+            if _WORD.fullmatch(x)
+        }
+        others = [x for x in dict.fromkeys(chunks) if x not in found]
+        encoded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        found.update((x, e.ids) for x, e in zip(others, encoded, strict=True))
+        return [found[x] for x in chunks]
+
+
 class Packer:
     """The open windows of one partition."""
 
@@ -153,15 +189,7 @@ def pack(
         spec = spark.sparkContext.broadcast(file.read())
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(spec.value)
-
-        def encode(chunks: list[str]) -> list[list[int]]:
-            return [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-        encoder = ChunkEncoder(cut_dropping_spaces, encode)
+        encoder = ChunkEncoder(cut_dropping_spaces, WordEncoder(spec.value), SIGN.split)
         part = TaskContext.get().partitionId()
         packer, rows = Packer(size, open_windows), _Rows(0, part, part)
         for batch in steps(batches):

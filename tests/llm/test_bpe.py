@@ -33,7 +33,7 @@ def test_like_the_library(vocab, library):
     letters = "ab e'sé  \n\t.,1日🙂"
     made = ["".join(draw.choice(letters) for _ in range(draw.randrange(40))) for _ in range(1500)]
     texts = ODD + made
-    encoder = ChunkEncoder(cut_keeping_spaces, bpe.Encoder(vocab), most_ids=2_000)
+    encoder = ChunkEncoder(cut_keeping_spaces, bpe.Encoder(vocab), most_bytes=200_000)
     for first in range(0, len(texts), 50):  # forgets in between
         part = texts[first : first + 50]
         ids, counts = encoder(part)

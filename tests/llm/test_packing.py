@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 from llm_data import SMALL, documents  # noqa: F401
 
 from drillsight.llm import packing
+from drillsight.llm.chunks import ChunkEncoder, cut_dropping_spaces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -47,6 +48,25 @@ def check(rows, docs, size):
     return lengths
 
 
+def test_plain_words_get_the_same_ids():
+    """Chunks with signs, marks, numbers, special tokens and letters that change in lower case."""
+    draw = random.Random(9)
+    odd = ["İx", "ß", "é", "a\u0301,", "Å.", "x\u0338=", "don't", "'s", "l'eau!", "a,b", "%%%", "a%%%", "ab***", "word.\u0301", "ﬁn", "ǅ", "א", "日本語。", "<|endoftext|>", "a<|endoftext|>.", "<|startoftext|>x", "9,9", "", "\u00a0", "a\u00a0b", "×a÷.", "ſ", "K", "\x00", "a\x00,"]
+    letters = "abcXYZéÀßÿ.,;:!?%$#*&'|<>\u0301\u0130 9"
+    chunks = odd + ["".join(draw.choice(letters.replace(" ", "")) for _ in range(draw.randrange(1, 9))) for _ in range(30_000)]
+    tokenizer = Tokenizer.from_file(PATH)
+    with open(PATH, encoding="utf-8") as file:
+        encoder = packing.WordEncoder(file.read())
+    want = [x.ids for x in tokenizer.encode_batch(chunks, add_special_tokens=False)]
+    assert encoder(chunks) == want
+    for bound in (1 << 30, 100_000):  # with parts of chunks, and starting anew now and then
+        whole = ChunkEncoder(cut_dropping_spaces, encoder, packing.SIGN.split, bound)
+        for first in range(0, len(chunks), 700):
+            ids, counts = whole(chunks[first : first + 700])
+            split = np.split(ids, np.cumsum(counts)[:-1])
+            assert [x.tolist() for x in split] == want[first : first + 700]
+
+
 def test_bounded_and_without_padding():
     draw = random.Random(3)
     packer, closed, total = packing.Packer(64, 4), [], 0
