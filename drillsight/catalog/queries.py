@@ -525,7 +525,8 @@ def _both_stores(v: Views) -> tuple[DataFrame, DataFrame]:
     """Links of the file and the database by their short keys, and the clicks of both."""
     detail = joins.link_detail(v.links, v.campaigns, v.recipients)
     db = v.short_links.join(detail, "link_id")
-    return aggregates.known_links(v.link_map, db), aggregates.clicks_of_both(_hashed(v), v.link_events)
+    clicks = aggregates.clicks_of_both(_hashed(v), v.link_events, v.link_map, v.short_links)
+    return aggregates.known_links(v.link_map, db), clicks
 
 
 def _database_only(v: Views) -> tuple[DataFrame, DataFrame]:

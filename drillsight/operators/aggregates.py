@@ -285,8 +285,20 @@ def known_links(link_map: DataFrame, db_links: DataFrame) -> DataFrame:
     return file.unionByName(db)
 
 
-def clicks_of_both(log: DataFrame, events: DataFrame) -> DataFrame:
-    """Clicks of the log and of the database: ``source, id, day, visitor, agent``."""
+def clicks_of_both(
+    log: DataFrame, events: DataFrame, link_map: DataFrame | None = None, db_links: DataFrame | None = None
+) -> DataFrame:
+    """Clicks of the log and of the database: ``source, id, day, visitor, agent``.
+
+    With the tables of links (``link_key`` of the file, ``link_key, link_id`` of the database), clicks of
+    other links are cut off first, by the keys each store has, before anything is counted.
+    """
+    if link_map is not None:
+        log = dimension_join(log, link_map.select("link_key").distinct(), "link_key", "left_semi")
+    if db_links is not None:
+        if link_map is not None:  # the file comes first
+            db_links = db_links.join(link_map.select("link_key"), "link_key", "left_anti")
+        events = dimension_join(events, db_links.select("link_id").distinct(), "link_id", "left_semi")
     file = log.select(
         F.lit("file").alias("source"),
         F.col("link_key").alias("id"),

@@ -60,12 +60,6 @@ def events_with_links(events: DataFrame, links: DataFrame) -> DataFrame:
     return lookup_join(_events(events), _links(links), "link_id", "inner", ["event_id"])
 
 
-def _and_parents_without(rows: DataFrame, parents: DataFrame, links: DataFrame, on: str) -> DataFrame:
-    """``rows``, and the parents that no link refers to, with nulls in the other columns."""
-    childless = parents.join(links.select(on).distinct(), on, "left_anti")
-    return rows.unionByName(childless, allowMissingColumns=True)
-
-
 def recipients_to_events(
     recipients: DataFrame, links: DataFrame, campaigns: DataFrame, events: DataFrame
 ) -> DataFrame:
@@ -83,10 +77,9 @@ def recipients_to_events(
 
 def campaigns_to_events(campaigns: DataFrame, links: DataFrame, events: DataFrame) -> DataFrame:
     """Campaigns, left joined to links and events in turn."""
-    heads = _campaigns(campaigns)
-    named = dimension_join(_links(links), heads, "campaign_id", "inner")
-    clicked = fanout_join(named, _events(events), "link_id", ["event_id"])
-    return _and_parents_without(clicked, heads, links, "campaign_id")
+    crowded = hot_keys(links, "campaign_id")
+    sent = fanout_join(_campaigns(campaigns), _links(links), "campaign_id", ["link_id"], crowded)
+    return fanout_join(sent, _events(events), "link_id", ["event_id"])
 
 
 def resolve_tracking(requests: DataFrame, links: DataFrame, campaigns: DataFrame) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drillsight.plans.ids import number_rows
-from drillsight.session import stage
+from drillsight.plans.ids import number_sorted
 
 # The columns a roster may be sorted by.
 SORTABLE = ("first_name", "last_name", "email", "department", "job_title")
@@ -47,8 +46,7 @@ def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
     The order itself is a range sort over many tasks; only the tasks' row counts are summed
     up in one place.
     """
-    placed = stage(ordered.withColumn("_place", F.monotonically_increasing_id()), "ordered")
-    return number_rows(placed, "_place", F.lit(1), name)
+    return number_sorted(ordered, F.lit(1), name)
 
 
 def take_first(recipients: DataFrame) -> DataFrame:

@@ -21,7 +21,12 @@ def number_rows(df: DataFrame, order: str, first: Column, name: str = "id") -> D
     once: they are written with their place before the sizes are counted.
     """
     ranged = df.repartitionByRange(order).sortWithinPartitions(order)
-    placed = stage(ranged.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    return number_sorted(ranged, first, name)
+
+
+def number_sorted(ordered: DataFrame, first: Column, name: str = "id") -> DataFrame:
+    """:func:`number_rows` for rows whose partitions are in order already."""
+    placed = stage(ordered.withColumn("_place", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_place", _INSIDE)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
