@@ -15,7 +15,7 @@ read again as the next stage's documents.  All but the last return the columns o
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import partial, wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from drillsight.llm import language_id, packing, quality_classifier, simhash, suffix_dedup
 from drillsight.llm.common import fold, importable
-from drillsight.session import stage
+from drillsight.session import remove, settle, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -87,8 +87,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written to the shared folder and reread.
+
+    What a stage has staged goes when its result is written, and so does that result when the
+    next one is; what the last stage reads is left to the owner of the folder.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_dir(spark, f"pipeline-{name}")
+        docs = settle(spark, path, partial(step, spark, docs, sf_dir))
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

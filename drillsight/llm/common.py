@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -11,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that one step inside a task works on; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
@@ -38,10 +41,21 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def give_back() -> None:
+    """Return memory that earlier tasks of this worker process have freed.
+
+    Workers live through many tasks, and their allocators keep what was freed once.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # there is such a call in the GNU library alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def steps(
     batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = STEP_BYTES
 ) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``limit`` bytes of the text column."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -67,6 +81,20 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def with_fields(schema: T.StructType, *added: tuple[str, str]) -> T.StructType:
+    """The schema with more fields, given by name and type; names may hold any sign."""
+    more = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in added]
+    return T.StructType([*schema.fields, *more])
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores before it as it takes to be none of ``taken``."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """``starts[0] .. starts[0] + lengths[0] - 1, starts[1] ..`` as one array."""
     total = int(lengths.sum())

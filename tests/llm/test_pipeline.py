@@ -1,10 +1,12 @@
 from collections import defaultdict
+from pathlib import Path
 
 from llm_data import SMALL, documents  # noqa: F401
 
 import __spark_entry__
 import corpus_pipeline
 from drillsight.llm import simhash
+from drillsight.session import shared_root, stage
 
 
 def test_stages_take_and_give_documents(spark):
@@ -12,7 +14,7 @@ def test_stages_take_and_give_documents(spark):
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "repeats", "packing"]
     for name, step in corpus_pipeline.STAGES[:-1]:
-        path = corpus_pipeline.stage(step(spark, docs, SMALL), "test")
+        path = stage(step(spark, docs, SMALL), "test")
         assert path.columns == corpus_pipeline.COLUMNS
         rows = {r["doc_id"]: r for r in path.collect()}
         assert set(rows) <= set(before) and len(rows) == path.count()
@@ -40,5 +42,22 @@ def test_registered(spark):
 def test_empty_documents(spark, documents):  # noqa: F811
     docs = documents([]).select(*corpus_pipeline.COLUMNS)
     for _, step in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.stage(step(spark, docs, SMALL), "test")
+        docs = stage(step(spark, docs, SMALL), "test")
         assert docs.count() == 0
+
+
+def test_odd_documents_go_through(spark, documents, tmp_path):  # noqa: F811
+    """Null texts, copies, a very long text and columns of clashing names through all stages."""
+    base = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    long_text = " ".join(t for _, t, lang, _ in base if t and lang == "en")[:300_000]
+    odd = [(90_000, None, "en", None), (90_001, "", None, "x"), (None, base[0][1], "en", "a"), (90_002, long_text, "en", "a")]
+    odd += [(91_000 + k, base[1][1], base[1][2], base[1][3]) for k in range(50)] + [base[2], base[2]]
+    folder = tmp_path / "tables"
+    documents(base + odd).write.parquet(str(folder / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(str(folder / "labels.parquet"))
+    shared = Path(shared_root(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    pieces = corpus_pipeline.run(spark, str(folder)).collect()
+    assert pieces and len({(r["doc_id"], r["start"]) for r in pieces}) == len(pieces)
+    left = {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before}
+    assert not any(x.startswith(("quality", "fingerprints", "repeats", "pipeline-quality", "pipeline-language")) for x in left)
