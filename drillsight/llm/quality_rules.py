@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drillsight.llm.common import steps, table, whole_texts
+from drillsight.llm.common import free_name, steps, table, whole_texts
 from drillsight.session import stage
 
 #: Base rules, fixed by the contract.
@@ -177,15 +177,17 @@ def cleaned(docs: DataFrame, host: str = "source", **rules: float) -> DataFrame:
     """The kept documents, all their columns, with the frequent lines taken out of the text."""
     verdicts = judge(docs, host, **rules).filter("kept")
     # Rows of equal host and text have equal verdicts, whatever their id.
-    chosen = verdicts.select(F.col("host").alias("_host"), F.col("mark").alias("_mark"), "removed_lines")
-    chosen = chosen.groupBy("_host", "_mark").agg(F.first("removed_lines").alias("_removed"))
-    same = F.col(host).cast("string").eqNullSafe(F.col("_host")) & (
-        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_mark")
+    own, mark, removed = (free_name(x, docs.columns) for x in ("_host", "_mark", "_removed"))
+    chosen = verdicts.groupBy(F.col("host").alias(own), F.col("mark").alias(mark)).agg(
+        F.first("removed_lines").alias(removed)
+    )
+    same = F.col(host).cast("string").eqNullSafe(F.col(own)) & (
+        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(mark)
     )
     return (
         docs.join(chosen, same)
-        .withColumn("text", without_lines(F.col("text"), F.col("_removed")))
-        .select(*docs.columns)
+        .withColumn("text", without_lines(F.col("text"), F.col(removed)))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
 
 

@@ -16,11 +16,11 @@ QUALITY_RULES = rf"""with d as (
     select rid, count(distinct pos + k) as n from windows join repeats using (rid, win), range(0, 8) as r(k) group by rid),
   lines as (
     select rid, source, text, line,
-      trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as plain
+      trim(regexp_replace(regexp_replace(lower(line), '\p{{Nd}}', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as plain
     from (select rid, source, text, unnest(string_split(text, chr(10))) as line from d) l
     where regexp_matches(line, '{_WORD}')),
   dups as (select rid, count(*) - count(distinct line) as n from lines group by rid),
-  sizes as (select source, count(*) as size from d group by source),
+  sizes as (select source, count(distinct text) as size from d group by source),
   often as (
     select l.source, plain from lines l join sizes s on s.source is not distinct from l.source
     group by l.source, plain, size having count(distinct text) > 20 and count(distinct text) > sqrt(size)),

@@ -1,9 +1,10 @@
 import random
 import re
 
+import duckdb
 from llm_data import SMALL, documents  # noqa: F401
 
-from drillsight.llm import quality_rules
+from drillsight.llm import quality_rules, sql
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,3 +80,25 @@ def test_copies_do_not_raise_the_limit(spark, documents):  # noqa: F811
     rows += [(1000 + k, words(700), None, "a") for k in range(900)]
     got = {r["doc_id"]: r["removed_lines"] for r in quality_rules.judge(documents(rows)).collect()}
     assert all(got[k] == ([1] if k < 25 else []) for k in range(40)) and got[1000] == []
+
+
+def test_sql_says_the_same(spark, tmp_path):
+    """On hosts full of copies, lines with digits of other scripts, and the sample itself."""
+    rows = [(k, words(k) + ("\nhome and about ٣" if k < 25 else ""), "a") for k in range(40)]
+    rows += [(1000 + k, words(700), "a") for k in range(900)]
+    rows += [(2000 + k, words(k + 40) + f"\nhome and about {k % 10}", None) for k in range(30)] + [(5000, None, "b"), (5001, "", None)]
+    folder = tmp_path / "tables"
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(folder / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    cursor = con.execute(sql.QUALITY_RULES)
+    names = sorted(d[0] for d in cursor.description)
+    want = sorted(tuple(dict(zip([d[0] for d in cursor.description], r))[n] for n in names) for r in cursor.fetchall())
+    got = quality_rules.query(spark, str(folder)).select(names).collect()
+    assert sorted(map(tuple, got)) == want and sum(r["lines_removed"] for r in got) == 55
+
+
+def test_a_very_long_text(spark, documents):  # noqa: F811
+    text = "\n".join(f"{words(k, 8)}" for k in range(20_000)) + "\n" + "x" * 500_000
+    row = quality_rules.judge(documents([(1, text), (2, words(1))])).filter("doc_id = 1").first()
+    assert (row["n_words"], row["n_dup_lines"], row["kept"]) == (160_001, 0, True)
