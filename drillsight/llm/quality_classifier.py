@@ -7,8 +7,9 @@ labels for the *other* view.  At last either view is calibrated on labelled docu
 were kept out of the fit, a third regression combines the calibrated views, and all
 documents are scored.
 
-Bounds: :data:`LABELLED` labelled documents are used, in the order of a hash of their id, a
-quarter of them for calibration; a view passes on :data:`CONFIDENT` distinct feature rows of each
+Bounds: :data:`LABELLED` labelled documents that are there are used, in the order of a hash of
+their id, each with one row of features (the smallest, if there are several), a quarter of them
+for calibration; a view passes on :data:`CONFIDENT` distinct feature rows of each
 class and round, or :data:`SHARE` of the unlabelled ones if that is more, up to
 :data:`MOST_CONFIDENT`, the bound for the fit.  Those of all rounds count, each once for a view.
 These, and nothing else, reach the driver.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drillsight.llm.common import steps, table
+from drillsight.llm.common import steps, table, with_fields
 from drillsight.llm.fitting import Logistic, fit
 from drillsight.session import stage
 
@@ -162,8 +163,7 @@ def _scored(rows: DataFrame, score, names: list[str]) -> DataFrame:
                 found = [pa.array(v) for v in held.value(x, y)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*columns, *names])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, kinds + "".join(f", {n} double" for n in names))
+    return rows.mapInArrow(run, with_fields(rows.schema, *((n, "double") for n in names)))
 
 
 class _Views:
@@ -196,11 +196,15 @@ def train(
         labels.filter("doc_id is not null and quality in (0, 1)")
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
+        .join(seen.select("doc_id").distinct(), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(labelled)
     )
-    rows = seen.join(F.broadcast(known), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["words"], r["page"]))
+    # One row a document, however often it is there.
+    one = F.min(F.struct("words", "page")).alias("one")
+    rows = seen.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(one, F.min("quality").alias("quality"))
+    rows = rows.select("doc_id", "one.*", "quality").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["quality"] for r in rows], float)
     words, page = _arrays(rows) if rows else (np.zeros((0, 19)), np.zeros((0, 8 + HOSTS + LANGUAGES)))
     aside = np.array([zlib.crc32(f"calibrate {r['doc_id']}".encode()) % 4 == 0 for r in rows], bool)

@@ -1,9 +1,12 @@
 import random
+import zlib
 
+import numpy as np
 from llm_data import MEDIUM, documents  # noqa: F401
 from pyspark.sql import functions as F
 
 from drillsight.llm import quality_classifier
+from drillsight.llm.fitting import fit
 
 
 def test_held_out_accuracy(spark):
@@ -76,3 +79,43 @@ def test_rounds_pass_on_distinct_rows_and_keep_them(spark, documents, monkeypatc
     for picks in (passed[1::2], passed[2::2]):  # the first call has the labelled rows; then the views take turns
         assert len(picks) == 3 and len(picks[0]) < len(picks[1]) < len(picks[2])
         assert all(len(set(p)) == len(p) for p in picks)
+
+
+def test_what_is_collected_is_bounded(spark, documents, monkeypatch):  # noqa: F811
+    """One labelled document 3,000 times, and labels without documents: a row a document is fitted."""
+    rows, labels = made(120)
+    docs = documents(rows + [(4, "hot text", "en", "good.org")] * 3000)
+    told = spark.createDataFrame(labels + [(k, 1) for k in range(5000, 9000)], "doc_id long, quality int")
+    sizes, arrays = [], quality_classifier._arrays
+    monkeypatch.setattr(quality_classifier, "_arrays", lambda rows: sizes.append(len(rows)) or arrays(rows))
+    seen = quality_classifier.views(docs)
+    quality_classifier.train(seen, told, rounds=0, labelled=50)
+    quality_classifier.train(seen, told, rounds=0, labelled=500)
+    assert sizes == [50, 120]
+
+
+def test_equal_to_one_process(spark, documents):  # noqa: F811
+    """Views, fits and the combination in plain numpy, without rounds and with one."""
+    rows, labels = made(150)
+    docs = documents(rows)
+    told = [x for x in labels if x[0] % 2]
+    done = quality_classifier.classify(docs, spark.createDataFrame(told, "doc_id long, quality int"), rounds=0)
+    views = {
+        k: (np.array(quality_classifier.text_view(t), np.float32), np.array(quality_classifier.page_view(t, host, lang, len(t)), np.float32))
+        for k, t, lang, host in rows
+    }
+    ids = sorted(k for k, _ in told)
+    aside = np.array([zlib.crc32(f"calibrate {k}".encode()) % 4 == 0 for k in ids])
+    y = np.array([dict(told)[k] for k in ids], float)
+    x = [np.array([views[k][v] for k in ids], float) for v in (0, 1)]
+    models = [fit(v[~aside], y[~aside]) for v in x]
+    logits = [m.logit(v[aside])[:, None] for m, v in zip(models, x, strict=True)]
+    calibrated = [fit(a, y[aside]) for a in logits]
+
+    def odds(rows_of):
+        return np.clip(np.c_[tuple(c.logit(m.logit(v)[:, None]) for c, m, v in zip(calibrated, models, rows_of, strict=True))], -12, 12)
+
+    combine = fit(odds([v[aside] for v in x]), y[aside])
+    for r in done.collect():
+        own = [np.array([views[r["doc_id"]][v]], float) for v in (0, 1)]
+        assert abs(combine.probability(odds(own))[0] - r["score"]) < 1e-6
