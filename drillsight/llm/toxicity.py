@@ -4,7 +4,8 @@ The lexicon is learned from labelled rows: words, and stems that many different
 which come up in toxic documents and hardly in others.  It is a trie.  A word of a text is
 matched by walking the trie together with the word's Levenshtein automaton (its states as
 bit masks), so a misspelling within the budget is found as well.  A hit is looked at in its
-window: quotation marks around it or a word of reporting before it make it a quotation.
+window: quotation marks around it or a word of reporting before it make it a quotation.  Words of
+reporting are learned as well: they stand before hits in clean documents and not in toxic ones.
 Counts of abusive and of quoted hits go into a logistic score fitted on the same sample.
 
 Terms are counted in groups of near copies (linked by :mod:`simhash`), not in rows, so a text
@@ -14,22 +15,24 @@ Rules: a null text is empty and scored as a text without hits.  Labels that are
 neither 0 nor 1 do not count; a document labelled twice counts as toxic if one label says so.
 Without labels the lexicon is empty and every score is 0.5 or what the labels' share says.
 The sample is bounded by :data:`SAMPLE_TOXIC` and :data:`SAMPLE_OTHER` documents, in the
-order of a hash of their id.
+order of a hash of their id, of those that are there; a document that is there more than once
+teaches with its smallest text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drillsight.llm import simhash
-from drillsight.llm.common import fold, steps, table
+from drillsight.llm.common import fold, steps, table, with_fields
 from drillsight.llm.components import components
 from drillsight.llm.fitting import Logistic, fit
 from drillsight.session import stage
@@ -53,15 +56,23 @@ STEM_WORDS = 4
 #: Letters a term needs for each edit that is allowed, and what a hit counts for each edit.
 LETTERS_PER_EDIT = 5
 MISSPELLED = 0.7
+#: The most edits for any term (one of 60 letters and more); beyond it a longer term allows no more.
+MOST_EDITS = 12
 #: Edits up to which words are looked up by their forms; terms that allow more, by their parts.
 FORM_EDITS = 2
 #: Words on either side of a hit that are looked at.
 CONTEXT = 4
-REPORTING = frozenset("said says wrote writes called calls quoted quote quotes word term insult".split())
+#: Reporting words that are held at most, the most frequent first.
+MOST_REPORTING = 1_000
 _QUOTES = "\"“”„«»‘’'"
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…–—"
 
 
+def edits_of(length: int) -> int:
+    """Edits that a term of so many letters allows."""
+    return min(length // LETTERS_PER_EDIT, MOST_EDITS)
+
+
 def plain_word(word: str) -> str:
     """A lower-case word without signs around it."""
     return word.strip(_EDGE)
@@ -137,13 +148,13 @@ class Trie:
             if length := self.ends[node]:
                 for edits, bits in enumerate(state):
                     if bits & goal:
-                        if edits <= length // LETTERS_PER_EDIT and (best is None or edits < best):
+                        if edits <= edits_of(length) and (best is None or edits < best):
                             best = edits
                         break
             for letter, kid in self.kids[node].items():
                 shortest, longest = self.lengths[kid]
-                allowed = min(most, longest // LETTERS_PER_EDIT)
-                if longest + allowed < len(word) or shortest - min(most, shortest // LETTERS_PER_EDIT) > len(word):
+                allowed = min(most, edits_of(longest))
+                if longest + allowed < len(word) or shortest - min(most, edits_of(shortest)) > len(word):
                     continue
                 mask = masks.get(letter, 0)
                 moved, below, below_old = [], 0, 0
@@ -166,6 +177,8 @@ class Lexicon:
     words: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
     innocent: frozenset[str] = frozenset()
+    #: Words before a hit that make it a quotation.
+    reporting: frozenset[str] = frozenset()
 
 
 class Matcher:
@@ -173,6 +186,7 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon, most_words: int = 400_000) -> None:
         self.trie, self.innocent = Trie(lexicon.words, lexicon.stems), lexicon.innocent
+        self.reporting = lexicon.reporting
         # A word within e edits of a term has one of e + 1 parts of the term as it is, and the
         # two are alike in one of their forms with up to e letters left out.
         self.parts, self.long_parts = ahocorasick.Automaton(), ahocorasick.Automaton()
@@ -180,7 +194,7 @@ class Matcher:
         #: The most edits that a term of a near length allows, by the length of a word.
         self.edits: dict[int, int] = {}
         for term in lexicon.words:
-            edits = len(term) // LETTERS_PER_EDIT
+            edits = edits_of(len(term))
             for length in range(len(term) - edits, len(term) + edits + 1):
                 self.edits[length] = max(edits, self.edits.get(length, 0))
             if edits <= FORM_EDITS:
@@ -234,10 +248,16 @@ class Matcher:
             abuse / hits if hits else 0.0,
         )
 
-    @staticmethod
-    def is_quoted(before: list[str], word: str, after: list[str]) -> bool:
+    def before_hits(self, text: str | None) -> set[str]:
+        """Words in the windows before the text's hits that are no hits themselves."""
+        words = (text or "").lower().split()
+        weights = list(map(self.known.__getitem__, words))
+        near = {j for k in np.flatnonzero(weights).tolist() for j in range(max(0, k - CONTEXT), k)}
+        return {plain_word(words[j]) for j in near if not weights[j]} - {""}
+
+    def is_quoted(self, before: list[str], word: str, after: list[str]) -> bool:
         """Whether the words around a hit show a quotation."""
-        if any(plain_word(w) in REPORTING for w in before):
+        if self.reporting and any(plain_word(w) in self.reporting for w in before):
             return True
         opened = word[:1] in _QUOTES or any(w[:1] in _QUOTES for w in before)
         closed = word.rstrip(".,;:!?")[-1:] in _QUOTES or any(w.rstrip(".,;:!?")[-1:] in _QUOTES for w in after)
@@ -260,11 +280,14 @@ def _sample(docs: DataFrame, labels: DataFrame, most_toxic: int, most_other: int
         labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     order = (F.xxhash64("doc_id"), "doc_id")
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = (
         known.filter("toxic = 1").orderBy(*order).limit(most_toxic)
         .unionByName(known.filter("toxic = 0").orderBy(*order).limit(most_other))
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One row a document, however often it is there: that of the smallest text.
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
 
 
 def _words(sample: DataFrame) -> DataFrame:
@@ -275,7 +298,6 @@ def _words(sample: DataFrame) -> DataFrame:
             words, rows, marks = [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 found = sorted({plain_word(w) for w in (text or "").lower().split()} - {""})
-                found = [w for w in found if len(w) <= 64]
                 words += found
                 rows += [row] * len(found)
                 marks.append(simhash.fingerprint(text))
@@ -360,21 +382,51 @@ def _with_innocent(counts: DataFrame, lexicon: Lexicon) -> Lexicon:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(held.value)
         for batch in batches:
-            near = [w for w in batch.column(0).to_pylist() if 0 < matcher.weigh(w) < 1]
-            yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["word"])
+            near = [0 < matcher.weigh(w) < 1 for w in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array(near, pa.bool_()))
+
+    clean = counts.filter(F.col("good") > 0).select("word", "good")
+    near = clean.mapInArrow(run, clean.schema).orderBy(F.desc("good"), "word").limit(MOST_INNOCENT).collect()
+    return replace(lexicon, innocent=frozenset(r["word"] for r in near))
+
+
+def _with_reporting(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
+    """Adds the words that stand before hits in clean documents rather than in toxic ones, in any
+    language: those report a hit instead of meaning it."""
+    if not lexicon.words and not lexicon.stems:
+        return lexicon
+    held = sample.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(held.value)
+        for batch in steps(batches):
+            words, marks, rows = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                found = matcher.before_hits(text)
+                words += sorted(found)
+                rows += [row] * len(found)
+                marks += [simhash.fingerprint(text)] * len(found) if found else []
+            fp = pa.array(np.array(marks, np.uint64).view(np.int64))
+            toxic = batch.column(2).take(pa.array(rows, pa.int64())).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), fp, toxic], ["word", "origin", "toxic"])
 
-    clean = counts.filter(F.col("good") > 0).select("word")
-    near = clean.mapInArrow(run, "word string").orderBy("word").limit(MOST_INNOCENT).collect()
-    return Lexicon(lexicon.words, lexicon.stems, frozenset(r["word"] for r in near))
+    found = sample.select("doc_id", "text", "toxic").mapInArrow(run, "word string, origin long, toxic int")
+    found = stage(found.distinct(), "toxicity-before-hits")
+    sizes = {r["toxic"]: r["count"] for r in found.select("origin", "toxic").distinct().groupBy("toxic").count().collect()}
+    # The contrast of a term, with the classes changed over.
+    swapped = _counts(found, "word").select("word", F.col("good").alias("bad"), F.col("bad").alias("good"))
+    telling = (F.col("bad") >= LEAST_DOCS) & (_contrast(sizes.get(0, 0), sizes.get(1, 0)) >= LEAST_CONTRAST)
+    chosen = swapped.filter(telling).orderBy(F.desc("bad"), "word").limit(MOST_REPORTING).collect()
+    return replace(lexicon, reporting=frozenset(r["word"] for r in chosen))
 
 
 def _featured(docs: DataFrame, lexicon: Lexicon, model: Logistic | None = None) -> DataFrame:
     """``docs`` (``doc_id, text`` and others) with ``features``, or with ``score``, for ``text``."""
     held = docs.sparkSession.sparkContext.broadcast((lexicon, model))
     others = [c for c in docs.columns if c != "text"]
-    docs = docs.select("text", *others)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    out = "features array<double>" if model is None else "score double"
+    docs = docs.select("text", *[F.col(f"`{c}`") for c in others])
+    added = ("features", "array<double>") if model is None else ("score", "double")
+    schema = with_fields(T.StructType(docs.schema.fields[1:]), added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, model = held.value
@@ -382,9 +434,9 @@ def _featured(docs: DataFrame, lexicon: Lexicon, model: Logistic | None = None)
         for batch in steps(batches, 0):
             found = [matcher.features(x) for x in batch.column(0).to_pylist()]
             values = pa.array(found, pa.list_(pa.float64())) if model is None else pa.array(model.probability(np.array(found)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], values], [*others, out.split()[0]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], values], [*others, added[0]])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), out]))
+    return docs.mapInArrow(run, schema)
 
 
 @dataclass
@@ -398,7 +450,7 @@ def learn(
 ) -> Model:
     """Lexicon and score from labelled documents (a bounded sample of them)."""
     sample = _sample(docs, labels, most_toxic, most_other)
-    lexicon = learn_lexicon(sample)
+    lexicon = _with_reporting(sample, learn_lexicon(sample))
     rows = _featured(sample, lexicon).select("toxic", "features").collect()
     x = np.array([r["features"] for r in rows]).reshape(-1, 4)
     return Model(lexicon, fit(x, np.array([r["toxic"] for r in rows])))

@@ -1,6 +1,8 @@
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from llm_data import documents  # noqa: F401
 from pyspark.sql import functions as F
@@ -47,7 +49,7 @@ def test_hits():
     ],
 )
 def test_quotation(text, quoted):
-    abuse, cited, _, share = Matcher(Lexicon(["idiot"])).features(text)
+    abuse, cited, _, share = Matcher(Lexicon(["idiot"], reporting=frozenset({"said", "wrote"}))).features(text)
     assert (abuse == 0, cited > 0, share == 0) == (quoted, quoted, quoted)
 
 
@@ -157,3 +159,102 @@ def test_filters_lose_no_hit():
         word = "".join(word)
         near = [edits(word, t) for t in terms if edits(word, t) <= len(t) // toxicity.LETTERS_PER_EDIT]
         assert matcher.weigh(word) == pytest.approx(0.7 ** min(near) if near else 0), word
+
+
+def test_reporting_words_are_learned(spark):
+    """In two invented languages, words that stand before hits in clean documents alone."""
+    draw = random.Random(8)
+    plain = [letters(-k - 1, 6) for k in range(100)]
+    rows = []
+    for k in range(600):
+        words = [draw.choice(plain) for _ in range(20)]
+        if k % 3 == 0:
+            words[10] = draw.choice(["grobbler", "snarkle"])
+        elif k % 15 == 1:
+            words[8:11] = [draw.choice(["dixit", "sagte"]), draw.choice(plain), draw.choice(["grobbler", "snarkle"])]
+        rows.append((k, " ".join(words), int(k % 3 == 0)))
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity._with_reporting(sample, Lexicon(["grobbler", "snarkle"]))
+    assert lexicon.reporting == {"dixit", "sagte"}
+    assert toxicity._with_reporting(sample, Lexicon()).reporting == frozenset()
+
+
+def test_the_sample_is_bounded_in_rows(spark, documents):  # noqa: F811
+    """A document that is there thousands of times, and labels without documents."""
+    docs = documents([(k, f"text {k}") for k in range(100)] + [(3, "hot"), (3, None)] * 3000)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(2000)], "doc_id long, toxic int")
+    rows = toxicity._sample(docs, labels, 20, 30).collect()
+    assert len(rows) == 50 and len({r["doc_id"] for r in rows}) == 50
+    all_rows = {r["doc_id"]: r["text"] for r in toxicity._sample(docs, labels, 500, 500).collect()}
+    assert len(all_rows) == 100 and all_rows[3] == ""
+
+
+def test_long_words_are_learned(spark):
+    word = letters(1, 30) * 4
+    rows = [(k, f"{letters(k, 6)} {word if k < 40 else letters(-k, 9)}", int(k < 40)) for k in range(200)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert word in lexicon.words
+    matcher = Matcher(Lexicon([word]))
+    assert matcher.weigh(word[:50] + "0" + word[51:]) == pytest.approx(0.7) and matcher.weigh(word[:60]) == 0
+
+
+def plainly(rows, labels):
+    """The lexicon, features and scores of the operator with plain loops, for texts without near copies."""
+    texts = {}
+    for k, text in rows:
+        if k is not None:
+            texts[k] = min(texts.get(k, text or ""), text or "")
+    told = {k: max(y for j, y in labels if j == k) for k in dict(labels) if k in texts}
+    words = {k: {toxicity.plain_word(w) for w in texts[k].lower().split()} - {""} for k in told}
+    sizes = [sum(y == c for y in told.values()) for c in (0, 1)]
+
+    def telling(having):
+        bad, good = (sum(told[k] == c for k in having) for c in (1, 0))
+        if bad < toxicity.LEAST_DOCS or bad < toxicity.LEAST_SHARE * (bad + good) or bad * sizes[0] <= good * sizes[1]:
+            return False
+        share = sizes[1] / sum(sizes)
+        g = sum(n * math.log(n / ((bad + good) * p)) for n, p in ((bad, share), (good, 1 - share)) if n)
+        return 2 * g >= toxicity.LEAST_CONTRAST
+
+    every = {w for x in words.values() for w in x}
+    stems = set()
+    for n in toxicity.STEM_LENGTHS:
+        for stem in {w[:n] for w in every if len(w) > n}:
+            having = [k for k in told if any(len(w) > n and w.startswith(stem) for w in words[k])]
+            kinds = {w for k in told if told[k] for w in words[k] if len(w) > n and w.startswith(stem)}
+            if len(kinds) >= toxicity.STEM_WORDS and telling(having):
+                stems.add(stem)
+    terms = {w for w in every if len(w) > 2 and telling([k for k in told if w in words[k]])}
+    terms = {w for w in terms if not any(w.startswith(s) for s in stems)}
+
+    def weight(word):
+        word = toxicity.plain_word(word)
+        if any(word.startswith(s) for s in stems):
+            return 1.0
+        near = [edits(word, t) for t in terms if edits(word, t) <= toxicity.edits_of(len(t))] if word else []
+        if not near or min(near) and any(word in words[k] for k in told if not told[k]):
+            return 0.0
+        return toxicity.MISSPELLED ** min(near)
+
+    return stems, terms, weight
+
+
+def test_equal_to_plain_loops(spark, documents):  # noqa: F811
+    rows, labels = made(160)
+    rows += [(900, "you grobblr of a house"), (901, None), (3, "zz")]
+    docs = documents(rows)
+    told = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(docs, told)
+    stems, terms, weight = plainly(rows, labels)
+    assert (set(model.lexicon.stems), set(model.lexicon.words)) == (stems, terms)
+    matcher = Matcher(model.lexicon)
+    for word in {w for _, text in rows for w in (text or "").split()}:
+        assert matcher.weigh(word) == pytest.approx(weight(word)), word
+    for r in toxicity.score(docs.select("doc_id", "text"), model).collect():
+        texts = [t or "" for k, t in rows if k == r["doc_id"]]
+        hits = [[weight(w) for w in t.lower().split()] for t in texts]
+        wanted = [
+            float(model.logistic.probability(np.array([[np.log1p(sum(h)), 0.0, np.log1p(100 * sum(h) / max(1, len(h))), float(any(h))]]))[0])
+            for h in hits
+        ]
+        assert any(r["score"] == pytest.approx(w) for w in wanted)
