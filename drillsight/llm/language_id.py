@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from drillsight.llm.common import fold, steps, table
+from drillsight.llm.common import fold, steps, table, with_fields
 
 UNKNOWN = "und"
 #: Documents of a language that its dictionary is made of, and bytes of each.
@@ -142,8 +142,8 @@ def identify(
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, margin double, rejected boolean")
+    kinds = zip(added, ("string", "double", "double", "boolean"), strict=True)
+    return kept.mapInArrow(run, with_fields(kept.schema, *kinds))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

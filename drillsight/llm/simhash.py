@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drillsight.llm.common import steps, table
+from drillsight.llm.common import free_name, steps, table
 from drillsight.llm.components import components
 from drillsight.session import stage
 
@@ -262,10 +262,11 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     Several texts of that id are ordered by a hash; a component without ids keeps one row.
     """
     found = near_duplicates(docs, shingle, bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = found.groupBy("root").agg(F.first("doc_id").alias("_id"), F.min("mark").alias("_mark"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_mark() == F.col("_mark"))
+    key, mark, root = (free_name(x, docs.columns) for x in ("_id", "_mark", "_root"))
+    chosen = found.groupBy(F.col("root").alias(root)).agg(F.first("doc_id").alias(key), F.min("mark").alias(mark))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (_mark() == F.col(mark))
     # Rows of one id and one text are the same document twice.
-    return docs.join(chosen, same).dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    return docs.join(chosen, same).dropDuplicates([key, mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -34,8 +34,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from drillsight.llm.common import ranges, steps, table
+from drillsight.llm.common import ranges, steps, table, with_fields
 from drillsight.session import stage
 
 #: Bytes of a string that counts as repeated.
@@ -130,8 +131,8 @@ def _zipped(keyed: DataFrame) -> DataFrame:
             columns = [batch.column(0), batch.column(1), zipped, batch.column(3)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "zipped", "rest"])
 
-    rest = keyed.schema["rest"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"id long, mark long, zipped binary, rest {rest}")
+    schema = with_fields(T.StructType(), ("id", "long"), ("mark", "long"), ("zipped", "binary"))
+    return keyed.mapInArrow(run, schema.add(keyed.schema["rest"]))
 
 
 def segments(keyed: DataFrame, span: int, gram: int, seed: int) -> DataFrame:
@@ -387,8 +388,12 @@ def _counted_runs(cut: DataFrame, span: int, seed: int) -> DataFrame:
 
 def _removed(texts: DataFrame, marks: DataFrame, span: int, as_text: bool) -> DataFrame:
     """Apply the marks: ``kind`` 0 repeats, 1 is taken back, 2 repeats as the sort found."""
-    rest = texts.schema["rest"].dataType.simpleString()
-    out = f"rest {rest}, n_bytes long, spans array<struct<start:long,length:long>>, kept "
+    out = with_fields(
+        T.StructType([texts.schema["rest"]]),
+        ("n_bytes", "long"),
+        ("spans", "array<struct<start:long,length:long>>"),
+        ("kept", "string" if as_text else "binary"),
+    )
     by_text = marks.groupBy("id", "mark").agg(F.collect_set(F.struct("kind", "place")).alias("marks"))
 
     def spans(kind: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -436,7 +441,7 @@ def _removed(texts: DataFrame, marks: DataFrame, span: int, as_text: bool) -> Da
 
     kind = pa.string() if as_text else pa.binary()
     joined = texts.join(by_text, ["id", "mark"], "left").select("rest", "zipped", "marks")
-    return joined.mapInArrow(run, out + ("string" if as_text else "binary"))
+    return joined.mapInArrow(run, out)
 
 
 def _repeats(
@@ -499,7 +504,7 @@ def cleaned(docs: DataFrame, **rules: int) -> DataFrame:
     """
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     done = _repeats(docs, others, True, **rules).select("rest.*", F.col("kept").alias("text"))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,3 +67,11 @@ def test_query_digests(spark, library):
         ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_a_very_long_text(spark, documents):  # noqa: F811
+    """Over a million characters, one word of 200,000 among them, as the library does it."""
+    draw = random.Random(2)
+    text = " ".join(draw.choice(["the", "house", "naïve", "x1", "\n"]) for _ in range(250_000)) + " " + "ab" * 100_000
+    row = bpe.decode(bpe.encode(documents([(1, text)]), PATH), PATH).first()
+    assert row["ids"] == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids and row["decoded"] == text

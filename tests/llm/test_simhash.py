@@ -146,3 +146,10 @@ def test_few_bits(spark, bits):
         for v in both:
             up[v] = both
     assert {v: min(s) for v, s in up.items()} == want
+
+
+def test_a_very_long_text(spark, documents):  # noqa: F811
+    text = " ".join(f"w{k % 9973}" for k in range(200_000)) + " " + "x" * 500_000
+    rows = simhash.near_duplicates(documents([(1, text), (2, text), (3, "other words stand here now")])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in rows} == {(1, 1), (2, 1), (3, 3)}
+    assert rows[0]["fp"] % 2**64 in {simhash.fingerprint(text), simhash.fingerprint("other words stand here now")}
