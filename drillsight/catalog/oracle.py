@@ -503,6 +503,9 @@ _SQL |= {
     "changelog_toggle": _SQL["toggle_flag"],
     "changelog_upsert": _SQL["upsert"],
     "delete_cascade_files": _SQL["delete_cascade"],
+    "resolve_tracking_bucketed": _SQL["resolve_tracking"],
+    "join_left_chain_bucketed": _SQL["join_left_chain"],
+    "roster_search_indexed": _SQL["roster_search"],
 }
 
 

@@ -19,9 +19,11 @@ from drillsight.operators import (
     ordering,
     ranking,
     rollup,
+    search_index,
     sets,
     sketches,
 )
+from drillsight.plans.buckets import store_bucketed
 from drillsight.plans.clicks import last_agent_per_link
 from drillsight.schemas import PROFILE_FIELDS
 from drillsight.session import shared_dir, stage
@@ -968,6 +970,32 @@ def link_of_tracking(v: Views) -> DataFrame:
     return event_store.links_of_tracking(v.spark, path, [v.links.agg(F.min("tracking_id")).first()[0]])
 
 
+@query
+def resolve_tracking_bucketed(v: Views) -> DataFrame:
+    """Requests against links kept in buckets of their tracking id."""
+    key = F.substring(F.sha2(F.col("link_id").cast("string"), 256), 1, network.KEY_LENGTH)
+    requests = v.link_events.select("id", key.alias("tracking_id"))
+    links = store_bucketed(v.links, "tracking_id", 16, shared_dir(v.spark, "links"))
+    return joins.resolve_tracking(requests, links, v.campaigns, bucketed=True)
+
+
+@query
+def join_left_chain_bucketed(v: Views) -> DataFrame:
+    """Recipients and links kept in buckets of the recipient."""
+    people = store_bucketed(v.recipients, "id", 16, shared_dir(v.spark, "people"))
+    links = store_bucketed(v.links, "recipient_id", 16, shared_dir(v.spark, "links"))
+    return joins.recipients_to_events(people, links, v.campaigns, v.link_events, bucketed=True)
+
+
+@query
+def roster_search_indexed(v: Views) -> DataFrame:
+    """The search of ``roster_search`` through an index of trigrams."""
+    path = shared_dir(v.spark, "index")
+    search_index.build_index(v.recipients, path)
+    found = search_index.search_indexed(v.recipients, path, term="rOLE 1", department="BUILDING")
+    return found.select("id", "job_title", "department")
+
+
 @query
 def last_campaigns_by_department(v: Views) -> DataFrame:
     return ranking.last_campaigns_by_department(v.recipients, v.campaigns, v.links, v.link_events)

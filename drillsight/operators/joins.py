@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drillsight.plans.buckets import bucketed_fanout, bucketed_lookup
 from drillsight.plans.skew import dimension_join, fanout_join, hot_keys, lookup_join
 
 # Fixed value: where a campaign without a setting sends its visitors.
@@ -61,17 +62,21 @@ def events_with_links(events: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def recipients_to_events(
-    recipients: DataFrame, links: DataFrame, campaigns: DataFrame, events: DataFrame
+    recipients: DataFrame, links: DataFrame, campaigns: DataFrame, events: DataFrame, bucketed: bool = False
 ) -> DataFrame:
     """Recipients, left joined to links, campaigns and events in turn.
 
     Campaigns are attached to the links, which are far fewer than the events, then the links
-    to their recipients, and only then do they meet the events.
+    to their recipients, and only then do they meet the events.  ``bucketed`` tables of recipients
+    by ``id`` and links by ``recipient_id``, in as many buckets, are joined where they are.
     """
     named = dimension_join(_links(links), _campaigns(campaigns), "campaign_id", "left")
     # The crowded recipients are looked for in the table of links, not in a join.
     crowded = hot_keys(links, "recipient_id")
-    owned = fanout_join(_recipients(recipients), named, "recipient_id", ["link_id"], crowded)
+    if bucketed:
+        owned = bucketed_fanout(_recipients(recipients), named, "recipient_id", crowded)
+    else:
+        owned = fanout_join(_recipients(recipients), named, "recipient_id", ["link_id"], crowded)
     return fanout_join(owned, _events(events), "link_id", ["event_id"])
 
 
@@ -82,14 +87,20 @@ def campaigns_to_events(campaigns: DataFrame, links: DataFrame, events: DataFram
     return fanout_join(sent, _events(events), "link_id", ["event_id"])
 
 
-def resolve_tracking(requests: DataFrame, links: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Requests by ``tracking_id`` to link, campaign and redirect target; unknown ids are left out."""
+def resolve_tracking(
+    requests: DataFrame, links: DataFrame, campaigns: DataFrame, bucketed: bool = False
+) -> DataFrame:
+    """Requests by ``tracking_id`` to link, campaign and redirect target; unknown ids are left out.
+
+    A ``bucketed`` table of links, by ``tracking_id``, stays where it is; only requests move.
+    """
     targets = campaigns.select(
         F.col("id").alias("campaign_id"),
         F.coalesce("redirect_to", F.lit(DEFAULT_REDIRECT)).alias("redirect_to"),
     )
     found = links.select("tracking_id", F.col("id").alias("link_id"), "campaign_id")
-    return lookup_join(requests, dimension_join(found, targets, "campaign_id"), "tracking_id")
+    named = dimension_join(found, targets, "campaign_id")
+    return bucketed_lookup(requests, named, "tracking_id") if bucketed else lookup_join(requests, named, "tracking_id")
 
 
 def by_source_priority(

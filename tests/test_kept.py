@@ -337,6 +337,8 @@ def scan_metrics(df):
         name = node.nodeName()
         if name.startswith("AdaptiveSparkPlan"):
             return walk(node.executedPlan())
+        if "QueryStage" in node.getClass().getSimpleName():
+            return walk(node.plan())
         if name.startswith("Scan parquet"):
             for key in ("numFiles", "numOutputRows"):
                 out[key] += node.metrics().apply(key).value()
