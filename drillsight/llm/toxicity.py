@@ -105,6 +105,9 @@ class Trie:
             own = [(self.ends[node],) * 2] if self.ends[node] else []
             found = [*below, *own]
             self.lengths[node] = (min(a for a, _ in found), max(b for _, b in found)) if found else (0, 0)
+        #: The edits that these lengths allow, beside them.
+        self.bounds = [(a, edits_of(a), b, edits_of(b)) for a, b in self.lengths]
+        self.allowed = [edits_of(n) for n in self.ends]
 
     def _add(self, term: str) -> int:
         node = 0
@@ -139,22 +142,24 @@ class Trie:
         masks: dict[str, int] = {}
         for i, letter in enumerate(word):
             masks[letter] = masks.get(letter, 0) | 1 << i
-        full, goal = (1 << len(word) + 1) - 1, 1 << len(word)
+        size = len(word)
+        full, goal = (1 << size + 1) - 1, 1 << size
         start = [((1 << e + 1) - 1) & full for e in range(most + 1)]
         best: int | None = None
         stack = [(0, start)]
         while stack:
             node, state = stack.pop()
-            if length := self.ends[node]:
+            if self.ends[node]:
                 for edits, bits in enumerate(state):
                     if bits & goal:
-                        if edits <= edits_of(length) and (best is None or edits < best):
+                        if edits <= self.allowed[node] and (best is None or edits < best):
                             best = edits
                         break
             for letter, kid in self.kids[node].items():
-                shortest, longest = self.lengths[kid]
-                allowed = min(most, edits_of(longest))
-                if longest + allowed < len(word) or shortest - min(most, edits_of(shortest)) > len(word):
+                shortest, fewest, longest, allowed = self.bounds[kid]
+                if allowed > most:
+                    allowed = most
+                if longest + allowed < size or shortest - (most if fewest > most else fewest) > size:
                     continue
                 mask = masks.get(letter, 0)
                 moved, below, below_old = [], 0, 0
