@@ -506,6 +506,7 @@ _SQL |= {
     "resolve_tracking_bucketed": _SQL["resolve_tracking"],
     "join_left_chain_bucketed": _SQL["join_left_chain"],
     "roster_search_indexed": _SQL["roster_search"],
+    "roster_import_large": _SQL["roster_import"],
 }
 
 

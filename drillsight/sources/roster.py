@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from drillsight.functions.people import as_flag, parse_profile
 from drillsight.functions.text import normalize_email, or_else, web_trim
 from drillsight.plans.ids import next_id, number_rows
-from drillsight.plans.skew import lookup_join
+from drillsight.plans.skew import dimension_join, lookup_join
+from drillsight.plans.splits import pieces, quoted_records
 
 # Spellings of each roster column, and the reasons for refusing a row.
 HEADERS = {
@@ -54,7 +55,7 @@ def read_roster_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
     Empty lines are skipped.  ``seq`` numbers rows in reading order and is unique;
     ``place`` sorts rows by file and position.  Quoted fields may hold line breaks, for
     which Spark must read a file in one task; pass ``multi_line=False`` for huge files
-    without such fields, and each is split over many tasks.
+    without such fields, and each is split over many tasks, or use :func:`read_large_roster_csv`.
 
     All files of one call share one header.
     """
@@ -71,13 +72,39 @@ def read_roster_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
+    return _normalised(raw.select(*texts, place.alias("place")), raw.columns)
+
+
+def read_large_roster_csv(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`read_roster_csv` for files of any size whose quoted fields may hold line breaks.
+
+    Files are read by lines in many tasks, records put together from lines, and each is parsed
+    by itself.  Quotes stand around fields and are doubled inside them; a field with a bare quote
+    in its middle needs the other form.
+    """
+    names = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).columns
+    # A record that ends in CR and LF is of a file of such lines, whose breaks are read as LF.
+    ending = F.col("text").endswith("\r")
+    plain = F.replace(F.substring("text", F.lit(1), F.char_length("text") - 1), F.lit("\r\n"), F.lit("\n"))
+    texts = F.when(ending, plain).otherwise(F.col("text"))
+    records = quoted_records(pieces(spark, path, "\n")).withColumn("text", texts).filter(F.col("text") != "")
+    at = F.struct("file", "first").alias("at")
+    heads = records.filter(F.col("first.block") == 0).groupBy("file").agg(F.min("first").alias("first")).select(at)
+    rows = dimension_join(records.select(at, "text"), heads, "at", "left_anti")
+    fields = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+    parsed = rows.select(F.from_csv("text", fields, {"escape": '"', "multiLine": "true"}).alias("fields"), "at")
+    place = F.struct(F.col("at.file").alias("file"), F.col("at.first.block").alias("block"), F.col("at.first.row").alias("row"))
+    return _normalised(parsed.select("fields.*", place.alias("place")), names)
+
+
+def _normalised(numbered: DataFrame, names: list[str]) -> DataFrame:
+    """The roster's columns of rows with a ``place``, whatever spelling the header has."""
 
     def column(name: str) -> Column:
-        present = [F.col(f"`{h}`") for h in HEADERS[name] if h in raw.columns]
+        present = [F.col(f"`{h}`") for h in HEADERS[name] if h in names]
         text = or_else(*present, F.lit("")) if present else F.lit("")
         return (normalize_email(text) if name == "email" else web_trim(text)).alias(name)
 
-    numbered = raw.select(*texts, place.alias("place"))
     return numbered.select(*[column(n) for n in HEADERS], "place", F.col("place.row").alias("seq"))
 
 

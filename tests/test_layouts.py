@@ -1,9 +1,7 @@
 """Bucketed joins, the search index, and readers that divide one file among many tasks."""
 
-import json
 import random
 import re
-from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +10,8 @@ from test_streams import rows
 
 from drillsight.operators import filters, joins, search_index
 from drillsight.plans import buckets as kept
-from drillsight.plans import skew
+from drillsight.plans import skew, splits
+from drillsight.sources import roster
 
 
 def moved_scans(plan):
@@ -113,3 +112,49 @@ def test_only_postings_of_the_term_are_read(spark, tmp_path):
     assert metrics["numFiles"] <= search_index.LOOKED_UP and metrics["numOutputRows"] < 50_000
     every = search_index.search_indexed(people, path, "hot sur")
     assert every.count() == 20_000
+
+
+def roster_files(folder, seed, ends):
+    """Two files of rows with line breaks, quotes, separators and empty lines in and between fields."""
+    draw = random.Random(seed)
+    pieces = ["a", "b c", ",", '""', "\n", "\r\n", "\n\n", "é", " ", "x" * 30, '"",\n""']
+    for n in range(2):
+        lines = ["email,firstName,department,other"]
+        for k in range(300):
+            fields = [f"p{k % 250}@x.com", "", "", str(k)]
+            for j in (1, 2):
+                text = "".join(draw.choice(pieces) for _ in range(draw.randrange(5)))
+                fields[j] = f'"{text}"' if draw.random() < 0.7 or re.search('[",\n]', text) else text
+            lines += [",".join(fields)] + [""] * (draw.random() < 0.1)
+        (folder / f"part-{n}.csv").write_text(ends.join(lines) + ends, newline="")
+
+
+@pytest.mark.parametrize(("seed", "ends"), [(1, "\n"), (2, "\r\n")])
+def test_records_over_many_splits(spark, star, tmp_path, seed, ends):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    roster_files(folder, seed, ends)
+    order, columns = ["place.file", "place.block", "place.row"], list(roster.HEADERS)
+    whole = roster.read_roster_csv(spark, str(folder)).orderBy(*order).select(columns).collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        split = roster.read_large_roster_csv(spark, str(folder))
+        assert split_pieces(spark, str(folder)) > 20
+        got = split.orderBy(*order).select(columns).collect()
+        assert got == whole and len(got) == 600
+        assert split.select("seq").distinct().count() == 600
+        done = roster.import_roster(split, star.recipients)
+        assert done.created.count() == 250
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def split_pieces(spark, path):
+    return splits.pieces(spark, path, "\n").rdd.getNumPartitions()
+
+
+def test_a_quote_that_is_never_closed_takes_the_rest(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('email,department\na@x.com,one\nb@x.com,"two\nc@x.com,three\n')
+    rows_of = roster.read_large_roster_csv(spark, str(tmp_path))
+    assert {r["email"] for r in rows_of.collect()} == {"a@x.com", "b@x.com"}
