@@ -11,10 +11,12 @@ Long conversations: a template may say how many turns back it looks (``context``
 prefix that a turn is rendered with starts that many turns before its end.  The declaration is not
 taken on trust: whole prefixes are rendered at turns 1, 2, 4, 8, ... and at the end of the
 conversation, and compared (by length and digest) with the pieces put together, so a template
-that rewrites history at any turn is found.  That is linear in total.  Whole prefixes have to be
-held, as black boxes take them whole: up to ``whole_chars`` characters of turns (64 million); what a
-conversation has beyond them goes by the declaration alone, in memory that does not grow.
-``context=None`` renders a whole prefix at each turn.
+that rewrites history at any turn is found.  That is linear in total, and done for conversations
+of any length: ``whole_chars`` characters of turns (64 million) are held in memory, and a longer
+prefix waits in a temporary file of the task.  A template that writes its output piece by piece
+(``stream``) is compared as it writes, in memory that does not grow; a plain black box takes and
+gives a prefix whole, which then has to fit into the task's memory.  ``context=None`` renders a
+whole prefix at each turn.
 
 Rows are sorted by conversation and turn inside partitions and streamed; a conversation is
 never collected.
@@ -26,9 +28,11 @@ text.  Conversations with a null id are one conversation.  Repeated rows are rep
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import tempfile
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -57,21 +61,25 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
-def inst_template(turns: list[Turn]) -> str:
+def inst_pieces(turns: Iterable[Turn]) -> Iterator[str]:
     """``<s>`` first; user turns in ``[INST]``, system in ``<<SYS>>``, assistant ended by
     ``</s>``, any other role named in ``[ROLE]``."""
-    out = ["<s>"]
+    yield "<s>"
     for role, text in turns:
         body = escape(text)
         if role == "user":
-            out.append(f"[INST] {body} [/INST]")
+            yield f"[INST] {body} [/INST]"
         elif role == "assistant":
-            out.append(f" {body}</s>")
+            yield f" {body}</s>"
         elif role == "system":
-            out.append(f"<<SYS>> {body} <</SYS>>")
+            yield f"<<SYS>> {body} <</SYS>>"
         else:
-            out.append(f"[ROLE]{escape(role)}[/ROLE]{body}</s>")
-    return "".join(out)
+            yield f"[ROLE]{escape(role)}[/ROLE]{body}</s>"
+
+
+def inst_template(turns: list[Turn]) -> str:
+    """:func:`inst_pieces` as one string."""
+    return "".join(inst_pieces(turns))
 
 
 def inst_role(head: str) -> str:
@@ -90,11 +98,32 @@ class Template:
     role: Callable[[str], str] = inst_role
     unescape: Callable[[str], str] = unescape
     trained: tuple[str, ...] = ("assistant",)
-    #: Characters of turns up to which whole prefixes check the declared ``context``.
+    #: Characters of turns up to which whole prefixes are held in memory, not in a file.
     whole_chars: int = 64_000_000
+    #: What ``render`` gives, piece by piece, for templates that can.
+    stream: Callable[[Iterable[Turn]], Iterator[str]] | None = None
+
+
+INST = Template(inst_template, context=1, stream=inst_pieces)
+
+
+class _Stored:
+    """Turns in a temporary file, in order."""
+
+    def __init__(self, turns: list[Turn]) -> None:
+        self.file, self.end = tempfile.TemporaryFile(), 0
+        for turn in turns:
+            self.append(turn)
 
+    def append(self, turn: Turn) -> None:
+        self.file.seek(self.end)
+        pickle.dump(turn, self.file)
+        self.end = self.file.tell()
 
-INST = Template(inst_template, context=1)
+    def __iter__(self) -> Iterator[Turn]:
+        self.file.seek(0)
+        while self.file.tell() < self.end:
+            yield pickle.load(self.file)
 
 
 class Renderer:
@@ -106,10 +135,12 @@ class Renderer:
         self.last = template.render([])
         self.opening = self.last
         self.rewrites = False
-        #: The pieces so far, and the turns they were made of while they are few enough.
+        #: The pieces so far, and the turns they were made of: in memory while they are few enough,
+        #: then in a file.
         self.size, self.digest = 0, hashlib.sha256()
         self.whole: list[Turn] | None = None if template.context is None else []
-        self.chars, self.next_check = 0, 1
+        self.stored: _Stored | None = None
+        self.count, self.chars, self.next_check = 0, 0, 1
         self._put(self.opening)
 
     def _put(self, piece: str) -> None:
@@ -118,13 +149,17 @@ class Renderer:
 
     def _checked(self) -> bool:
         """Whether the whole prefix is what the pieces give together."""
-        now = self.template.render(self.whole)
-        own = hashlib.sha256(now.encode("utf-8", "surrogatepass"))
-        return len(now) == self.size and own.digest() == self.digest.digest()
+        turns = self.whole if self.stored is None else self.stored
+        stream = self.template.stream
+        size, own = 0, hashlib.sha256()
+        for piece in stream(turns) if stream else (self.template.render(list(turns)),):
+            size += len(piece)
+            own.update(piece.encode("utf-8", "surrogatepass"))
+        return size == self.size and own.digest() == self.digest.digest()
 
     def close(self) -> bool:
         """At the end of the conversation: whether its last prefix shows that history was rewritten."""
-        if self.rewrites or not self.whole or len(self.whole) * 2 == self.next_check:
+        if self.rewrites or not self.count or self.count * 2 == self.next_check:
             return False
         return not self._checked()
 
@@ -146,13 +181,14 @@ class Renderer:
             return "", 0, 0
         head = probed.index(PROBE, len(base)) - len(base)
         tail = len(empty) - len(base) - head
-        if self.whole is not None:
+        if self.template.context is not None:
             self._put(piece)
-            self.whole.append(turn)
+            (self.whole if self.stored is None else self.stored).append(turn)
+            self.count += 1
             self.chars += len(turn[0]) + len(turn[1])
-            if self.chars > self.template.whole_chars:
-                self.whole = None
-            elif len(self.whole) == self.next_check:
+            if self.stored is None and self.chars > self.template.whole_chars:
+                self.stored, self.whole = _Stored(self.whole), None
+            if self.count == self.next_check:
                 self.next_check *= 2
                 if not self._checked():
                     self.rewrites = True

@@ -120,6 +120,37 @@ def test_whole_prefixes_are_few():
     assert short.whole is None and not short.close()
 
 
+def test_a_wrong_declaration_is_found_in_long_conversations():
+    """Results do not depend on how much of a conversation is held in memory."""
+    for turn in (2, 5, 8, 13, 20):
+        render = rewriting_at(turn)
+        for stream in (None, lambda turns, render=render: iter([render(list(turns))])):
+            for whole_chars in (0, 5, 30, 64_000_000):
+                for n in (turn - 1, turn, turn + 6):
+                    template = Template(render, context=1, whole_chars=whole_chars, stream=stream)
+                    renderer = chat_format.Renderer(template)
+                    for k in range(n):
+                        renderer.add(("user", f"text \ud800 {k}\n"))
+                    found = renderer.close() or renderer.rewrites
+                    assert found == (n >= turn), (turn, whole_chars, n)
+
+
+def test_long_conversations_are_compared_piece_by_piece():
+    """A template that streams gets no whole prefix, however long the conversation is."""
+    calls = []
+
+    def render(turns):
+        calls.append(len(turns))
+        return inst_template(turns)
+
+    renderer = chat_format.Renderer(Template(render, context=1, whole_chars=100, stream=chat_format.inst_pieces))
+    for k in range(300):
+        renderer.add(("user", f"{k} <s>"))
+    assert renderer.stored is not None and not renderer.close() and not renderer.rewrites
+    assert max(calls) == 2
+    assert renderer.size == len(inst_template([("user", f"{k} <s>") for k in range(300)]))
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert chat_format.digests(chat_format.render_turns(none)).count() == 0
