@@ -11,6 +11,7 @@ from drillsight.functions.people import department_or_unknown, display_name, ful
 from drillsight.functions.rates import clicked_flag, percent_tenth, percent_whole
 from drillsight.functions.text import collated, nonblank, or_else
 from drillsight.plans.clicks import is_rolled, last_click_per_link, links_with_clicks
+from drillsight.plans.shares import SHARE, dealt, evenly
 from drillsight.plans.skew import dimension_join, lookup_join
 
 # How an empty list, a missing date and other gaps are shown.
@@ -288,7 +289,9 @@ def known_links(link_map: DataFrame, db_links: DataFrame) -> DataFrame:
 def clicks_of_both(
     log: DataFrame, events: DataFrame, link_map: DataFrame | None = None, db_links: DataFrame | None = None
 ) -> DataFrame:
-    """Clicks of the log and of the database: ``source, id, day, visitor, agent``.
+    """Clicks of the log and of the database: ``source, id, day, visitor, agent, spread``.
+
+    ``spread`` is a hash of the time, which tells clicks of one visitor apart.
 
     With the tables of links (``link_key`` of the file, ``link_key, link_id`` of the database), clicks of
     other links are cut off first, by the keys each store has, before anything is counted.
@@ -305,6 +308,7 @@ def clicks_of_both(
         F.to_date("clicked_at").alias("day"),
         F.col("ip_hash").alias("visitor"),
         agent_or_unknown(F.col("ua")).alias("agent"),
+        F.xxhash64("clicked_at").alias("spread"),
     )
     db = events.select(
         F.lit("db").alias("source"),
@@ -312,22 +316,43 @@ def clicks_of_both(
         F.to_date("created_at").alias("day"),
         F.col("ip_address").alias("visitor"),
         agent_or_unknown(F.col("user_agent")).alias("agent"),
+        F.xxhash64("created_at").alias("spread"),
     )
     return file.unionByName(db)
 
 
+def _counted(clicks: DataFrame, items: Column, *fields: str) -> DataFrame:
+    """``source, id, *fields, clicks``: clicks of each link by the structs in ``items``.
+
+    Clicks are dealt out in even shares and combined inside these, then the sums of all shares meet;
+    a crowded link has one row for each share and item, and no task more than its share of rows.
+    """
+    by = ["source", "id", *fields]
+    shares = dealt(clicks, "source", "id", "day", "visitor", "agent", "spread")
+    each = shares.select(SHARE, "source", "id", F.explode(items).alias("one"))
+    rows = each.select(SHARE, "source", "id", *[F.col(f"one.{c}") for c in fields])
+    sums = rows.groupBy(SHARE, *by).agg(F.count("*").alias("n")).drop(SHARE)
+    return evenly(sums, *by).groupBy(*by).agg(F.sum("n").alias("clicks"))
+
+
 def link_summary(links: DataFrame, clicks: DataFrame) -> DataFrame:
     """Analytics of every known link: clicks, distinct visitors, days with clicks, first and last.
 
     ``links`` as of :func:`known_links`, ``clicks`` as of :func:`clicks_of_both`.  A link without
-    clicks shows zeros; clicks of unknown links do not appear.  The clicks are read once, and
-    a crowded link is combined by day and visitor first.
+    clicks shows zeros; clicks of unknown links do not appear.  The clicks are read once.  Each
+    counts for its day and for its visitor, and a crowded link is combined by these first.
     """
-    per_visitor = clicks.groupBy("source", "id", "day", "visitor").agg(F.count("*").alias("n"))
-    totals = per_visitor.groupBy("source", "id").agg(
-        F.sum("n").alias("total_clicks"),
-        F.count_distinct("visitor").alias("unique_users"),
-        F.count_distinct("day").alias("days"),
+
+    def one(by_day: bool, day: Column, visitor: Column) -> Column:
+        return F.struct(F.lit(by_day).alias("by_day"), day.alias("day"), visitor.alias("visitor"))
+
+    by_day = one(True, F.col("day"), F.lit(None).cast("string"))
+    by_visitor = one(False, F.lit(None).cast("date"), F.col("visitor"))
+    counts = _counted(clicks, F.array(by_day, by_visitor), "by_day", "day", "visitor")
+    totals = evenly(counts, "source", "id").groupBy("source", "id").agg(
+        F.sum(F.when(F.col("by_day"), F.col("clicks"))).alias("total_clicks"),
+        F.count("visitor").alias("unique_users"),
+        F.count("day").alias("days"),
         F.min("day").alias("first_day"),
         F.max("day").alias("last_day"),
     )

@@ -238,6 +238,18 @@ def test_link_analytics_read_the_clicks_once(spark):
         assert plan.count("lineitem.parquet") == 1, name
 
 
+def test_link_analytics_keep_to_shares_of_the_rows(spark):
+    """Shuffles of clicks are not merged into few large tasks, and nothing is hashed before the first."""
+    for name in ("link_summary", "link_summary_db"):
+        tree = explain(queries()[name](spark, SMALL), "simple")
+        assert "Expand" not in tree, name
+        dealing = tree.index("hashpartitioning(_share")
+        assert tree.count("REPARTITION_BY_NUM") == 3 and tree.index("REPARTITION_BY_NUM") < dealing, name
+        scan = tree.index("FileScan parquet [l_orderkey", dealing)
+        between = tree[dealing:scan]
+        assert "HashAggregate(keys=[source" not in between and "HashAggregate(keys=[_share" not in between, name
+
+
 def test_clicks_are_combined_before_the_shuffle(spark):
     plan = explain(queries()["department_risk"](spark, SMALL))
     assert "partial_count(1)" in plan and "partial_sum" in plan

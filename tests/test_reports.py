@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from drillsight import schemas
 from drillsight.operators import aggregates, filters, joins, ordering, ranking, sets
+from drillsight.plans.shares import dealt
 
 
 def by_id(df):
@@ -288,6 +289,34 @@ def test_link_analytics(spark):
     ]
 
 
+def test_analytics_of_a_crowded_link(spark):
+    """One link has nearly all clicks, some days and visitors are unknown; no task gets them all."""
+    start = dt.datetime(2024, 1, 1)
+    made = [
+        (str(k), 1 if k % 10 else 2, "click", None if k % 7 == 0 else str(k % 90), "ab"[k % 2], None if k % 11 == 0 else start + dt.timedelta(hours=k % 200))
+        for k in range(3000)
+    ]
+    events = spark.createDataFrame(made, schemas.LINK_EVENTS)
+    db = spark.createDataFrame([("c", 1, "Camp", "Bo"), ("d", 2, None, None)], "link_key string, link_id long, campaign_name string, employee string")
+    none = spark.createDataFrame([], "link_key string, url string, name string")
+    log = spark.createDataFrame([], "link_key string, clicked_at timestamp_ntz, ua string, ip_hash string")
+    links, clicks = aggregates.known_links(none, db), aggregates.clicks_of_both(log, events)
+    want, items = set(), {}
+    for key, link, name, employee in (("c", 1, "Camp", "Bo"), ("d", 2, None, None)):
+        own = [x for x in made if x[1] == link]
+        days = {x[5].strftime("%Y-%m-%d") for x in own if x[5]}
+        want.add((key, "db", name, employee, len(own), len({x[3] for x in own if x[3]}), len(days), min(days), max(days)))
+        for x in own:
+            for kind, item in (("day", x[5] and x[5].strftime("%Y-%m-%d")), ("agent", x[4])):
+                items[key, "db", kind, item] = items.get((key, "db", kind, item), 0) + 1
+    summary = aggregates.link_summary(links, clicks)
+    assert set(map(tuple, summary.collect())) == want
+    assert {tuple(r)[:4]: r["clicks"] for r in aggregates.link_breakdown(links, clicks).collect()} == items
+    shares = dealt(clicks, "source", "id", "day", "visitor", "agent", "spread")
+    sizes = shares.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert len(sizes) == 8 and max(sizes) < 900
+
+
 def test_schemas_of_the_views(views):
     for name, schema in {
         "recipients": schemas.RECIPIENTS, "campaigns": schemas.CAMPAIGNS,
