@@ -370,16 +370,14 @@ def link_summary(links: DataFrame, clicks: DataFrame) -> DataFrame:
 def link_breakdown(links: DataFrame, clicks: DataFrame) -> DataFrame:
     """Clicks of known links by day and by agent, as rows ``(link_key, source, kind, item, clicks)``.
 
-    The clicks are read once, counted by day and agent together, and rolled up from there.
+    The clicks are read once; each counts for its day and for its agent.
     """
-    both = clicks.groupBy("source", "id", "day", "agent").agg(F.count("*").alias("n"))
 
     def item(kind: str) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.col(kind).cast("string").alias("item"))
 
-    items = both.select("source", "id", "n", F.explode(F.array(item("day"), item("agent"))).alias("one"))
-    counts = items.groupBy("source", "id", "one.kind", "one.item").agg(F.sum("n").alias("clicks"))
-    return counts.join(links.select("link_key", "source", "id"), ["source", "id"]).select(
+    counts = _counted(clicks, F.array(item("day"), item("agent")), "kind", "item")
+    return evenly(counts, "source", "id").join(links.select("link_key", "source", "id"), ["source", "id"]).select(
         "link_key", "source", "kind", "item", "clicks"
     )
 

@@ -240,7 +240,7 @@ def test_link_analytics_read_the_clicks_once(spark):
 
 def test_link_analytics_keep_to_shares_of_the_rows(spark):
     """Shuffles of clicks are not merged into few large tasks, and nothing is hashed before the first."""
-    for name in ("link_summary", "link_summary_db"):
+    for name in ("link_summary", "link_breakdown", "link_summary_db", "link_breakdown_db"):
         tree = explain(queries()[name](spark, SMALL), "simple")
         assert "Expand" not in tree, name
         dealing = tree.index("hashpartitioning(_share")
