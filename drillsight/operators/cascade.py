@@ -17,34 +17,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drillsight.operators.merge import Tables
-from drillsight.plans.skew import lookup_join
-from drillsight.session import child_names, exists, files_below, move, remove
+from drillsight.plans.skew import dimension_join, lookup_join
+from drillsight.session import child_names, exists, files_below, move, remove, stage, staging
 
 #: Beside the table's own folders; names with an underscore are not read as rows.
 _WORK = "_deletion"
 #: Files that are rewritten at a time: their names pass through the driver.
 FILES_AT_ONCE = 10_000
+#: Ids of removed links up to this many are broadcast, so that no event moves to meet them.
+MOST_BROADCAST = 1_000_000
 
 
 def delete_events(spark: SparkSession, table: str, gone: DataFrame, parts: tuple[str, ...] = ("period",)) -> int:
     """Remove the events of the links in ``gone`` (``link_id``) from the table; gives the files rewritten.
 
-    ``parts`` are the columns the table is split by.
+    ``parts`` are the columns the table is split by.  The ids are staged once.  Up to
+    :data:`MOST_BROADCAST` of them go to the events, which then move only to be written by ``parts``;
+    more meet them in skew-safe joins.
     """
     finish_deletion(spark, table)
     done = 0
-    while True:
-        events = spark.read.parquet(table)
-        held = lookup_join(events.select("link_id", F.col("_metadata.file_path").alias("file")), gone.select("link_id").distinct(), "link_id", "left_semi")
-        files = [unquote(r["file"]) for r in held.select("file").distinct().orderBy("file").limit(FILES_AT_ONCE).collect()]
-        if not files:
-            return done
-        old = spark.read.schema(events.schema).option("basePath", table).parquet(*files)
-        kept = lookup_join(old, gone.select("link_id").distinct(), "link_id", "left_anti").select(events.columns)
-        kept.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(f"{table}/{_WORK}/rows")
-        spark.createDataFrame([(f,) for f in files], "value string").write.mode("overwrite").text(f"{table}/{_WORK}/old")
-        finish_deletion(spark, table)
-        done += len(files)
+    with staging(spark):
+        ids = stage(gone.select("link_id").distinct(), "gone")
+        while True:
+            events = spark.read.parquet(table)
+            named = events.select("link_id", F.col("_metadata.file_path").alias("file"))
+            held = dimension_join(named, ids, "link_id", "left_semi", MOST_BROADCAST)
+            files = [unquote(r["file"]) for r in held.select("file").distinct().orderBy("file").limit(FILES_AT_ONCE).collect()]
+            if not files:
+                return done
+            old = spark.read.schema(events.schema).option("basePath", table).parquet(*files)
+            kept = dimension_join(old, ids, "link_id", "left_anti", MOST_BROADCAST).select(events.columns)
+            kept.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(f"{table}/{_WORK}/rows")
+            spark.createDataFrame([(f,) for f in files], "value string").write.mode("overwrite").text(f"{table}/{_WORK}/old")
+            finish_deletion(spark, table)
+            done += len(files)
 
 
 def finish_deletion(spark: SparkSession, table: str) -> None:

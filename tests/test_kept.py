@@ -14,6 +14,7 @@ from test_streams import FILES, arriving, drive, rows  # noqa: F401
 
 from __spark_entry__ import queries
 from drillsight.operators import aggregates, cascade, changelog, merge, ranking, rollup, sketches
+from drillsight.plans import skew
 from drillsight.sources import event_store
 from drillsight.streaming import clicks as streams
 
@@ -304,6 +305,27 @@ def test_in_several_rounds_and_to_the_last_row(spark, stored_events, monkeypatch
     assert {k.split("/")[0] for k in files_of(path)} == {f"period=2024-01-{d}" for d in range(10, 15)}
 
 
+def test_events_do_not_move_to_meet_the_removed_links(spark, stored_events, monkeypatch):
+    """More links than small tables have are broadcast; beyond the bound events are joined as before."""
+    events, path = stored_events
+    monkeypatch.setattr(skew, "MAX_BROADCAST_ROWS", 0)
+    searched, plain = [], skew.hot_keys
+
+    def counted(df, *args):
+        searched.append(df.columns)
+        return plain(df, *args)
+
+    monkeypatch.setattr(skew, "hot_keys", counted)
+    gone = spark.createDataFrame([(5,), (5,), (None,), (25,), (9999,)], "link_id long")
+    assert cascade.delete_events(spark, path, gone) == 2
+    assert not searched
+    assert rows(spark.read.parquet(path).select(events.columns)) == rows(events.filter("link_id not in (5, 25)"))
+    monkeypatch.setattr(cascade, "MOST_BROADCAST", 1)
+    assert cascade.delete_events(spark, path, spark.createDataFrame([(6,), (None,), (26,)], "link_id long")) == 2
+    assert searched
+    assert rows(spark.read.parquet(path).select(events.columns)) == rows(events.filter("link_id not in (5, 25, 6, 26)"))
+
+
 def test_stopped_deletions_are_finished_or_forgotten(spark, stored_events, monkeypatch):
     events, path = stored_events
     gone = spark.createDataFrame([(5,)], "link_id long")
