@@ -71,6 +71,7 @@ class Vocabulary:
             self.tokens[i] = bytes(letters[x] for x in token)
         for token, i in self.special.items():
             self.tokens[i] = token.encode()
+        self.pieces = pa.array(self.tokens, pa.large_binary())
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; ``_NONE`` for pairs that do not merge."""
@@ -79,6 +80,20 @@ class Vocabulary:
         return np.where(self.pairs[at] == pair, self.ranks[at], _NONE)
 
 
+def texts_of(ids: pa.ListArray, vocab: Vocabulary) -> list[str]:
+    """The text of each list of ids: the bytes of all tokens are put side by side at once."""
+    taken = vocab.pieces.take(ids.flatten())
+    if taken.null_count:
+        raise ValueError("an id is null")
+    if not len(taken):
+        return [""] * len(ids)
+    offsets, data = taken.buffers()[1:]
+    raw = memoryview(data or b"")
+    rows = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    ends = np.frombuffer(offsets, np.int64, len(taken) + 1)[rows].tolist()
+    return [str(raw[a:b], "utf-8", "replace") for a, b in zip([0, *ends], ends)]
+
+
 def merge_rows(parts: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Merge words of one length: a row of part ids each.  Gives the ids, left-aligned,
     and how many of each row are in use."""
@@ -159,35 +174,53 @@ class Encoder:
         names = sorted(vocab.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
-    def _words(self, chunk: str) -> list[str | int]:
-        if not self.special or not any(x in chunk for x in self.vocab.special):
+    def split(self, chunk: str) -> list[str]:
+        """The words and special tokens of a chunk; each of them alone is cut no further."""
+        for name in self.vocab.special:
+            if name in chunk:
+                break
+        else:
             return self.pre.findall(chunk)
-        out: list[str | int] = []
+        out: list[str] = []
         for k, part in enumerate(self.special.split(chunk)):
-            out += [self.vocab.special[part]] if k % 2 else self.pre.findall(part)
+            out += [part] if k % 2 else self.pre.findall(part)
         return out
 
-    def words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct words."""
-        out: dict[str, list[int]] = {}
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for word in words:
+    def merged(self, words: list[str]) -> list[list[int]]:
+        """Ids of words, in their order."""
+        of_byte = self.vocab.of_byte
+        out: list[list[int]] = [[]] * len(words)
+        by_length: dict[int, tuple[list[int], list[bytes]]] = {}
+        for k, word in enumerate(words):
             raw = word.encode("utf-8", "surrogatepass")
             if len(raw) > SHORT:
-                out[word] = merge_long(self.vocab.of_byte[np.frombuffer(raw, np.uint8)].tolist(), self.vocab)
-            else:
-                by_length.setdefault(len(raw), []).append((word, raw))
-        for length, group in by_length.items():
-            raw = np.frombuffer(b"".join(x for _, x in group), np.uint8).reshape(-1, length)
-            ids, counts = merge_rows(self.vocab.of_byte[raw], self.vocab)
-            for (word, _), row, n in zip(group, ids.tolist(), counts.tolist(), strict=True):
-                out[word] = row[:n]
+                out[k] = merge_long(of_byte[np.frombuffer(raw, np.uint8)].tolist(), self.vocab)
+                continue
+            places, raws = by_length.setdefault(len(raw), ([], []))
+            places.append(k)
+            raws.append(raw)
+        for length, (places, raws) in by_length.items():
+            raw = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, length)
+            ids, counts = merge_rows(of_byte[raw], self.vocab)
+            for k, row, n in zip(places, ids.tolist(), counts.tolist(), strict=True):
+                out[k] = row[:n]
         return out
 
+    def words(self, words: list[str]) -> dict[str, list[int]]:
+        """Ids of distinct words."""
+        return dict(zip(words, self.merged(words), strict=True))
+
+    def parts(self, parts: list[str]) -> list[list[int]]:
+        """Ids of words and special tokens as :meth:`split` gives them."""
+        special = self.vocab.special
+        ids = iter(self.merged([x for x in parts if x not in special]))
+        return [[special[x]] if x in special else next(ids) for x in parts]
+
     def __call__(self, chunks: list[str]) -> list[list[int]]:
-        cut = [self._words(x) for x in chunks]
-        ids = self.words(list({w for x in cut for w in x if isinstance(w, str)}))
-        return [[i for w in x for i in (ids[w] if isinstance(w, str) else (w,))] for x in cut]
+        cut = [self.split(x) for x in chunks]
+        known = list(dict.fromkeys(w for x in cut for w in x))
+        ids = dict(zip(known, self.parts(known), strict=True))
+        return [[i for w in x for i in ids[w]] for x in cut]
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,7 +231,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(cut_keeping_spaces, Encoder(vocab.value))
+        words = Encoder(vocab.value)
+        encoder = ChunkEncoder(cut_keeping_spaces, words.parts, words.split)
         for batch in steps(batches):
             ids, counts = encoder(whole_texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
@@ -216,14 +250,10 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     names, place = [*kept.columns, out], kept.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocab.value.tokens.__getitem__
         for big in batches:
             for first in range(0, big.num_rows, 256):
                 batch = big.slice(first, 256)
-                texts = [
-                    b"".join(map(token, x or ())).decode("utf-8", "replace")
-                    for x in batch.column(place).to_pylist()
-                ]
+                texts = texts_of(batch.column(place), vocab.value)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(texts, pa.string())], names
                 )

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -75,3 +76,36 @@ def test_a_very_long_text(spark, documents):  # noqa: F811
     text = " ".join(draw.choice(["the", "house", "naïve", "x1", "\n"]) for _ in range(250_000)) + " " + "ab" * 100_000
     row = bpe.decode(bpe.encode(documents([(1, text)]), PATH), PATH).first()
     assert row["ids"] == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids and row["decoded"] == text
+
+
+def test_words_are_encoded_once_across_chunks(vocab, library, monkeypatch):
+    """Chunks that share a word look it up, special tokens and odd texts among them."""
+    seen, words = [], bpe.Encoder(vocab)
+    plain = words.merged
+    monkeypatch.setattr(words, "merged", lambda x: seen.extend(x) or plain(x))
+    encoder = ChunkEncoder(cut_keeping_spaces, words.parts, words.split)
+    texts = [*ODD, "one dog, one dog. one dog! <|endoftext|>dog", "a dog; dog's<|endoftext|> dog?"]
+    for part in (texts, texts[::-1], ["the dog: dog"]):
+        ids, counts = encoder(part)
+        at = 0
+        for text, n in zip(part, counts.tolist(), strict=True):
+            assert ids[at : at + n].tolist() == library.encode(text, add_special_tokens=False).ids, text
+            at += n
+    assert len(seen) == len(set(seen)) and seen.count(" dog") == 1
+
+
+def test_texts_of_lists_of_ids(vocab):
+    """Whole columns at once: cut columns, null and empty lists, bytes that are no text alone."""
+    half = [int(x) for x in vocab.of_byte[list("é".encode())]]
+    lists = [None, [], [half[0]], half, None, [half[1], *half, half[0]], list(range(300)), []]
+    column = pa.array(lists, pa.list_(pa.int32()))
+    want = [b"".join(vocab.tokens[i] for i in x or ()).decode("utf-8", "replace") for x in lists]
+    assert bpe.texts_of(column, vocab) == want
+    for first in range(len(lists) + 1):
+        for n in range(len(lists) - first + 1):
+            assert bpe.texts_of(column.slice(first, n), vocab) == want[first : first + n]
+    for wrong in (len(vocab.tokens), -1):
+        with pytest.raises(IndexError):
+            bpe.texts_of(pa.array([[wrong]], pa.list_(pa.int32())), vocab)
+    with pytest.raises(ValueError, match="null"):
+        bpe.texts_of(pa.array([[1, None]], pa.list_(pa.int32())), vocab)
